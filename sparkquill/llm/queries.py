@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chatformat, mixing, quality, tokencount
+from . import chatformat, mixing, quality, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +34,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.substring_dedup(table(spark, sf_dir, "documents"), min_words=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op9_token_counts": op9}
+    return {"op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op9_token_counts": op9, "op10_substring_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op10_substring_dedup": substring.ORACLE}
