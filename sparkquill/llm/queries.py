@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, mixing, quality, substring, tokencount
+from . import chatformat, mixing, pitman_yor, quality, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(mod: int):
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False))
+    out = pitman_yor.score(table(spark, sf_dir, "documents"), train=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,7 +50,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op9_token_counts": op9, "op10_substring_dedup": op10}
+    return {"op2_score_language": op2, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op9_token_counts": op9, "op10_substring_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
