@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, mixing, pitman_yor, quality, substring, tokencount
+from . import chatformat, decontaminate, mixing, pitman_yor, quality, substring, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +21,22 @@ def remainder(mod: int):
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(7) == 2, F.lit(False))
     out = pitman_yor.score(table(spark, sf_dir, "documents"), train=~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,7 +60,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_score_language": op2, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op9_token_counts": op9, "op10_substring_dedup": op10}
+    return {"op1_score_toxicity": op1, "op2_score_language": op2, "op3_find_contamination": op3, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op9_token_counts": op9, "op10_substring_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
