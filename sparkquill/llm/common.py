@@ -142,7 +142,7 @@ class Words:
     hash: 64-bit hash of each word; first: words of document i are first[i]:first[i+1].
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE, hashes: bool = True) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE, stems: tuple[int, ...] = ()) -> None:
         self.data, self.offs = data, offs
         word = ~separators[data]
         edge = np.zeros(len(data) + 1, bool)  # a document begins here
@@ -154,9 +154,14 @@ class Words:
         after[:-1] = word[1:]
         self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offs)
-        if hashes:
-            prefix = _prefix((_BYTE_LOWER if lower else _BYTE)[data], _R1)
-            self.hash = _mix(_between(prefix, self.start, self.end, _R1) ^ (self.end - self.start).astype(np.uint64))
+        prefix = _prefix((_BYTE_LOWER if lower else _BYTE)[data], _R1)
+        self.hash = _mix(_between(prefix, self.start, self.end, _R1) ^ (self.end - self.start).astype(np.uint64))
+        #: For each k of stems: the words longer than k bytes, and the hashes of their first k bytes.
+        self.stems = []
+        for k in stems:
+            longer = np.flatnonzero(self.end - self.start > k)
+            at = self.start[longer]
+            self.stems.append((longer, _mix(_between(prefix, at, at + k, _R1) ^ np.uint64(k << 32))))
 
     def doc(self) -> np.ndarray:
         """The document of each word."""

@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 * Examples are the first `max_examples` labelled training rows in order of a hash of their ids (a documented bound).
-* Terms are the words (A-Z lowered, ASCII punctuation separates) whose presence differs most between the labels among
-  the examples, by chi-squared; their document frequencies are counted over all documents.
+* Terms are the words (A-Z lowered, ASCII punctuation separates) and word beginnings of 4 and 5 bytes whose presence
+  differs most between the labels among the examples, by chi-squared; their document frequencies are counted over all
+  documents.
 * The index keeps, for every term and block of 128 examples, the largest weight. A query takes blocks in order of the
   sum of these bounds and stops when no block left can beat its k-th neighbour: the neighbours are exact.
 * A document's raw score is the vote of its k nearest examples, itself left out, weighted by distance; a monotone fit
@@ -29,17 +30,25 @@ from .common import _PUNCT, Words, own, pieces, save, signed, text_of, tune
 BLOCK, NEIGHBOURS = 128, 25
 
 
-def _terms(data: np.ndarray, offs: np.ndarray) -> Words:
-    return Words(data, offs, lower=True, separators=_PUNCT)
+def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and word beginnings, and their documents."""
+    words = Words(data, offs, lower=True, separators=_PUNCT, stems=(4, 5))
+    doc = words.doc()
+    return np.concatenate([words.hash, *[h for _, h in words.stems]]), np.concatenate([doc, *[doc[at] for at, _ in words.stems]])
 
 
-def _term_counts(words: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _term_counts(data: np.ndarray, offs: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) for the known terms; terms: sorted hashes."""
-    if not len(terms) or not len(words.hash):
+    if not len(terms) or not len(data):
         return (np.empty(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(terms, words.hash), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == words.hash)
-    key, n = np.unique(words.doc()[hit] * len(terms) + at[hit], return_counts=True)
+    found, doc = _terms(data, offs)
+    # A table of the hashes' low 16 bits passes few others on to the exact search.
+    table = np.zeros(1 << 16, bool)
+    table[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
+    hit = np.flatnonzero(table[(found & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(terms, found[hit]), len(terms) - 1)
+    same = terms[at] == found[hit]
+    key, n = np.unique(doc[hit[same]] * len(terms) + at[same], return_counts=True)
     return key // len(terms), key % len(terms), n
 
 
@@ -140,11 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in pieces(batch):
-                words = _terms(data, offs)
+                found, doc = _terms(data, offs)
                 toxic = rows.column("toxic").to_numpy()
-                if len(words.hash):
-                    u, at = np.unique(words.hash, return_inverse=True)
-                    pair = np.unique(at.astype(np.int64) * rows.num_rows + words.doc())
+                if len(found):
+                    u, at = np.unique(found, return_inverse=True)
+                    pair = np.unique(at.astype(np.int64) * rows.num_rows + doc)
                     term, label = pair // rows.num_rows, toxic[pair % rows.num_rows]
                     yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(np.bincount(term, weights=label, minlength=len(u)).astype(np.int64)), pa.array(np.bincount(term, minlength=len(u)))], names=["term", "pos", "n"])
 
@@ -160,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
         for batch in batches:
             for rows, data, offs in pieces(batch):
                 total += rows.num_rows
-                _, term, _ = _term_counts(_terms(data, offs), terms)
+                _, term, _ = _term_counts(data, offs, terms)
                 df += np.bincount(term, minlength=len(terms) + 1)
         df[-1] = total
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
@@ -173,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in pieces(batch):
-                doc, term, tf = _term_counts(_terms(data, offs), terms)
+                doc, term, tf = _term_counts(data, offs, terms)
                 ends = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(term, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["doc_id", "toxic", "term", "tf"])
 
@@ -193,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
 
 
 def _scores(index: Index, rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, id_col: str) -> tuple[list[float], list[str]]:
-    doc, term, tf = _term_counts(_terms(data, offs), index.terms)
+    doc, term, tf = _term_counts(data, offs, index.terms)
     ends = np.searchsorted(doc, np.arange(rows.num_rows + 1))
     out = [(index.empty, "")] * rows.num_rows
     for i in np.flatnonzero(np.diff(ends)).tolist():
