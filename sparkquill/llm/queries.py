@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, mixing, pii, pitman_yor, quality, substring, tokencount, toxicity
+from . import chatformat, decontaminate, jaccard, mixing, pii, pitman_yor, quality, substring, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.similar_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -65,8 +70,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_score_toxicity": op1, "op2_score_language": op2, "op3_find_contamination": op3, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op8_find_personal_data": op8, "op9_token_counts": op9, "op10_substring_dedup": op10}
+    return {"op1_score_toxicity": op1, "op2_score_language": op2, "op3_find_contamination": op3, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op7_join_similar": op7, "op8_find_personal_data": op8, "op9_token_counts": op9, "op10_substring_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op10_substring_dedup": substring.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op7_join_similar": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE}
