@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 * Examples are the first `max_examples` labelled training rows in order of a hash of their ids (a documented bound).
-* Terms are the words (A-Z lowered, ASCII punctuation separates) and word beginnings of 4 and 5 bytes whose presence
-  differs most between the labels among the examples, by chi-squared; their document frequencies are counted over all
-  documents.
+* Terms are the words (A-Z lowered, ASCII punctuation separates) and word beginnings of 4 and 5 bytes that raise the
+  odds of the toxic label among the examples at least `least_odds` times, and most surely, by chi-squared; their
+  document frequencies are counted over all documents.
 * The index keeps, for every term and block of 128 examples, the largest weight. A query takes blocks in order of the
   sum of these bounds and stops when no block left can beat its k-th neighbour: the neighbours are exact.
 * A document's raw score is the vote of its k nearest examples, itself left out, weighted by distance; a monotone fit
@@ -138,7 +138,7 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in points]), np.array([p[1] for p in points])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 20_000, max_terms: int = 512, least_chi2: float = 25.0) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 20_000, max_terms: int = 512, least_chi2: float = 25.0, least_odds: float = 5.0) -> Index:
     """docs: doc_id, text. labels: doc_id, toxic. train: which labelled rows may be learnt from, over doc_id."""
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -160,8 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
     n, pos = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     a, both = F.col("pos").cast("double"), F.col("n").cast("double")
     chi2 = n * (a * (n - pos) - (both - a) * pos) ** 2 / (pos * (n - pos) * both * (n - both))
+    odds = (a + 0.5) * (n - pos - both + a + 0.5) / ((both - a + 0.5) * (pos - a + 0.5))
     seen = examples.mapInArrow(presence, "term bigint, pos bigint, n bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n").between(3, n - 1))
-    top = seen.select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).toPandas() if 0 < pos < n else None
+    top = seen.where(odds >= least_odds).select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).toPandas() if 0 < pos < n else None
     terms = np.sort(top["term"].to_numpy(np.int64).view(np.uint64)) if top is not None and len(top) else np.empty(0, np.uint64)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
