@@ -79,21 +79,25 @@ def final_cleanup(text: Column) -> Column:
     return F.concat(strip(text), F.lit("\n"))
 
 
-@F.pandas_udf("string")
-def repair_encoding(texts: pd.Series) -> pd.Series:
+def _repaired(t: str | None) -> str | None:
+    if t is None:
+        return None
+    if any("\xc2" <= c <= "\xf4" for c in t):
+        try:
+            t = t.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            pass
+    return unicodedata.normalize("NFC", t)
+
+
+def repair_encoding(text: Column) -> Column:
     """NFC, after undoing UTF-8 that was read as Latin-1 where that round-trips."""
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        if any("\xc2" <= c <= "\xf4" for c in t):
-            try:
-                t = t.encode("latin-1").decode("utf-8")
-            except UnicodeError:
-                pass
-        return unicodedata.normalize("NFC", t)
-
-    return texts.map(one)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_repaired)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(text)
 
 
 def clean(text: Column, boilerplate: bool = False, encoding: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "hybrid_search"
-MODULES = ("text", "chunks")
+MODULES = ("text", "chunks", "search", "selection")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
