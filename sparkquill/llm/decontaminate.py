@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE, _R2, _between, _mix, _prefix, own, pieces, tune
 
-Q, WINDOW, EDIT_RATE, SHORTEST = 12, 100, 0.07, 40
+Q, WINDOW, EDIT_RATE, SHORTEST = 12, 100, 0.06, 40
+#: Edits are allowed only as far as the lemma still asks for so many shared q-grams.
+LEAST_HITS = 17
 BAND = 16
 TABLE_BITS = 22
 
@@ -90,7 +92,7 @@ class Index:
         item, pos, doc, where = self.item[occ], self.pos[occ], doc[back], where[back]
         length = np.array([len(t) for t in self.texts])[item]
         m = np.minimum(WINDOW, length)
-        k = np.minimum((m * EDIT_RATE).astype(np.int64), (m + 1 - 5) // Q - 1)
+        k = np.minimum((m * EDIT_RATE).astype(np.int64), (m + 1 - LEAST_HITS) // Q - 1)
         least = m + 1 - Q * (k + 1)
         diagonal = where - at[doc] - pos + (1 << 20)
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -102,7 +104,10 @@ class Index:
             ok = to < len(d)
             to = np.minimum(to, len(d) - 1)
             ok &= (d[to] == d) & (i[to] == i) & (b[to] == b) & (p[to] - p <= mm - Q)
-            for x in np.flatnonzero(ok).tolist():
+            x = np.flatnonzero(ok)
+            # Of hits in one band that begin within eight bytes of each other, the first stands for all.
+            _, once = np.unique(np.stack([d[x], i[x], b[x], p[x] // 8]), axis=1, return_index=True)
+            for x in x[np.sort(once)].tolist():
                 key = (int(d[x]), int(i[x]))
                 if key not in found or found[key][0]:
                     got = self._verify(y[at[key[0]] : at[key[0] + 1]], key[1], int(w[x] - at[key[0]]), int(p[x]), int(p[to[x]]))
@@ -114,7 +119,7 @@ class Index:
         """(edits, start, end) if a window of the item that holds the hits occurs within its edit budget."""
         pattern = self.texts[item]
         m = min(WINDOW, len(pattern))
-        k = min(int(m * EDIT_RATE), (m + 1 - 5) // Q - 1)
+        k = min(int(m * EDIT_RATE), (m + 1 - LEAST_HITS) // Q - 1)
         low, high = max(0, last + Q - m), min(first, len(pattern) - m)
         best = None
         for begin in sorted({*range(low, high + 1, 8), high} if high >= low else {max(0, min(first, len(pattern) - m))}, reverse=True):
