@@ -4,8 +4,10 @@ Documents are sets of word shingles. Documents with equal sets form a class; onl
 
 * A prefix of each set, in one fixed order of all shingles, must share a shingle with that of any similar set. The
   order puts shingles that are common in a bounded sample last; it decides the work, never the result.
-* Each set is a point: its shingles' counts in 64 hash groups. The sum of coordinate minima bounds the overlap of two
-  sets; of a set and an R-tree node, with the node's largest coordinates. Pairs the bound leaves are verified by exact
+* Each set is a point: its shingles' counts in 64 to 1,024 hash groups, about a dozen shingles a group; points of
+  neighbouring resolutions compare after adding up pairs of groups. The sum of coordinate minima bounds the overlap of
+  two sets; of a set and an R-tree node, with the node's largest coordinates. A pair counts at the first shingle its
+  prefixes share, so the places of that shingle bound the overlap too. Pairs the bounds leave are verified by exact
   intersection of the whole sets.
 * First each class meets the class it shares most prefix shingles with. Where all classes of a shingle are then
   connected, no further pair of them can change a component. The other shingles' classes are joined by R-trees over
@@ -29,8 +31,24 @@ from pyspark.sql import functions as F
 from . import sketch
 from .common import Words, _mix, components, drop, own, pieces, save, signed, tune, windows
 
-GROUPS, LEAF, CELL, SPREAD = 64, 32, 2048, 256
+LEAF, CELL, SPREAD = 32, 2048, 256
 FULL = np.iinfo(np.uint16).max
+#: Sets of so many shingles and more have 64, 128, ... 1,024 groups.
+RESOLUTION = np.array([0, 768, 1536, 3072, 6144])
+
+
+def level_of(n) -> np.ndarray:
+    return np.searchsorted(RESOLUTION, n, side="right") - 1
+
+
+def fold(points: np.ndarray) -> np.ndarray:
+    """Half as many groups; a count that is cut off stays so."""
+    return np.minimum(points.reshape(len(points), -1, 2).sum(axis=2, dtype=np.int64), FULL).astype(np.uint16)
+
+
+def needed(na, nb, num: int, den: int):
+    """The least overlap of sets of these sizes."""
+    return -(-num * (na + nb) // (num + den))
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +110,17 @@ def _points(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
                 first = np.searchsorted(owner, np.arange(m + 1))
                 n = np.diff(first)
                 s1, s2 = _sums(shingle, first)
-                cell = np.bincount(owner * GROUPS + (shingle >> np.uint64(58)).astype(np.int64), minlength=m * GROUPS)
-                vec = np.minimum(cell, FULL).astype(np.uint16).reshape(m, GROUPS)
+                vec: list[bytes] = [b""] * m
+                level = level_of(n)
+                for x in np.unique(level).tolist():
+                    rows_at, groups = np.flatnonzero(level == x), 64 << x
+                    place = np.full(m, -1)
+                    place[rows_at] = np.arange(len(rows_at))
+                    mine = place[owner] >= 0
+                    cell = np.bincount(place[owner[mine]] * groups + (shingle[mine] >> np.uint64(58 - x)).astype(np.int64), minlength=len(rows_at) * groups)
+                    counts = np.minimum(cell, FULL).astype(np.uint16).reshape(-1, groups)
+                    for i, v in zip(rows_at.tolist(), counts, strict=True):
+                        vec[i] = v.tobytes()
                 late = np.zeros(len(shingle), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
@@ -103,7 +130,7 @@ def _points(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
                 head = np.arange(len(by)) - np.repeat(first[:-1], n) < np.repeat(size, n)
                 ends = np.append(0, np.cumsum(size)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), pa.array([v.tobytes() for v in vec], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(shingle[by][head])))],
+                    [rows.column(0), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(shingle[by][head])))],
                     names=["doc_id", "n", "s1", "s2", "vec", "prefix"],
                 )
 
@@ -117,8 +144,13 @@ def _bounded(a: np.ndarray, b: np.ndarray, na, nb, num: int, den: int) -> np.nda
     return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (full | ((num + den) * most >= num * (na + nb)))
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
+def _pair_bounded(va: bytes, vb: bytes, na: int, nb: int, num: int, den: int) -> bool:
+    a, b = np.frombuffer(va, np.uint16)[None], np.frombuffer(vb, np.uint16)[None]
+    while a.shape[1] > b.shape[1]:
+        a = fold(a)
+    while b.shape[1] > a.shape[1]:
+        b = fold(b)
+    return bool(_bounded(a, b, na, nb, num, den)[0])
 
 
 def _filter_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -128,8 +160,8 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = _bounded(_vectors(batch.column("va")), _vectors(batch.column("vb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), num, den) if batch.num_rows else np.empty(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            ok = [_pair_bounded(*x, num, den) for x in zip(*(batch.column(c).to_pylist() for c in ("va", "vb", "na", "nb")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -156,40 +188,66 @@ class RTree:
         return at[_bounded(self.points[at], point, self.n[at], n, num, den)]
 
 
+def _cell_pairs(cid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, vec: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels in a cell that all bounds leave. Rows come by label."""
+    level, a, b = level_of(n), [], []
+    for x in np.unique(level).tolist():
+        # Against sets of this resolution, and of the next one after adding up its pairs of groups.
+        here, finer = np.flatnonzero(level == x), np.flatnonzero(level == x + 1)
+        points = np.frombuffer(b"".join(vec[i] for i in here), np.uint16).reshape(len(here), -1)
+        both = [points]
+        if len(finer):
+            both.append(fold(np.frombuffer(b"".join(vec[i] for i in finer), np.uint16).reshape(len(finer), -1)))
+        for others, q in zip((here, finer), both, strict=False):
+            tree = RTree(q, n[others])
+            after = np.searchsorted(label[others], label[here], side="right") if others is here else np.zeros(len(here), np.int64)
+            for k, i in enumerate(here.tolist()):
+                if after[k] < len(others):
+                    hit = others[tree.search(points[k], int(n[i]), int(after[k]), num, den)]
+                    most = np.minimum(n[i] - pos[i], n[hit] - pos[hit])  # with the shared shingle as the first
+                    hit = hit[(most >= needed(n[i], n[hit], num, den)) & (label[hit] != label[i])]
+                    a.append(np.full(len(hit), cid[i]))
+                    b.append(cid[hit])
+    a, b = np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _join_cells(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: h, i, j, cid, n, label, vec, ordered within partitions by (h, i, j, label, n) -> (a, b) of different labels."""
-
-    def flush(cid: list, n: list, label: list, vec: list) -> pa.RecordBatch | None:
-        if len(cid) < 2 or label[0] == label[-1]:
-            return None
-        c, n, label = np.array(cid), np.array(n), np.array(label)
-        tree = RTree(np.frombuffer(b"".join(vec), np.uint16).reshape(-1, GROUPS), n)
-        after = np.searchsorted(label, label, side="right")  # rows come by label
-        a, b = [], []
-        for x in range(len(c)):
-            if after[x] < len(c):
-                hit = tree.search(tree.points[x], int(n[x]), int(after[x]), num, den)
-                a.append(np.full(len(hit), c[x]))
-                b.append(c[hit])
-        a, b = np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    """rows: h, i, j, cid, n, pos, label, vec, ordered within partitions by (h, i, j, label, n) -> (a, b) of different labels."""
+    names = ("cid", "n", "pos", "label", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [])
+        key, held = None, [[] for _ in names]
+        found: set[tuple[int, int]] = set()  # pairs that other shingles of this task have given
+
+        def flush() -> None:
+            label = held[3]
+            if len(label) > 1 and label[0] != label[-1]:
+                a, b = _cell_pairs(*(np.array(x) for x in held[:4]), held[4], num, den)
+                found.update(zip(a.tolist(), b.tolist(), strict=True))
+
+        def give() -> pa.RecordBatch:
+            a, b = zip(*found, strict=True)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
             h, i, j = (batch.column(c).to_numpy() for c in ("h", "i", "j"))
+            columns = [batch.column(c).to_pylist() for c in names]
             cut = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(h)], strict=True):
                 if s == e:
                     continue
                 if key != (h[s], i[s], j[s]):
-                    if (out := flush(*held)) is not None:
-                        yield out
-                    key, held = (h[s], i[s], j[s]), ([], [], [], [])
-                for column, name in zip(held, ("cid", "n", "label", "vec"), strict=True):
-                    column.extend(batch.column(name).slice(s, e - s).to_pylist())
-        if (out := flush(*held)) is not None:
-            yield out
+                    flush()
+                    key, held = (h[s], i[s], j[s]), [[] for _ in names]
+                for column, values in zip(held, columns, strict=True):
+                    column.extend(values[s:e])
+            if len(found) > 100_000:
+                yield give()
+        flush()
+        if found:
+            yield give()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -251,7 +309,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     key = ["n", "s1", "s2"]
     classes = points.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("vec").alias("vec"), F.first("prefix").alias("prefix"))
     classes = save(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
-    heads = classes.select("cid", F.explode("prefix").alias("h"))
+    heads = classes.select("cid", F.posexplode("prefix").alias("pos", "h"))
     shared = heads.groupBy("h").agg(F.count("*").alias("m"), F.min("cid").alias("star")).where("m > 1")
     groups = save(heads.join(shared, "h"), "jaccard-groups")
 
@@ -260,14 +318,14 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = _verify(first, docs, classes, k, num, den)
 
     label = components(links, "jaccard").withColumnRenamed("id", "cid")
-    marked = groups.join(label, "cid", "left").select("h", "m", "cid", F.coalesce("component", "cid").alias("label"))
+    marked = groups.join(label, "cid", "left").select("h", "m", "cid", "pos", F.coalesce("component", "cid").alias("label"))
     open_groups = marked.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
     rest = marked.join(open_groups, "h").join(classes.select("cid", "n", "vec"), "cid")
     # A large group is cut into parts that meet pairwise: (i, j) with i <= j.
     parts = F.ceil(F.col("m") / CELL)
     part = F.pmod(F.xxhash64("cid"), parts)
     meets = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    cells = rest.withColumn("part", part).select("h", F.explode(meets).alias("c"), "cid", "n", "label", "vec").select("h", "c.i", "c.j", "cid", "n", "label", "vec")
+    cells = rest.withColumn("part", part).select("h", F.explode(meets).alias("c"), "cid", "n", "pos", "label", "vec").select("h", "c.i", "c.j", "cid", "n", "pos", "label", "vec")
     second = _join_cells(cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "label", "n"), num, den).distinct()
     second = save(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     links = links.union(_verify(second, docs, classes, k, num, den)) if second.limit(1).count() else links
