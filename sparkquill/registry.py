@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "hybrid_search"
-MODULES = ("text", "chunks", "formats", "search", "selection")
+MODULES = ("text", "chunks", "formats", "search", "selection", "routing", "sessions")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
