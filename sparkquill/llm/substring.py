@@ -83,9 +83,7 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
         rows = _candidates(docs, min_words, levels, level, filters, joins is not None)
         if joins is not None:
             rows = rows.join(joins.withColumnRenamed("key", "prev"), "prev", "left_semi").select("key", "doc_id")
-        last = level == len(levels) - 1
-        if last:
-            rows = save(rows, "substring-windows")
+        last = level == len(levels) - 1  # its windows are scanned twice rather than kept: they take half the text's size
         twice = save(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", *["least"] * last), "substring-repeated")
         if joins is not None:
             drop(joins)
