@@ -39,7 +39,7 @@ def adaptively(df: DataFrame, least: int = S.min_chunks, most: int = S.max_chunk
 
     The arrays hold a question's retrieved chunks, which retrieval bounds.
     """
-    item = F.struct((-F.col("score")).alias("neg"), F.col(key).alias("key"), "content")
+    item = F.struct((-F.round("score", 9)).alias("neg"), F.col(key).alias("key"), "content")
     grouped = df.groupBy("qid").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(item)).alias("items"))
     kind = grouped.schema["items"].dataType.simpleString()
     like = lambda a, b: jaccard(a["content"], b["content"])
