@@ -9,9 +9,10 @@ Documents are sets of word shingles. Documents with equal sets form a class; onl
   two sets; of a set and an R-tree node, with the node's largest coordinates. A pair counts at the first shingle its
   prefixes share, so the places of that shingle bound the overlap too. Pairs the bounds leave are verified by exact
   intersection of the whole sets.
-* First each class meets the class it shares most prefix shingles with. Where all classes of a shingle are then
-  connected, no further pair of them can change a component. The other shingles' classes are joined by R-trees over
-  their points, component by component, and what survives is verified: no link between different components is lost.
+* First each class meets a few hubs: the classes most of whose prefix other classes share, as a text does that others
+  were copied from. Where all classes of a shingle are then connected, no further pair of them can change a component.
+  The other shingles' classes are joined by R-trees over their points, component by component, and what survives is
+  verified: no link between different components is lost.
 
 Large groups are split into cells of bounded size that meet pairwise; a verified class's partners are spread over
 cells; nothing is gathered in one task by key. Sets of no shingles link with nothing. Null ids take part; a component
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .common import Words, _mix, components, drop, own, pieces, save, signed, tune, windows
 
-LEAF, CELL, SPREAD = 32, 2048, 256
+LEAF, CELL, SPREAD, HUBS = 32, 2048, 256, 3
 FULL = np.iinfo(np.uint16).max
 #: Sets of so many shingles and more have 64, 128, ... 1,024 groups.
 RESOLUTION = np.array([0, 768, 1536, 3072, 6144])
@@ -310,11 +311,15 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = points.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("vec").alias("vec"), F.first("prefix").alias("prefix"))
     classes = save(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     heads = classes.select("cid", F.posexplode("prefix").alias("pos", "h"))
-    shared = heads.groupBy("h").agg(F.count("*").alias("m"), F.min("cid").alias("star")).where("m > 1")
+    shared = heads.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     groups = save(heads.join(shared, "h"), "jaccard-groups")
 
-    star = groups.where("cid <> star").groupBy("cid", "star").agg(F.count("*").alias("c")).groupBy("cid").agg(F.max_by("star", F.struct("c", -F.col("star"))).alias("star"))
-    first = save(_filter_pairs(star.select(F.col("star").alias("a"), F.col("cid").alias("b")), classes, num, den), "jaccard-pairs")
+    # The hub of a shingle: the class with the largest share of its prefix in common with others.
+    common = groups.groupBy("cid").agg(F.count("*").alias("c")).join(classes.select("cid", F.size("prefix").alias("p")), "cid").select("cid", (F.col("c") / F.col("p")).alias("share"))
+    hubs = groups.select("h", "cid").join(common, "cid").groupBy("h").agg(F.max_by("cid", F.struct("share", -F.col("cid"))).alias("hub"))
+    met = groups.select("h", "cid").join(hubs, "h").where("cid <> hub").groupBy("cid", "hub").agg(F.count("*").alias("c"))
+    met = met.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "hub"))), 1, HUBS).alias("hubs")).select("cid", F.explode("hubs.hub").alias("hub"))
+    first = save(_filter_pairs(met.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct(), classes, num, den), "jaccard-pairs")
     links = _verify(first, docs, classes, k, num, den)
 
     label = components(links, "jaccard").withColumnRenamed("id", "cid")
