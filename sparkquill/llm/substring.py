@@ -78,16 +78,14 @@ def _candidates(docs: DataFrame, n: int, levels: list[int], level: int, filters:
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, keys): the hashes of the document's windows that also start in a document with a smaller id."""
-    levels, filters, joins = lengths(min_words), [], None
+    levels, filters, joins, used = lengths(min_words), [], None, []
     for level in range(len(levels)):
         rows = _candidates(docs, min_words, levels, level, filters, joins is not None)
         if joins is not None:
             rows = rows.join(joins.withColumnRenamed("key", "prev"), "prev", "left_semi").select("key", "doc_id")
         last = level == len(levels) - 1  # its windows are scanned twice rather than kept: they take half the text's size
         twice = save(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", *["least"] * last), "substring-repeated")
-        if joins is not None:
-            drop(joins)
-            joins = None
+        joins = None
         if not last:
             bits = sketch.bits_for(twice.count())
             filters.append(sketch.build(twice, "key", bits) if bits else None)
@@ -95,7 +93,11 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
                 drop(twice)
             else:
                 joins = twice
-    return save(rows.join(twice, "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "substring-marked")
+                used.append(twice)
+    marked = save(rows.join(twice, "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "substring-marked")
+    for df in [*used, twice]:
+        drop(df)
+    return marked
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
