@@ -11,7 +11,8 @@ over the word's shape and its neighbours; neighbouring nodes share a transition
 skip potential with the nearest earlier node whose word is the same or similar (the same digits, or the same text
 without punctuation), so that a number once seen as a phone number is one wherever its document repeats it. Loopy
 belief propagation gives marginals; a free node whose kind has a probability of `least` or more becomes a span.
-Potentials are learnt from pattern labels in a sample of about `sample_docs` documents chosen by a hash of the id and
+Potentials are learnt from pattern labels -- nodes that resemble a labelled one of their document but are not labelled
+themselves are left out, as they may be either -- in a sample of about `sample_docs` documents chosen by a hash of the id and
 at most `sample_nodes` nodes (documented bounds); detection covers all whole texts.
 
 Offsets are code points, ends exclusive. Null text counts as empty; rows with the same id are judged each by its own
@@ -244,21 +245,25 @@ def learn(docs: DataFrame, sample_docs: int = 4_000, sample_nodes: int = 100_000
                 if not len(nodes.word):
                     continue
                 label = np.maximum(nodes.label, 0)
-                follow = np.full(len(label), -1)
-                follow[nodes.chain] = label[nodes.chain + 1]
                 twin = np.full(len(label), -1)
                 for x, y in nodes.skip:
-                    if label[x] > 0:
+                    for one, other in ((x, y), (y, x)):
+                        if nodes.label[one] > 0 and nodes.label[other] <= 0:
+                            label[other] = -1
+                    if nodes.label[x] > 0 and nodes.label[y] > 0:
                         twin[y] = label[x] == label[y]
+                follow = np.full(len(label), -1)
+                follow[nodes.chain] = np.where(label[nodes.chain] >= 0, label[nodes.chain + 1], -1)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(label) + 1, dtype=np.int32) * N_FEATURES), pa.array(nodes.features.reshape(-1).astype(np.int32))), *(pa.array(x.astype(np.int32)) for x in (label, follow, twin))], names=["features", "label", "follow", "twin"])
 
     got = sample.mapInArrow(run, "features array<int>, label int, follow int, twin int").limit(sample_nodes).toArrow()
     k = len(KINDS) + 1
     label, follow, twin = (got.column(c).to_numpy() for c in ("label", "follow", "twin"))
     features = got.column("features").combine_chunks().values.to_numpy().astype(np.int64).reshape(-1, N_FEATURES) if len(got) else np.empty((0, N_FEATURES), np.int64)
-    ok = follow >= 0
+    known = label >= 0
+    ok = (follow >= 0) & known
     pairs = np.bincount(label[ok] * k + follow[ok], minlength=k * k).reshape(k, k).astype(float)
-    return Field().learn(features, label, pairs, float((twin == 1).sum()), float((twin == 0).sum()))
+    return Field().learn(features[known], label[known], pairs, float((twin == 1).sum()), float((twin == 0).sum()))
 
 
 def _added(field: Field, data: np.ndarray, offs: np.ndarray, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
