@@ -125,3 +125,13 @@ def cpu_percent(samples: DataFrame, group: str = "container") -> DataFrame:
     w = Window.partitionBy(group).orderBy("ts", "id")
     used, system = F.col("cpu_total") - F.lag("cpu_total").over(w), F.col("system_total") - F.lag("system_total").over(w)
     return samples.withColumn("cpu_percent", F.when((system > 0) & (used > 0), used / system * 100).otherwise(0.0))
+
+
+def cache_stats(lookups: DataFrame, group: str = "key") -> DataFrame:
+    """lookups: key, hit -> hits, misses, rate."""
+    return lookups.groupBy(group).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.avg(F.col("hit").cast("int")).alias("rate"))
+
+
+def outcome_stats(calls: DataFrame) -> DataFrame:
+    """calls: ok, cached, chunks -> counts, success and cache rates, chunks a call."""
+    return calls.agg(F.count("*").alias("calls"), F.avg(F.col("ok").cast("int")).alias("success_rate"), F.avg(F.col("cached").cast("int")).alias("cache_rate"), F.avg("chunks").alias("chunks_a_call"))

@@ -85,3 +85,18 @@ def positions(tree: DataFrame) -> DataFrame:
     """Coordinates for drawing: a column a depth, a row a node of that depth."""
     n = F.row_number().over(Window.partitionBy("root", "depth").orderBy("session_id")) - 1
     return tree.select("root", "session_id", "parent_id", (F.col("depth") * 250).alias("x"), (n * 100).alias("y"))
+
+
+def recursion_stats(tree: DataFrame) -> DataFrame:
+    """Calls, nodes and the greatest depth of each run."""
+    return tree.groupBy("root").agg(F.count_if(F.col("parent_id").isNotNull()).alias("calls"), F.max("depth").alias("max_depth"), F.count("*").alias("nodes"))
+
+
+def node(tree: DataFrame, root, session_id: str) -> DataFrame:
+    return tree.where((F.col("root") == root) & (F.col("session_id") == session_id))
+
+
+def bundle(steps: DataFrame) -> dict[str, DataFrame]:
+    """Everything about trajectories; the tree is built once and may be cached by the caller."""
+    tree = nodes(steps)
+    return {"tree": tree, "timeline": timeline(tree), "costs": cost_breakdown(tree), "statistics": statistics(steps, tree)}

@@ -122,3 +122,18 @@ def cpu_percent(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT * FROM (VALUES {}) t(provider, model) WHERE model IN ('gpt-4o', 'gpt-4o-mini', 'claude-3-5-sonnet', 'claude-3-opus')".format(", ".join(f"('{m[0]}', '{m[1]}')" for m in C.MODELS)))
 def models_with_vision(spark: SparkSession, sf: str) -> DataFrame:
     return C.with_capability(C.models(spark), "vision").select("provider", "model")
+
+
+@query(
+    f"""WITH {_OPS}, l AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN op END IGNORE NULLS) OVER w AS lop, last_value(CASE WHEN op <> 'get' THEN ts END IGNORE NULLS) OVER w AS lts FROM o WINDOW w AS (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT key, coalesce(lop = 'set' AND ts - lts <= INTERVAL 1 DAY, false) AS hit FROM l WHERE op = 'get') SELECT key, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, round(avg(CAST(hit AS INT)), 6) AS rate FROM h GROUP BY key"""
+)
+def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"))
+    return C.cache_stats(cache_lookups(spark, sf).join(users, "id")).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {L} SELECT count(*) AS calls, round(avg(CAST(ok AS INT)), 6) AS success_rate, round(avg(CAST(fallback AS INT)), 6) AS cache_rate, round(avg(attempts), 6) AS chunks_a_call FROM c")
+def outcome_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = C.outcome_stats(calls(spark, sf).withColumnsRenamed({"fallback": "cached", "attempts": "chunks"}))
+    return out.withColumns({c: F.round(c, 6) for c in ("success_rate", "cache_rate", "chunks_a_call")})

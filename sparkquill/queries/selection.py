@@ -87,3 +87,13 @@ def cite_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def invalid_citations(spark: SparkSession, sf: str) -> DataFrame:
     t = F.format_string("so [%d] and [%d]", F.col("user_id") % 9, F.col("event_id") % 5)
     return table(spark, sf, "events").select("event_id", F.array_join(X.invalid_citations(t, F.array(*map(F.lit, (1, 2, 3)))).cast("array<string>"), ",").alias("invalid"))
+
+
+@query()
+def select_by_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The best chunk of each cluster of one question's results."""
+    from ..operators.clusters import diverse
+
+    hits = retrieved(spark, sf)
+    one = hits.where(F.col("qid") == hits.agg(F.min("qid")).first()[0])
+    return diverse(one).withColumn("score", F.round("score", 6))

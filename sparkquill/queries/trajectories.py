@@ -74,3 +74,8 @@ def trajectory_subtrees(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {L} SELECT root, session_id, parent_id, CAST(depth * 250 AS INTEGER) AS x, CAST((row_number() OVER (PARTITION BY root, depth ORDER BY session_id) - 1) * 100 AS INTEGER) AS y FROM n")
 def trajectory_positions(spark: SparkSession, sf: str) -> DataFrame:
     return T.positions(T.nodes(steps(spark, sf)))
+
+
+@query(f"WITH {L} SELECT root, count(*) FILTER (WHERE parent_id IS NOT NULL) AS calls, CAST(max(depth) AS INTEGER) AS max_depth, count(*) AS nodes FROM n GROUP BY root")
+def recursion_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return T.recursion_stats(T.nodes(steps(spark, sf)))
