@@ -41,6 +41,7 @@ TOPICS = {
 # What raises a question's complexity for adaptive selection.
 COMPLEX_WORDS = ["compare", "contrast", "difference", "similarities", "analyze", "evaluate", "assess", "relationship", "cause", "effect", "impact", "influence", "trend", "pattern", "correlation", "summary"]
 COMPLEX_STARTS = ["how", "why", "explain", "what are the", "describe"]
+# What users are told of each strategy.
 DESCRIPTIONS = {
     "direct_llm": "Direct LLM - Simple Q&A with full context",
     "rag": "RAG - Vector retrieval with semantic search",

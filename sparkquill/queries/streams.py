@@ -18,16 +18,31 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "user_id", "ts", "event_type", F.round("value", 2).alias("value"), folds.seconds("ts").alias("at"), (F.col("event_id") * 53 % 900).cast("double").alias("need"), (F.col("event_id") % 3 > 0).alias("ok"))
 
 
-LIMIT, BREAK = Bucket(rpm=0.05, tpm=20, burst=3), Breaker(failures=2, open_s=40_000, probes=3, successes=2)
+LIMIT, BREAK = Bucket(rpm=0.001, tpm=600, burst=3), Breaker(failures=2, open_s=40_000, probes=3, successes=2)
 
 
-@query()
+_E = "e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, epoch_us(ts) / 1000000 AS now, CAST(event_id * 53 % 900 AS DOUBLE) AS need, event_id % 3 > 0 AS ok FROM events)"
+_BUCKET = f"""WITH RECURSIVE {_E},
+s AS (SELECT e.*, 3.0::DOUBLE AS r1, 600.0::DOUBLE AS t1 FROM e WHERE rn = 1
+UNION ALL SELECT e.*, least(3.0::DOUBLE, CASE WHEN s.r1 >= 1 AND s.t1 >= s.need THEN s.r1 - 1 ELSE s.r1 END + (e.now - s.now) * 0.001::DOUBLE / 60),
+    least(600.0::DOUBLE, CASE WHEN s.r1 >= 1 AND s.t1 >= s.need THEN s.t1 - s.need ELSE s.t1 END + (e.now - s.now) * 600::DOUBLE / 60) FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT event_id, r1 >= 1 AND t1 >= need AS allowed, CASE WHEN r1 >= 1 AND t1 >= need THEN 0.0::DOUBLE ELSE round(greatest((1 - r1) * 60 / 0.001::DOUBLE, (need - t1) * 60 / 600::DOUBLE, 0.0::DOUBLE), 6) END AS wait FROM s"""
+_NEXT = """CASE WHEN blocked THEN 'open' WHEN st = 'closed' THEN CASE WHEN NOT ok AND failed + 1 >= 2 THEN 'open' ELSE 'closed' END WHEN NOT ok THEN 'open' WHEN good + 1 >= 2 THEN 'closed' ELSE 'half_open' END"""
+_BREAKER = f"""WITH RECURSIVE {_E},
+s AS (SELECT event_id, user_id, rn, now, ok, 'closed' AS st, 0 AS failed, 0 AS good, 0.0::DOUBLE AS opened, false AS blocked FROM e WHERE rn = 1
+UNION ALL SELECT e.event_id, e.user_id, e.rn, e.now, e.ok, CASE WHEN x.st = 'open' AND e.now - x.opened >= 40000 THEN 'half_open' ELSE x.st END, x.failed, x.good, x.opened, x.st = 'open' AND e.now - x.opened < 40000
+    FROM (SELECT user_id, rn, {_NEXT} AS st, CASE WHEN blocked OR st <> 'closed' THEN 0 WHEN ok THEN 0 ELSE failed + 1 END AS failed, CASE WHEN NOT blocked AND st = 'half_open' AND ok AND good + 1 < 2 THEN good + 1 ELSE 0 END AS good,
+        CASE WHEN NOT blocked AND {_NEXT} = 'open' THEN now ELSE opened END AS opened FROM s) x JOIN e ON e.user_id = x.user_id AND e.rn = x.rn + 1)
+SELECT event_id, NOT blocked AS allowed, {_NEXT} AS state FROM s"""
+
+
+@query(_BUCKET)
 def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).select("event_id", "user_id", "at", "need")
     return folds.fold(e, "user_id", ["at", "event_id"], LIMIT, ["at", "need"], "allowed boolean, wait double").select("event_id", "allowed", "wait")
 
 
-@query()
+@query(_BREAKER)
 def circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).select("event_id", "user_id", "at", "ok")
     return folds.fold(e, "user_id", ["at", "event_id"], BREAK, ["at", "ok"], "allowed boolean, state string").select("event_id", "allowed", "state")
@@ -77,7 +92,7 @@ def assemble_streams(spark: SparkSession, sf: str) -> DataFrame:
     return windows.assembled(c, 3600)
 
 
-@query()
+@query(_BREAKER)
 def streamed_breaker(spark: SparkSession, sf: str) -> DataFrame:
     """The circuit breaker as a Structured Streaming job over the events file; its rows equal the batch fold's."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quill-stream-")
