@@ -7,7 +7,7 @@ import random
 import pytest
 from helpers import DOCS, edge_docs, no_docs
 
-from sparkquill.llm import decontaminate, jaccard, sketch, substring
+from sparkquill.llm import common, decontaminate, jaccard, sketch, substring
 from sparkquill.llm.common import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -99,7 +99,9 @@ def test_near_duplicate_edge_cases(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 4, 5, 6, 8, 9, None]
 
 
-def test_component_names(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_component_names(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_LINKS", local)
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "t").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20, **dict.fromkeys(range(30, 36), 30)}
