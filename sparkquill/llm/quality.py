@@ -131,3 +131,26 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     by = F.filter(F.array(*hit), lambda x: x.isNotNull())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.size(by) == 0)).alias("kept"), F.concat_ws(",", by).alias("rejected_by"))
+
+
+_GRID = ", ".join(f"('{f}', {i}, {c}::DOUBLE)" for i, (f, cs) in enumerate(GRID.items()) for c in cs)
+_LONG = " UNION ALL ".join(f"SELECT doc_id, k, '{f}' AS feature, {f} AS v FROM x" for f in GRID)
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce('s' || lang, '') AS k, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+m AS (SELECT doc_id, s FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g JOIN m USING (doc_id, s), range(0, 8) r(o) GROUP BY 1),
+b AS (SELECT doc_id, k, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(t, '[^!]', '', 'g')) AS sh FROM d LEFT JOIN c USING (doc_id)),
+x AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, up / greatest(word_chars, 1) AS upper_ratio, sh / greatest(word_chars, 1) AS shout_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_ratio FROM b),
+u AS ({_LONG}),
+grid(feature, place, cutoff) AS (VALUES {_GRID}),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING max(quality) = 1),
+tests AS (SELECT k, feature, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS kk FROM u JOIN good USING (doc_id) JOIN grid USING (feature) GROUP BY 1, 2, 3),
+terms AS (SELECT k, feature, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(0.9875))) AS p FROM (SELECT *, unnest(range(0, kk + 1)) AS i FROM tests WHERE kk < 0.0125 * n) GROUP BY 1, 2, 3),
+rules AS (SELECT k, feature, min(cutoff) AS cutoff FROM terms WHERE p <= 0.05 / ((SELECT count(DISTINCT k) FROM tests) * (SELECT count(*) FROM grid)) GROUP BY 1, 2),
+hits AS (SELECT doc_id, string_agg(feature, ',' ORDER BY place) AS why FROM u JOIN rules USING (k, feature) JOIN (SELECT DISTINCT feature, place FROM grid) USING (feature) WHERE v > cutoff GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND why IS NULL AS kept, coalesce(why, '') AS rejected_by FROM x LEFT JOIN hits USING (doc_id)
+"""

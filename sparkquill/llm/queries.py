@@ -74,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op7_join_similar": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_join_similar": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE}
