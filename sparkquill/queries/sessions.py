@@ -55,12 +55,21 @@ def tool_messages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), role.alias("role"), F.col("ts").alias("created_at"))
 
 
-@query()
+_RUNS = """WITH RECURSIVE o AS (SELECT user_id AS session_id, ['user', 'assistant', 'tool', 'tool', 'assistant'][event_id % 5 + 1] AS role, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+e AS (SELECT * FROM o UNION ALL SELECT session_id, 'end', max(i) + 1 FROM o GROUP BY 1),
+s AS (SELECT session_id, i, role, CAST(-1 AS BIGINT) AS first, CAST(0 AS BIGINT) AS tools FROM e WHERE i = 0
+UNION ALL SELECT e.session_id, e.i, e.role, CASE WHEN s.first >= 0 AND s.role = 'tool' THEN s.first WHEN s.first < 0 AND s.role = 'assistant' THEN s.i ELSE -1 END, CASE WHEN s.first >= 0 AND s.role = 'tool' THEN s.tools + 1 ELSE 0 END
+    FROM s JOIN e ON e.session_id = s.session_id AND e.i = s.i + 1),
+r AS (SELECT session_id, CAST(first AS INTEGER) AS first, CAST(CASE WHEN role = 'assistant' THEN i ELSE i - 1 END AS INTEGER) AS last, CAST(tools AS INTEGER) AS tools FROM s
+    WHERE first >= 0 AND ((role = 'assistant' AND i - first >= 2) OR (role NOT IN ('assistant', 'tool') AND i - first >= 3)))"""
+
+
+@query(_RUNS + " SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY first) - 1 AS INTEGER) AS run, first, last, last - first + 1 AS n, tools FROM r")
 def compactible_runs(spark: SparkSession, sf: str) -> DataFrame:
     return S.compactible(tool_messages(spark, sf))
 
 
-@query()
+@query(_RUNS + " SELECT session_id, CASE WHEN sum(tools) > 0 THEN 'Previous conversation included: ' || CAST(sum(tools) AS BIGINT) || ' tool invocations.' ELSE 'Previous conversation with ' || count(*) || ' exchanges.' END AS summary FROM r GROUP BY session_id")
 def compaction_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return S.compaction_summary(S.compactible(tool_messages(spark, sf)))
 
