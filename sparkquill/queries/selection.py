@@ -25,14 +25,27 @@ def select_progressively(spark: SparkSession, sf: str) -> DataFrame:
     return X.progressively(retrieved(spark, sf), 15, 0.08).select("qid", "doc_id", "selected")
 
 
-@query()
+_WORDS = r"len(list_filter(regexp_split_to_array(query, '\s+'), lambda w: w <> ''))"
+_KW = " + ".join(f"CASE WHEN contains(lower(query), '{w}') THEN 0.05 ELSE 0.0 END" for w in ["compare", "contrast", "difference", "similarities", "analyze", "evaluate", "assess", "relationship", "cause", "effect", "impact", "influence", "trend", "pattern", "correlation", "summary"])
+_ST = " + ".join(f"CASE WHEN starts_with(lower(query), '{w}') THEN 0.05 ELSE 0.0 END" for w in ["how", "why", "explain", "what are the", "describe"])
+_ADAPTIVE = rf"""WITH RECURSIVE {RETRIEVED},
+it AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS i, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda w: w <> '')) AS ws FROM re),
+sm AS (SELECT a.qid, a.i, list(CASE WHEN len(a.ws) > 0 AND len(b.ws) > 0 THEN len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) ELSE 0.0 END ORDER BY b.i) AS sims FROM it a JOIN it b USING (qid) GROUP BY 1, 2),
+ta AS (SELECT qid, count(*) AS n, CAST(greatest(3, least(floor(count(*) * (0.3 + 0.4 * round(CAST(least(1.0, greatest(0.0, 0.5 + CASE WHEN any_value({_WORDS}) > 20 THEN 0.2 WHEN any_value({_WORDS}) > 10 THEN 0.1 WHEN any_value({_WORDS}) < 5 THEN -0.1 ELSE 0.0 END + any_value({_KW} + {_ST}))) AS DOUBLE), 9))), 10, count(*))) AS INTEGER) AS target FROM re GROUP BY 1),
+kp AS (SELECT qid, 0 AS i, CAST([] AS BIGINT[]) AS kept FROM ta
+UNION ALL SELECT kp.qid, kp.i + 1, CASE WHEN len(list_filter(kept, lambda k: sims[k] > 0.85)) > 0 THEN kept ELSE list_append(kept, kp.i + 1) END FROM kp JOIN sm ON sm.qid = kp.qid AND sm.i = kp.i + 1),
+kk AS (SELECT kp.qid, kept, target FROM kp JOIN ta ON ta.qid = kp.qid AND kp.i = n),
+ch AS (SELECT qid, kept, target, 0 AS p, CAST([] AS BIGINT[]) AS chosen FROM kk
+UNION ALL SELECT ch.qid, kept, target, p + 1, CASE WHEN len(chosen) >= target OR len(list_filter(chosen, lambda k: sims[k] > 0.8)) > 0 THEN chosen ELSE list_append(chosen, kept[p + 1]) END FROM ch JOIN sm ON sm.qid = ch.qid AND sm.i = kept[p + 1] WHERE p < len(kept)),
+fi AS (SELECT qid, target, list_concat(chosen, list_filter(kept, lambda k: NOT list_contains(chosen, k))[1:greatest(0, 3 - len(chosen))]) AS final FROM ch WHERE p = len(kept))
+SELECT f.qid, target, CAST(s - 1 AS INTEGER) AS selected, doc_id, round(round(score, 9), 6) AS score FROM (SELECT qid, target, unnest(final) AS i, generate_subscripts(final, 1) AS s FROM fi) f JOIN it ON it.qid = f.qid AND it.i = f.i"""
+
+
+@query(_ADAPTIVE)
 def select_adaptively(spark: SparkSession, sf: str) -> DataFrame:
     return X.adaptively(retrieved(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-_WORDS = r"len(list_filter(regexp_split_to_array(query, '\s+'), lambda w: w <> ''))"
-_KW = " + ".join(f"CASE WHEN contains(lower(query), '{w}') THEN 0.05 ELSE 0.0 END" for w in ["compare", "contrast", "difference", "similarities", "analyze", "evaluate", "assess", "relationship", "cause", "effect", "impact", "influence", "trend", "pattern", "correlation", "summary"])
-_ST = " + ".join(f"CASE WHEN starts_with(lower(query), '{w}') THEN 0.05 ELSE 0.0 END" for w in ["how", "why", "explain", "what are the", "describe"])
 STEMS = ["What is ", "Compare and contrast the trend of ", "Summarize all of ", "How does the impact of ", "Why ", "List ", "Describe everything in the entire "]
 QUESTIONS = "qs AS (SELECT item_id AS qid, [{0}][item_id % 7 + 1] || substr(text, 1, 20 + (item_id * 13) % 80) AS query FROM benchmark)".format(", ".join(f"'{s}'" for s in STEMS))
 
