@@ -49,11 +49,11 @@ def trajectory_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {L}, a AS (SELECT root, count(*) AS steps, count(*) FILTER (WHERE contains({_KNOWN}, 'LLM')) AS llm_calls, count(*) FILTER (WHERE NOT contains({_KNOWN}, 'LLM') AND contains({_KNOWN}, 'CODE')) AS code_runs, count(*) FILTER (WHERE {_KNOWN} = 'ERROR') AS errors, round(sum(cost), 9) AS total_cost FROM d GROUP BY 1)
-SELECT a.*, x.max_depth, x.avg_ms FROM a JOIN (SELECT root, CAST(max(depth) AS INTEGER) AS max_depth, round(avg(CASE WHEN ms > 0 THEN ms END), 3) AS avg_ms FROM n GROUP BY 1) x USING (root)"""
+SELECT a.*, x.max_depth, x.avg_ms FROM a JOIN (SELECT root, CAST(max(depth) AS INTEGER) AS max_depth, round(avg(CASE WHEN ms > 0 THEN ms END), 0) AS avg_ms FROM n GROUP BY 1) x USING (root)"""
 )
 def trajectory_statistics(spark: SparkSession, sf: str) -> DataFrame:
     s = steps(spark, sf)
-    return T.statistics(s, T.nodes(s)).withColumn("total_cost", F.round("total_cost", 9)).withColumn("avg_ms", F.round("avg_ms", 3))
+    return T.statistics(s, T.nodes(s)).withColumn("total_cost", F.round("total_cost", 9)).withColumn("avg_ms", F.round("avg_ms", 0))
 
 
 @query(
