@@ -12,8 +12,8 @@
 The index and its terms have a bounded size and are broadcast; labels, language, source and id are no input of a
 score (the id only keeps an example from voting for itself). Documents without any of the terms, null and empty ones
 included, get the rate of such examples. Without examples every score is 0. Equal distances are taken in order of
-id; rows with the same id are scored each by its own text; other columns, whatever their names, are left out
-(`reject` keeps them all).
+id. Rows with the same id are scored each by its own text; the least of them is the example of a labelled id. Other
+columns, whatever their names, are left out (`reject` keeps them all).
 """
 
 from __future__ import annotations
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_examples)
-    examples = save(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text_of("text").alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxicity-examples")
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text_of("text")).alias("text"))
+    examples = save(texts.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "toxicity-examples")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

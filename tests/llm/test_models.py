@@ -74,6 +74,15 @@ def test_toxicity_edge_cases(spark):
     assert kept.columns == edge_docs(spark).columns and kept.count() == len(DOCS)
 
 
+def test_one_text_of_a_labelled_id_is_an_example(spark):
+    rows = [(1, "good words here"), *[(2, f"vile words {i % 9}") for i in range(500)], (3, "good text here"), *[(i, "plain words") for i in range(10, 20)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = labels(spark, [(i, 1, int(i == 2), "", "") for i in (1, 2, 3, *range(10, 20))])
+    index = toxicity.fit(docs, lab, F.lit(True), least_chi2=0.0)
+    assert len(index.ids) <= 13 and len(set(index.ids)) == len(index.ids)
+    assert toxicity.score(docs, lab, F.lit(True)).count() == len(rows)
+
+
 # ------------------------------------------------------------------------------------- language model
 
 
