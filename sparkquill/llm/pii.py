@@ -13,7 +13,7 @@ without punctuation), so that a number once seen as a phone number is one wherev
 belief propagation gives marginals; a free node whose kind has a probability of `least` or more becomes a span.
 Potentials are learnt from pattern labels -- nodes that resemble a labelled one of their document but are not labelled
 themselves are left out, as they may be either -- in a sample of about `sample_docs` documents chosen by a hash of the id and
-at most `sample_nodes` nodes (documented bounds); detection covers all whole texts.
+at most `sample_nodes` nodes, the first by a hash of what they are (documented bounds); detection covers all whole texts.
 
 Offsets are code points, ends exclusive. Null text counts as empty; rows with the same id are judged each by its own
 text; extra columns are left out by `find` and kept by `redact`.
@@ -256,7 +256,7 @@ def learn(docs: DataFrame, sample_docs: int = 4_000, sample_nodes: int = 100_000
                 follow[nodes.chain] = np.where(label[nodes.chain] >= 0, label[nodes.chain + 1], -1)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(label) + 1, dtype=np.int32) * N_FEATURES), pa.array(nodes.features.reshape(-1).astype(np.int32))), *(pa.array(x.astype(np.int32)) for x in (label, follow, twin))], names=["features", "label", "follow", "twin"])
 
-    got = sample.mapInArrow(run, "features array<int>, label int, follow int, twin int").limit(sample_nodes).toArrow()
+    got = sample.mapInArrow(run, "features array<int>, label int, follow int, twin int").orderBy(F.xxhash64("features", "label", "follow", "twin")).limit(sample_nodes).toArrow()
     k = len(KINDS) + 1
     label, follow, twin = (got.column(c).to_numpy() for c in ("label", "follow", "twin"))
     features = got.column("features").combine_chunks().values.to_numpy().astype(np.int64).reshape(-1, N_FEATURES) if len(got) else np.empty((0, N_FEATURES), np.int64)

@@ -138,6 +138,12 @@ def test_repeated_number_takes_its_earlier_label(spark):
         assert set(r["base"].split(",")) < set(r["spans"].split(","))
 
 
+def test_field_is_the_same_in_any_order_of_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, two = (pii.learn(d, sample_nodes=50) for d in (docs, docs.repartition(7)))
+    assert (one.unary == two.unary).all() and (one.transition == two.transition).all() and one.skip == two.skip
+
+
 def test_personal_data_edge_cases(spark):
     out = pii.find(edge_docs(spark)).collect()
     assert sorted(r["base"] for r in out) == sorted(_base(t) for _, t, *_ in DOCS)
