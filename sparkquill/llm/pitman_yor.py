@@ -2,21 +2,23 @@
 
 Event space: the distinct training tokens (words with A-Z lowered, and one end token) and one unknown token.
 
-* Counts cover every training token. The `dishes` most frequent tokens are told apart inside the context restaurants;
-  all others share one dish there, RARE, and are told apart by a restaurant of their own below it, so that
-  P(w | context) = P(RARE | context) * P(w | RARE) stays normalised.
-* The context of a token is the latest of the `contexts` most frequent tokens before it in its document. Context
-  restaurants send their tables as customers to one shared parent, the unigram restaurant; that one and the rare
-  restaurant rest on uniform bases, of which the unknown token holds half in the rare restaurant.
+* Counts cover every training token. The context of a token is the token before it in its document (the end token at
+  its beginning), and every context seen in training has a restaurant of its own, with all of its dishes. Counts are
+  aggregated by pair; restaurants are seated where their context's hash puts them.
+* Context restaurants send their tables as customers to one shared parent, the unigram restaurant over all words. It
+  rests on a base of which the unknown token holds half and the training tokens share the rest evenly. A pair not seen
+  in training has the parent's probability times the share that its context leaves to new tables.
 * Seating follows the Chinese-restaurant construction and is sampled by Gibbs, given the parent's predictive
   probabilities. A dish's seating matters only by its number of tables, so a step takes out all customers of a dish
   and draws its tables anew from their exact conditional distribution (by generalised Stirling numbers, Teh 2006). Of a
-  dish with more than CAP customers, the first CAP are seated so and the others join in turn.
+  dish with more than CAP customers, the first CAP are seated so and the others join in turn. Dishes are moved in eight
+  parts, the dishes of a part together; a restaurant's discount is rounded to a step of 1 / STEPS.
 * Scores use predictive probabilities averaged over the samples.
 
-What is broadcast has a fixed size: `dishes` hashes and a `contexts` x `dishes` table of 32-bit floats. Rare tokens
-are joined by shuffle. Null or empty text is one end token; rows with the same id are scored each by its own text;
-extra columns are left out; without training rows every probability is the unknown token's.
+What is broadcast has a fixed size: the `dishes` most frequent words and pairs and the `contexts` most frequent contexts.
+This is only a matter of speed: the others are joined by shuffle, with the same result. Null or empty text is one end
+token; rows with the same id are scored each by its own text; extra columns are left out; without training rows every
+probability is the unknown token's.
 """
 
 from __future__ import annotations
@@ -25,18 +27,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop, own, pieces, save, signed, text_of, tune
+from .common import _R1, Words, _mix, drop, own, pieces, save, signed, text_of, tune
 
 END = 0x243F6A8885A308D3  # the end token's hash
 CAP = 256
 #: Merge partial counts in a worker once it holds so many.
 HELD = 1_000_000
-LIMIT = 200  # rare tokens with more customers than this are scored as interpolated from it
+LIMIT = 200  # tokens with more customers than this are scored as interpolated from it
+STEPS = 20
+#: Pairs that one task seats, about.
+SEATED = 500_000
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,31 +94,59 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_aggregated(lambda d, o: _tokens(d, o)[0], "hash"), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def _pairs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context of each token, and the hash of both. Before a document's first token stands an end token."""
+    context = np.empty_like(tokens)
+    context[:1], context[1:] = END, tokens[:-1]
+    return context, _mix(context * np.uint64(_R1) + tokens)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, context, hash, n), combined within the worker up to a bounded size."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        pair, context, token, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        pair, at, back = np.unique(pair, return_index=True, return_inverse=True)
+        return pair, context[at], token[at], np.bincount(back, weights=n, minlength=len(pair)).astype(np.int64)
+
+    give = lambda x: pa.RecordBatch.from_arrays([*(pa.array(signed(h)) for h in x[:3]), pa.array(x[3])], names=["pair", "context", "hash", "n"])
+    for batch in batches:
+        for _, data, offs in pieces(batch):
+            tokens, _, _ = _tokens(data, offs)
+            context, pair = _pairs(tokens)
+            pair, at, n = np.unique(pair, return_index=True, return_counts=True)
+            held.append((pair, context[at], tokens[at], n))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield give(held[0])
+                    held = []
+    if held:
+        yield give(merged())
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(pair, context, hash, n) of all tokens behind all contexts."""
+    counted = docs.select("text").mapInArrow(_count_pairs, "pair bigint, context bigint, hash bigint, n bigint")
+    return counted.groupBy("pair", "context", "hash").agg(F.sum("n").alias("n"))
+
+
 class Vocabulary:
-    """The dishes: hash -> number, in order of falling frequency; the first `contexts` of them are contexts."""
+    """Frequent hashes -> their number, in order of falling frequency."""
 
-    def __init__(self, hashes: np.ndarray, contexts: int) -> None:
+    def __init__(self, hashes: np.ndarray) -> None:
         self.order = np.argsort(hashes.view(np.uint64)).astype(np.int32)
         self.sorted = hashes.view(np.uint64)[self.order]
-        self.size, self.contexts = len(hashes), contexts
+        self.size = len(hashes)
 
     def numbers(self, tokens: np.ndarray) -> np.ndarray:
-        """The dish of each token; `size` for RARE."""
+        """The number of each token; `size` for all others."""
         u, back = np.unique(tokens, return_inverse=True)
         at = np.minimum(np.searchsorted(self.sorted, u), max(self.size - 1, 0))
         dish = np.where(self.sorted[at] == u, self.order[at], self.size) if self.size else np.zeros(len(u), np.int32)
         return dish.astype(np.int64)[back]
 
-    def context(self, dishes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The latest frequent token before each token of its document; `contexts` where there is none."""
-        n = len(dishes)
-        at = np.arange(n)
-        seen = np.where(dishes < self.contexts, at, -1)
-        last = np.empty(n, np.int64)
-        last[:1], last[1:] = -1, np.maximum.accumulate(seen)[:-1]
-        ok = last >= np.repeat(first[:-1], np.diff(first))
-        return np.where(ok, dishes[np.maximum(last, 0)], self.contexts)
-
 
 # --------------------------------------------------------------------------------------------- seating
 
@@ -187,41 +219,88 @@ def _restaurant_seed(context: int) -> np.random.Generator:
     return np.random.default_rng(20_011 + context)
 
 
-def _seat_contexts(cells: DataFrame, parent: np.ndarray, theta: float, sweeps: int, burn: int, what: str) -> pa.Table:
-    """For every context restaurant, as arrays over the dishes: what is "tables", or "p", averaged predictive probabilities."""
-    shared = cells.sparkSession.sparkContext.broadcast(parent)
+_STIRLING: dict[int, np.ndarray] = {}
 
-    def seat(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = shared.value
-        context = int(pdf["context"].iloc[0])
-        dish, c = pdf["dish"].to_numpy(), pdf["n"].to_numpy()
-        d = _hyper(float((c == 1).sum()), float((c == 2).sum()))
-        _, samples = sample_tables(c, base[dish], d, theta, sweeps, burn, _restaurant_seed(context))
-        full_c = np.zeros(len(base))
-        full_c[dish] = c
-        mean = np.zeros(len(base))
-        tables = np.zeros(len(base))
-        for s in samples:
-            full_t = np.zeros(len(base))
-            full_t[dish] = s
-            mean += predictive(full_c, full_t, d, theta, base, c.sum(), s.sum()) / len(samples)
-            tables += full_t / len(samples)
-        return pd.DataFrame({"context": [context], "row": [(tables if what == "tables" else mean).astype(np.float32).tobytes()]})
 
-    return cells.groupBy("context").applyInPandas(seat, "context int, row binary").toArrow()
+def _stirlings(steps: np.ndarray) -> np.ndarray:
+    """_log_stirling for every step of the discount; only those asked for are filled in."""
+    for k in np.unique(steps).tolist():
+        if k not in _STIRLING:
+            _STIRLING[k] = _log_stirling(k / STEPS)
+    out = np.empty((STEPS, CAP + 1, CAP + 1))
+    for k in np.unique(steps).tolist():
+        out[k] = _STIRLING[k]
+    return out
 
 
-class Model:
-    """log10 P(dish | context) as a table, and P(rare token | RARE) as a function of its training count."""
+def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: float, sweeps: int, burn: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean tables of each dish, mean tables of each restaurant and the restaurants' discounts.
 
-    def __init__(self, table: np.ndarray, rare: np.ndarray, rare_tail: tuple[float, float]) -> None:
-        self.table, self.rare, self.rare_tail = table, rare, rare_tail
+    rest: the restaurant (0, 1, ...) of each dish; c: its customers; base: the parent's probability of it.
+    """
+    n = int(rest.max()) + 1
+    n1, n2 = np.bincount(rest, c == 1, n), np.bincount(rest, c == 2, n)
+    step = np.clip(np.rint(STEPS * np.where((n1 > 0) & (n2 > 0), n1 / np.maximum(n1 + 2 * n2, 1), 0.5)), 1, STEPS - 1).astype(np.int64)
+    discount = step / STEPS
+    d, step = discount[rest], step[rest]
+    t = np.minimum(c, np.ceil(c**d)).astype(float)
+    cap, more = np.minimum(c, CAP).astype(np.int64), np.flatnonzero(c > 1)  # a lone customer always has a table
+    total, mean, stirling = np.bincount(rest, t, n), np.zeros(len(c)), _stirlings(step)
+    for sweep in range(sweeps):
+        for part in np.array_split(rng.permutation(more), 8):
+            old = t[part].copy()
+            for low, width in ((1, 4), (4, 16), (16, 64), (64, CAP)):
+                rows = part[(cap[part] > low) & (cap[part] <= width)]
+                for some in np.array_split(rows, len(rows) // 4096 + 1):
+                    if not len(some):
+                        continue
+                    k = np.arange(width)
+                    others = np.maximum(total[rest[some]] - t[some], 0)[:, None]
+                    logs = stirling[step[some], cap[some], 1 : width + 1] + (k + 1) * np.log(base[some])[:, None] + np.cumsum(np.log(theta + d[some][:, None] * (others + k)), axis=1)
+                    drawn = 1.0 + np.argmax(logs + rng.gumbel(size=logs.shape), axis=1)
+                    if width == CAP:
+                        drawn = _join_in_turn(drawn, c[some], (theta + d[some] * total[rest[some]]) * base[some], d[some], rng)
+                    t[some] = drawn
+            total += np.bincount(rest[part], t[part] - old, n)
+        if sweep >= burn:
+            mean += t / (sweeps - burn)
+    return mean, np.bincount(rest, mean, n), discount
+
+
+def _seat_contexts(cells: DataFrame, theta: float, sweeps: int, burn: int, what: str, tasks: int) -> DataFrame:
+    """cells: pair, context, hash, n, base (log10). what: "tables" gives (hash, t), the tables sent to the parent;
+    "p" gives (pair, context, n, score, back), log10 of the pair's and of the context's share for new tables."""
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        pair, context, token, n, base = (got.column(x).to_numpy() for x in ("pair", "context", "hash", "n", "base"))
+        del held, got
+        order = np.lexsort((token, context))
+        pair, context, token, n, base = pair[order], context[order], token[order], n[order], 10 ** base[order]
+        _, rest = np.unique(context, return_inverse=True)
+        t, tables, d = seat_restaurants(rest, n, base, theta, sweeps, burn, _restaurant_seed(0))
+        if what == "tables":
+            u, back = np.unique(token, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(back, t, len(u)))], names=["hash", "t"])
+            return
+        customers = np.bincount(rest, n)
+        p = predictive(n, t, d[rest], theta, base, customers[rest], tables[rest])
+        share = np.log10((theta + d * tables) / (theta + customers))
+        for at in range(0, len(n), 1 << 16):
+            x = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[x]), pa.array(context[x]), pa.array(n[x]), pa.array(np.log10(np.maximum(p[x], 1e-30))), pa.array(share[rest[x]])], names=["pair", "context", "n", "score", "back"])
+
+    schema = "hash bigint, t double" if what == "tables" else "pair bigint, context bigint, n bigint, score double, back double"
+    return cells.repartition(tasks, "context").mapInArrow(seat, schema)
 
 
-def _fit_rare(counts: np.ndarray, words: np.ndarray, sweeps: int, burn: int) -> tuple[np.ndarray, tuple[float, float]]:
-    """log10 P(w | RARE) for training counts 0 .. LIMIT, and (log10 denominator, discount) beyond.
+def _fit_root(counts: np.ndarray, words: np.ndarray, sweeps: int, burn: int) -> tuple[np.ndarray, tuple[float, float]]:
+    """log10 P(w) in the unigram restaurant for 0 .. LIMIT customers, and (log10 denominator, discount) beyond.
 
-    counts, words: how many rare tokens have each count; tokens with one count are exchangeable and share a row.
+    counts, words: how many tokens have each count; tokens with one count are exchangeable and share a row.
     """
     rng = _restaurant_seed(-1)
     known, customers = float(words.sum()), float((counts * words).sum())
@@ -242,66 +321,56 @@ def _fit_rare(counts: np.ndarray, words: np.ndarray, sweeps: int, burn: int) ->
     return np.log10(np.maximum(mean, 1e-300)), (math.log10(theta + customers), d)
 
 
-def fit(train: DataFrame, counts: DataFrame, vocabulary: Vocabulary, sweeps: int = 6, burn: int = 2, theta: float = 1.0) -> Model:
-    """counts: (hash, n) of all training tokens; its tokens outside the vocabulary are the rare ones."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    width = vocabulary.size + 1
-
-    def cell(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        v = shared.value
-        tokens, _, first = _tokens(data, offs)
-        dish = v.numbers(tokens)
-        return (v.context(dish, first) * width + dish).astype(np.uint64)
-
-    cells = train.select("text").mapInArrow(_aggregated(cell, "cell"), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    cells = save(cells.select(F.expr(f"CAST(cell DIV {width} AS INT)").alias("context"), F.expr(f"CAST(cell % {width} AS INT)").alias("dish"), "n"), "hpy-cells")
-
-    # The unigram restaurant's first customers: one table for each dish of each context; then twice in turn.
-    dishes = cells.groupBy("dish").agg(F.count("*").alias("t"), F.sum("n").alias("n")).toPandas()  # at most `dishes` rows
-    first_t, n = np.zeros(width), np.zeros(width)
-    first_t[dishes["dish"]], n[dishes["dish"]] = dishes["t"], dishes["n"]
-    uniform = np.full(width, 1.0 / width)
-    tables = first_t
-    table = np.zeros((0, width), np.float32)
-    for turn, what in enumerate(("tables", "p")):
-        c = np.round(tables).astype(np.int64)
-        live = np.flatnonzero(c)
-        d = _hyper(float((c == 1).sum()), float((c == 2).sum()))
-        parent = np.zeros(width)
-        _, samples = sample_tables(c[live], uniform[live], d, theta, sweeps, burn, _restaurant_seed(-2 - turn))
-        for s in samples:
-            full = np.zeros(width)
-            full[live] = s
-            parent += predictive(c, full, d, theta, uniform, c.sum(), s.sum()) / len(samples)
-        if not len(samples):
-            parent = uniform
-        out = _seat_contexts(cells, parent, theta, sweeps, burn, what)
-        rows = [np.frombuffer(x.as_buffer(), np.float32) for x in out["row"]]
-        if what == "tables":
-            tables = np.maximum(sum(rows, np.zeros(width)), (n > 0).astype(float))
-            continue
-        table = np.tile(np.log10(parent).astype(np.float32), (vocabulary.contexts + 1, 1))
-        for context, p in zip(out["context"].to_pylist(), rows, strict=True):
-            table[context] = np.log10(np.maximum(p, 1e-30))
-        del out, rows
+def _with(df: DataFrame, values: DataFrame, key: str, often: int) -> DataFrame:
+    """df with the values of its key (values: key, n, ...), null where there are none. The keys of the largest n are joined by broadcast."""
+    spark = df.sparkSession
+    others = [c for c in values.columns if c != "n"]
+    top = values.orderBy(F.desc("n"), key).limit(often).select(*others)
+    top = spark.createDataFrame(top.toPandas(), top.schema)
+    rest = df.join(F.broadcast(top.select(key)), key, "left_anti").join(values.select(*others), key, "left")
+    return df.join(F.broadcast(top), key).unionByName(rest)
+
+
+def _root(customers: DataFrame, sweeps: int, burn: int) -> tuple[DataFrame, float]:
+    """customers: (hash, n) in the unigram restaurant -> (hash, n, base), and the unknown token's base: log10 P."""
+    histogram = customers.groupBy("n").agg(F.count("*").alias("words")).orderBy("n").toPandas()  # one row for each count that occurs
+    p, tail = _fit_root(histogram["n"].to_numpy(np.int64), histogram["words"].to_numpy(np.int64), sweeps, burn)
+    return customers.withColumn("base", _root_score(p, tail, F.col("n"))), float(p[0])
+
+
+def fit(train: DataFrame, dishes: int, sweeps: int = 6, burn: int = 2, theta: float = 1.0) -> tuple[DataFrame, DataFrame, float]:
+    """(pair, context, n, score, back) for every pair, (hash, n, base) for every word, and the unknown token's base."""
+    cells = save(pair_counts(train), "hpy-cells")
+    tasks = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells.count() // SEATED + 1)
+    # The unigram restaurant's first customers: one table for each dish of each context; then those that are sampled.
+    customers = cells.groupBy("hash").agg(F.count("*").alias("n"))
+    for what in ("tables", "p"):
+        root, unknown = _root(save(customers, "hpy-root"), sweeps, burn)
+        out = _seat_contexts(_with(cells, root, "hash", dishes), theta, sweeps, burn, what, tasks)
+        customers = out.groupBy("hash").agg(F.greatest(F.round(F.sum("t")), F.lit(1)).cast("long").alias("n")) if what == "tables" else None
+    pairs = save(out, "hpy-pairs")
     drop(cells)
-
-    known = spark.createDataFrame(pd.DataFrame({"hash": signed(vocabulary.sorted)}), "hash bigint")
-    rare = counts.join(F.broadcast(known), "hash", "left_anti")
-    histogram = rare.groupBy("n").agg(F.count("*").alias("words")).orderBy("n").limit(1_000_000).toPandas()
-    rare_p, tail = _fit_rare(histogram["n"].to_numpy(np.int64), histogram["words"].to_numpy(np.int64), sweeps, burn)
-    return Model(table, rare_p, tail)
+    return pairs, root, unknown
 
 
-def _rare_score(model: Model, c: Column) -> Column:
-    table = F.array(*[F.lit(float(x)) for x in model.rare])
-    t_share = 10 ** (model.rare[-1] + model.rare_tail[0]) - LIMIT  # what the discount takes from a count of LIMIT
-    beyond = F.log10(F.greatest(c + F.lit(t_share), F.lit(1e-9))) - F.lit(model.rare_tail[0])
+def _root_score(p: np.ndarray, tail: tuple[float, float], c: Column) -> Column:
+    table = F.array(*[F.lit(float(x)) for x in p])
+    t_share = 10 ** (p[-1] + tail[0]) - LIMIT  # what the discount takes from a count of LIMIT
+    beyond = F.log10(F.greatest(c + F.lit(float(t_share)), F.lit(1e-9))) - F.lit(float(tail[0]))
     return F.when(c <= LIMIT, F.get(table, c.cast("int"))).otherwise(beyond)
 
 
-def score(docs: DataFrame, train: Column, dishes: int = 1 << 16, contexts: int = 64, id_col: str = "doc_id", text_col: str = "text", **fit_args) -> DataFrame:
+def _by_doc(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each document's distinct keys stand, how often they occur, and the documents' ends among them."""
+    order = np.lexsort((key, doc))
+    d, k = doc[order], key[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(d))).astype(np.int32), pa.array(np.searchsorted(d[at], np.arange(n + 1)).astype(np.int32))
+
+
+def score(docs: DataFrame, train: Column, dishes: int = 1 << 16, contexts: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", **fit_args) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row. train: which rows are learnt from, over doc_id and text."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
@@ -311,43 +380,56 @@ def score(docs: DataFrame, train: Column, dishes: int = 1 << 16, contexts: int =
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     top = counts.orderBy(F.desc("n"), "hash").limit(dishes).toPandas()
-    vocabulary = Vocabulary(top["hash"].to_numpy(np.int64), min(contexts, len(top)))
-    model = fit(learnt, counts, vocabulary, **fit_args)
+    pairs, root, unknown = fit(learnt, dishes, **fit_args)
+    frequent = pairs.orderBy(F.desc("n"), "pair").limit(dishes).select("pair", "score").toPandas()
     base = math.log10(total + distinct + 1)
     base_of = np.append(np.log10(top["n"].to_numpy(float) + 1) - base, 0.0)
-    shared = spark.sparkContext.broadcast((vocabulary, model.table, base_of))
+    score_of = np.append(frequent["score"].to_numpy(float), 0.0)
+    shared = spark.sparkContext.broadcast((Vocabulary(top["hash"].to_numpy(np.int64)), base_of, Vocabulary(frequent["pair"].to_numpy(np.int64)), score_of))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, table, base_of = shared.value
+        words, base_of, often, score_of = shared.value
         for batch in batches:
             for rows, data, offs in pieces(batch):
                 tokens, doc, first = _tokens(data, offs)
-                dish = v.numbers(tokens)
+                context, pair = _pairs(tokens)
+                dish, cell = words.numbers(tokens), often.numbers(pair)
                 n = rows.num_rows
                 sums = lambda x: np.bincount(doc, weights=x, minlength=n)
-                rare = dish == v.size
-                # One key for each document and rare token; the document's row number keeps repeated ids apart.
+                rare = dish == words.size
+                # One key for each document and rare token or pair; the document's row number keeps repeated ids apart.
                 at = np.flatnonzero(rare)
-                pair = np.stack([doc[at].astype(np.uint64), tokens[at]], axis=1)
-                pair, times = np.unique(pair, axis=0, return_counts=True) if len(pair) else (pair, np.empty(0, np.int64))
-                ends = np.searchsorted(pair[:, 0], np.arange(n + 1).astype(np.uint64)).astype(np.int32)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+                one, times, ends = _by_doc(doc[at], tokens[at], n)
+                lists = lambda x, ends: pa.ListArray.from_arrays(ends, pa.array(x))
+                at2 = np.flatnonzero(cell == often.size)
+                one2, times2, ends2 = _by_doc(doc[at2], pair[at2], n)
+                one2 = at2[one2]
+                # All pairs of the rows that were learnt from are in the model; the others' may have to back off.
+                new = ~rows.column("learnt").to_numpy(zero_copy_only=False)[doc[one2]]
+                ends3 = pa.array(np.append(0, np.cumsum(new))[ends2.to_numpy()].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.diff(first)), pa.array(np.diff(first) - sums(rare).astype(np.int64)), pa.array(sums(base_of[dish])), pa.array(sums(table[v.context(dish, first), dish])), lists(signed(np.ascontiguousarray(pair[:, 1]))), lists(times.astype(np.int32))],
-                    names=["doc_id", "n_tokens", "n_common", "base_common", "score_common", "rare", "times"],
+                    [rows.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(first) - sums(rare).astype(np.int64)), pa.array(sums(base_of[dish])), pa.array(sums(score_of[cell])), lists(signed(tokens[at[one]]), ends), lists(times, ends)]
+                    + [lists(signed(pair[one2]), ends2), lists(times2, ends2), lists(signed(context[one2[new]]), ends3), lists(signed(tokens[one2[new]]), ends3)],
+                    names=["doc_id", "n_tokens", "n_common", "base_common", "score_common", "rare", "times", "pair", "pair_times", "context", "hash"],
                 )
 
-    scored = save(docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_common bigint, base_common double, score_common double, rare array<bigint>, times array<int>").withColumn("row", F.monotonically_increasing_id()), "hpy-scored")
+    schema = f"doc_id {kind}, n_tokens bigint, n_common bigint, base_common double, score_common double, rare array<bigint>, times array<int>, pair array<bigint>, pair_times array<int>, context array<bigint>, hash array<bigint>"
+    scored = save(docs.withColumn("learnt", F.coalesce(train, F.lit(False))).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "hpy-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    joined = rare.join(counts, "hash", "left").select("row", "times", c.alias("c"))
-    sums = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
-        F.sum(F.col("times") * (F.log10(F.col("c") + 1) - base)).alias("base_rare"),
-        F.sum(F.col("times") * _rare_score(model, F.col("c"))).alias("score_rare"),
-    )
-    out = scored.drop("rare", "times").join(sums, "row", "left")
+    joined = rare.join(counts, "hash", "left").select("row", "times", F.coalesce(F.col("n"), F.lit(0)).alias("c"))
+    known = joined.select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_rare"), (F.col("times") * (F.log10(F.col("c") + 1) - base)).alias("base_rare"), F.lit(0.0).alias("score_rare"))
+
+    two = scored.select("row", F.explode(F.arrays_zip("pair", "pair_times")).alias("r")).select("row", "r.pair", F.col("r.pair_times").alias("times"))
+    seen = two.join(pairs.select("pair", "score"), "pair").select("row", (F.col("times") * F.col("score")).alias("score_rare"))
+    held = scored.where(F.size("context") > 0).select("row", F.explode(F.arrays_zip("pair", "pair_times", "context", "hash")).alias("r")).select("row", "r.pair", F.col("r.pair_times").alias("times"), "r.context", "r.hash")
+    unseen = save(held.join(pairs.select("pair"), "pair", "left_anti"), "hpy-unseen")
+    backs = save(pairs.groupBy("context").agg(F.sum("n").alias("n"), F.first("back").alias("back")), "hpy-contexts")
+    unseen = _with(_with(unseen, backs, "context", contexts), root, "hash", dishes)
+    backed = unseen.select("row", (F.col("times") * (F.coalesce("back", F.lit(0.0)) + F.coalesce("base", F.lit(unknown)))).alias("score_rare"))
+    scores = seen.unionByName(backed).select("row", F.lit(0).alias("n_rare"), F.lit(0.0).alias("base_rare"), "score_rare")
+    sums = known.unionByName(scores).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_rare", "base_rare", "score_rare")])
+    out = scored.drop("rare", "times", "pair", "pair_times", "context", "hash").join(sums, "row", "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     score_col = F.col("score_common") + F.coalesce("score_rare", F.lit(0.0))
     return out.select(

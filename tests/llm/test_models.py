@@ -153,6 +153,30 @@ def test_language_model_edge_cases(spark):
     assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in untrained)
 
 
+def test_every_preceding_word_is_a_context(spark):
+    """More than 64 contexts, none of them frequent: each word is sure of its follower, and known pairs beat new ones."""
+    n = 150
+    rows = [(i, f"left{i % n} right{i % n}") for i in range(8 * n)] + [(100_000 + i, f"left{i} right{i}") for i in range(n)] + [(200_000 + i, f"left{i} right{(i + 1) % n}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for dishes, contexts in ((1 << 16, 1 << 16), (5, 3)):  # what is broadcast makes no difference
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id") < 100_000, dishes=dishes, contexts=contexts).collect()}
+        # log10 P of the first word is about -log10(n); the follower and the end after it are nearly sure.
+        assert all(got[100_000 + i] > -math.log10(n) - 0.5 for i in range(n))
+        assert all(got[200_000 + i] < got[100_000 + i] - 1 for i in range(n))
+
+
+def test_restaurants_probabilities_add_up_to_one():
+    rng = np.random.default_rng(3)
+    rest, c = np.repeat(np.arange(4), [1, 5, 40, 300]), rng.integers(1, 400, 346)
+    base = np.full(346, 1 / 1000)
+    t, tables, d = pitman_yor.seat_restaurants(rest, c, base, 1.0, 6, 2, rng)
+    assert (t >= 1).all() and (t <= c).all()
+    customers = np.bincount(rest, c)
+    p = np.bincount(rest, pitman_yor.predictive(c, t, d[rest], 1.0, base, customers[rest], tables[rest]))
+    left = (1.0 + d * tables) / (1.0 + customers) * (1 - np.bincount(rest, base))
+    assert np.allclose(p + left, 1)
+
+
 # --------------------------------------------------------------------------------------------- mixing
 
 
