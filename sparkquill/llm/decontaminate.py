@@ -4,11 +4,12 @@ Texts are normalised on their bytes (A-Z lowered, runs of other ASCII than lette
 benchmark window of m bytes that occurs in a document with at most k edits, at least m + 1 - q(k + 1) of its q-grams
 recur on diagonals no more than k apart. The scan looks up every q-gram of every whole document in an index of the
 benchmark's, counts the hits in overlapping bands of diagonals, and keeps bands where enough hits fall within one
-window's length. Those regions are verified by banded alignment: one row for each document and item that match.
+window's length. Every window that may hold those hits is verified by banded alignment, eight neighbours at a time by
+what they have in common, then each of the eight by itself: one row for each document and item that match.
 
 The benchmark is read in blocks of at most `block_bytes`, each broadcast and held against all documents in turn, so
-that its index is bounded whatever the benchmark's size. Items shorter than `shortest` normalised bytes are no
-evidence and are left out. Null and empty texts match nothing; rows with the same id are judged each by its own text;
+that its index is bounded whatever the benchmark's size. Items shorter than SHORTEST normalised bytes match
+where a document has them unchanged, as whole words. Null and empty texts match nothing; rows with the same id are judged each by its own text;
 an empty benchmark flags nothing. `clean` keeps all columns, clashing names included.
 """
 
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE, _R2, _between, _mix, _prefix, own, pieces, tune
 
-Q, WINDOW, EDIT_RATE, SHORTEST = 12, 100, 0.06, 40
+Q, WINDOW, EDIT_RATE, SHORTEST = 12, 100, 0.07, 40
 #: Edits are allowed only as far as the lemma still asks for so many shared q-grams.
-LEAST_HITS = 17
+LEAST_HITS = 5
 BAND = 16
 TABLE_BITS = 22
+#: Begins of windows that are verified together by what they share.
+STEP = 8
 
 _MAP = np.full(256, 32, np.uint8)
 for _a, _b in ((48, 58), (97, 123), (128, 256)):
@@ -58,8 +61,17 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         texts = [(i, normalise(b := np.frombuffer(t.encode(), np.uint8), np.array([0, len(b)]))[0]) for i, t in items if t]
+        short = [(i, t) for i, t in ((i, np.frombuffer(t.tobytes().strip(b" "), np.uint8)) for i, t in texts if len(t) < SHORTEST) if len(t)]
+        #: length -> (sorted hashes, items, texts)
+        self.short = {}
+        for n in {len(t) for _, t in short}:
+            same = [(int(_mix(_between(_prefix(_BYTE[t], _R2), np.array([0]), np.array([n]), _R2))[0]), i, t) for i, t in short if len(t) == n]
+            same.sort(key=lambda x: x[:2])
+            self.short[n] = (np.array([h for h, _, _ in same], np.uint64), [i for _, i, _ in same], [t for _, _, t in same])
         texts = [(i, t) for i, t in texts if len(t) >= SHORTEST]
         self.ids, self.texts = [i for i, _ in texts], [t for _, t in texts]
+        self.flat = np.concatenate(self.texts) if texts else np.empty(0, np.uint8)
+        self.start = np.cumsum([0, *[len(t) for t in self.texts]])
         found = [grams(t) for t in self.texts]
         gram = np.concatenate(found) if found else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(found)), [len(g) for g in found])
@@ -74,9 +86,37 @@ class Index:
     def matches(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, edits, start, end) for each document and item that match; places are normalised bytes."""
         y, at = normalise(data, offs)
+        return [(d, i, *got) for (d, i), got in sorted({**self._long(y, at), **self._short(y, at)}.items())]
+
+    def _short(self, y: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """Whole words that are an item of less than SHORTEST bytes."""
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if not self.short or not len(y):
+            return found
+        edge = np.zeros(len(y) + 1, bool)
+        edge[at] = True
+        begins = np.flatnonzero((y != 32) & (edge[:-1] | np.append(True, y[:-1] == 32)))
+        ends = at[np.searchsorted(at, begins, side="right")]
+        prefix = _prefix(_BYTE[y], _R2)
+        for n, (hashes, ids, texts) in self.short.items():
+            ok = begins + n <= ends
+            x, to = begins[ok], ends[ok]
+            ok = (x + n == to) | (y[np.minimum(x + n, len(y) - 1)] == 32)
+            x = x[ok]
+            h = _mix(_between(prefix, x, x + n, _R2))
+            left, right = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            for j in np.flatnonzero(right > left).tolist():
+                d = int(np.searchsorted(at, x[j], side="right")) - 1
+                for row in range(left[j], right[j]):
+                    if (d, ids[row]) not in found and np.array_equal(y[x[j] : x[j] + n], texts[row]):
+                        found[d, ids[row]] = (0, int(x[j] - at[d]), int(x[j] - at[d]) + n)
+        return found
+
+    def _long(self, y: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """Windows of the other items within their edit budget."""
         g = grams(y)
         if not len(g) or not len(self.gram):
-            return []
+            return {}
         where = np.flatnonzero(self.table[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         row = np.minimum(np.searchsorted(self.gram, g[where]), len(self.gram) - 1)
         hit = self.gram[row] == g[where]
@@ -85,52 +125,83 @@ class Index:
         inside = where + Q <= at[doc + 1]
         where, row, doc = where[inside], row[inside], doc[inside]
         if not len(where):
-            return []
+            return {}
         n = self.first[row + 1] - self.first[row]
         back = np.repeat(np.arange(len(where)), n)
         occ = np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n) + self.first[row][back]
         item, pos, doc, where = self.item[occ], self.pos[occ], doc[back], where[back]
-        length = np.array([len(t) for t in self.texts])[item]
+        length = np.diff(self.start)[item]
         m = np.minimum(WINDOW, length)
-        k = np.minimum((m * EDIT_RATE).astype(np.int64), (m + 1 - LEAST_HITS) // Q - 1)
-        least = m + 1 - Q * (k + 1)
+        least = m + 1 - Q * (budget(m) + 1)
         diagonal = where - at[doc] - pos + (1 << 20)
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         for shift in (0, 1):  # the bands overlap by half
             band = (diagonal + shift * (BAND // 2)) // BAND
             order = np.lexsort((pos, band, item, doc))
-            d, i, b, p, w, need, mm = doc[order], item[order], band[order], pos[order], where[order], least[order], m[order]
+            d, i, b, p, need, mm, ll = doc[order], item[order], band[order], pos[order], least[order], m[order], length[order]
             to = np.arange(len(d)) + need - 1
             ok = to < len(d)
             to = np.minimum(to, len(d) - 1)
             ok &= (d[to] == d) & (i[to] == i) & (b[to] == b) & (p[to] - p <= mm - Q)
             x = np.flatnonzero(ok)
-            # Of hits in one band that begin within eight bytes of each other, the first stands for all.
-            _, once = np.unique(np.stack([d[x], i[x], b[x], p[x] // 8]), axis=1, return_index=True)
-            for x in x[np.sort(once)].tolist():
-                key = (int(d[x]), int(i[x]))
-                if key not in found or found[key][0]:
-                    got = self._verify(y[at[key[0]] : at[key[0] + 1]], key[1], int(w[x] - at[key[0]]), int(p[x]), int(p[to[x]]))
-                    if got and (key not in found or got < found[key]):
-                        found[key] = got
-        return [(d, self.ids[i], *got) for (d, i), got in sorted(found.items())]
-
-    def _verify(self, text: np.ndarray, item: int, where: int, first: int, last: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) if a window of the item that holds the hits occurs within its edit budget."""
-        pattern = self.texts[item]
-        m = min(WINDOW, len(pattern))
-        k = min(int(m * EDIT_RATE), (m + 1 - LEAST_HITS) // Q - 1)
-        low, high = max(0, last + Q - m), min(first, len(pattern) - m)
-        best = None
-        for begin in sorted({*range(low, high + 1, 8), high} if high >= low else {max(0, min(first, len(pattern) - m))}, reverse=True):
-            at = where - first + begin
-            if at >= 0 and np.array_equal(text[at : at + m], pattern[begin : begin + m]):
-                return 0, at, at + m
-            lo, hi = max(0, at - BAND - k), min(len(text), at + m + BAND + k)
-            edits, end = banded(pattern[begin : begin + m], text[lo:hi], at - lo, BAND + k)
-            if edits <= k and (best is None or edits < best[0]):
-                best = (edits, max(0, lo + end - m), lo + end)
-        return best
+            if not len(x):
+                continue
+            # Windows that hold these hits begin from low to high; they are taken in groups of STEP.
+            low, high = np.maximum(0, p[to[x]] + Q - mm[x]) // STEP, np.minimum(p[x], ll[x] - mm[x]) // STEP
+            n = np.maximum(high - low + 1, 0)
+            group = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            x = np.repeat(x, n)
+            if not len(x):
+                continue
+            d, i, b, group = np.unique(np.stack([d[x], i[x], b[x], group]), axis=1)
+            centre = b * BAND - shift * (BAND // 2) + BAND // 2 - (1 << 20)
+            ll = np.diff(self.start)[i]
+            mm = np.minimum(WINDOW, ll)
+            begin, last = group * STEP, np.minimum(group * STEP + STEP - 1, ll - mm)
+            # The part that all windows of a group have can't take more edits than any of them.
+            edits, _ = self._aligned(y, at, d, i, last, centre, begin + mm - last, budget(mm))
+            keep = np.flatnonzero(edits <= budget(mm))
+            n = (last - begin + 1)[keep]
+            one = np.repeat(begin[keep], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keep = np.repeat(keep, n)
+            d, i, centre, mm = d[keep], i[keep], centre[keep], mm[keep]
+            edits, end = self._aligned(y, at, d, i, one, centre, mm, budget(mm))
+            for r in np.flatnonzero(edits <= budget(mm)).tolist():
+                key, stop = (int(d[r]), self.ids[i[r]]), int(end[r] - at[d[r]])
+                got = (int(edits[r]), max(0, stop - int(mm[r])), stop)
+                if key not in found or got < found[key]:
+                    found[key] = got
+        return found
+
+    def _aligned(self, y: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray, centre: np.ndarray, length: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row, the least edits between `length` bytes of the item from `begin` on and any part of the document
+        on diagonals within BAND / 2 + k of `centre`; and where that part ends in y."""
+        edits, end = np.full(len(doc), 10**6), np.zeros(len(doc), np.int64)
+        for m, kk in np.unique(np.stack([length, k]), axis=1).T.tolist():
+            rows = np.flatnonzero((length == m) & (k == kk))
+            width = BAND // 2 + kk
+            columns = np.arange(2 * width + 1, dtype=np.int32)
+            for some in np.array_split(rows, len(rows) // 4096 + 1):
+                if not len(some):
+                    continue
+                lo, hi = at[doc[some]][:, None], at[doc[some] + 1][:, None]
+                first = (lo[:, 0] + begin[some] + centre[some] - width)[:, None]
+                place = first + np.arange(m + 2 * width)
+                text = np.where((place >= lo) & (place < hi), y[np.clip(place, 0, len(y) - 1)], 0)
+                pattern = self.flat[(self.start[item[some]] + begin[some])[:, None] + np.arange(m)]
+                cost = np.where((first + columns >= lo) & (first + columns <= hi), 0, 10**6).astype(np.int32)
+                for c in range(m):
+                    new = cost + (text[:, c : c + 2 * width + 1] != pattern[:, c : c + 1])
+                    new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+                    cost = np.minimum.accumulate(new - columns, axis=1) + columns
+                best = np.argmin(cost, axis=1)
+                edits[some], end[some] = cost[np.arange(len(some)), best], np.clip(first[:, 0] + m + best, lo[:, 0], hi[:, 0])
+        return edits, end
+
+
+def budget(m: np.ndarray) -> np.ndarray:
+    """Edits allowed in a window of m bytes."""
+    return np.minimum((m * EDIT_RATE).astype(np.int64), (m + 1 - LEAST_HITS) // Q - 1)
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, offset: int, width: int) -> tuple[int, int]:

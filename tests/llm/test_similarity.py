@@ -200,6 +200,40 @@ def test_every_edit_within_budget_is_found(spark):
         assert found or near > k
 
 
+def _substituted(r, text, n):
+    t = list(text)
+    for j in r.sample(range(len(t)), n):
+        t[j] = r.choice([c for c in "abcdefgh" if c != t[j]])
+    return "".join(t)
+
+
+def test_every_window_within_budget_is_found():
+    """Excerpts of exactly one window, with as many substitutions as are allowed and the hits that the lemma promises."""
+    import numpy as np
+
+    r = random.Random(8)
+    item = "".join(r.choice("abcdefghijklmnopqrst ") for _ in range(400)).replace("  ", " q")
+    index = decontaminate.Index([(0, item)])
+    for n in (0, 5, 6, 7):
+        for _ in range(60):
+            begin = r.randrange(len(item) - 99)
+            part = _substituted(r, item[begin : begin + 100], n)
+            b = np.frombuffer(f"zzz {part} zzz".encode(), np.uint8)
+            got = index.matches(b, np.array([0, len(b)]))
+            assert got and got[0][2] <= n
+    for m, k in ((60, 3), (40, 2)):
+        short = decontaminate.Index([(0, item[:m])])
+        for _ in range(30):
+            b = np.frombuffer(f"zzz {_substituted(r, item[:m], k)} zzz".encode(), np.uint8)
+            assert short.matches(b, np.array([0, len(b)]))
+
+
+def test_short_items_match_whole_words_exactly(spark):
+    d = spark.createDataFrame([(1, "So the ANSWER, is Forty two!"), (2, "the answer is forty twos"), (3, "breathe answer is forty two"), (4, "yes"), (5, "eyes yesterday"), (6, None)], "doc_id long, text string")
+    got = decontaminate.find(d, _bench(spark, [(1, "The answer is forty-two.", ""), (2, "Yes!", ""), (3, " ?!", "")])).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in got} == {(1, 1, 0), (4, 2, 0)}
+
+
 def test_contamination_edge_cases(spark):
     empty = _bench(spark, [])
     assert decontaminate.find(edge_docs(spark), empty).count() == 0
