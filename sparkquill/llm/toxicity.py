@@ -1,16 +1,16 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact weighted TF-IDF cosine over an inverted index.
 
 * Examples are the first `max_examples` labelled training rows in order of a hash of their ids (a documented bound).
-* Terms are the words (A-Z lowered, ASCII punctuation separates) and word beginnings of 4 and 5 bytes that raise the
-  odds of the toxic label among the examples at least `least_odds` times, and most surely, by chi-squared; their
-  document frequencies are counted over all documents.
-* The index keeps, for every term and block of 128 examples, the largest weight. A query takes blocks in order of the
-  sum of these bounds and stops when no block left can beat its k-th neighbour: the neighbours are exact.
+* Terms are all words (A-Z lowered, ASCII punctuation separates) and word beginnings of 4 and 5 bytes of all examples;
+  their document frequencies are counted over all documents. A term's TF-IDF is weighted by its association with the
+  label among the examples, toxic or not (the phi coefficient, 1 / examples at least, so that every term counts).
+* The index keeps terms of many examples as a dense matrix and the others as posting lists. A document is held against
+  all examples: the neighbours are exact, up to single precision; cosines that agree to 6 digits are equal.
 * A document's raw score is the vote of its k nearest examples, itself left out, weighted by distance; a monotone fit
   of the examples' own votes to their labels calibrates it. The nearest examples are returned as evidence.
 
-The index and its terms have a bounded size and are broadcast; labels, language, source and id are no input of a
-score (the id only keeps an example from voting for itself). Documents without any of the terms, null and empty ones
+The index and its terms grow with the examples alone and are broadcast; labels, language, source and id are no input of
+a score (the id only keeps an example from voting for itself). Documents without any of the terms, null and empty ones
 included, get the rate of such examples. Without examples every score is 0. Equal distances are taken in order of
 id. Rows with the same id are scored each by its own text; the least of them is the example of a labelled id. Other
 columns, whatever their names, are left out (`reject` keeps them all).
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import _PUNCT, Words, own, pieces, save, signed, text_of, tune
 
-BLOCK, NEIGHBOURS = 128, 25
+NEIGHBOURS = 25
+#: Documents that are held against the examples at a time.
+TOGETHER = 64
 
 
 def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,87 +44,108 @@ def _term_counts(data: np.ndarray, offs: np.ndarray, terms: np.ndarray) -> tuple
     if not len(terms) or not len(data):
         return (np.empty(0, np.int64),) * 3
     found, doc = _terms(data, offs)
-    # A table of the hashes' low 16 bits passes few others on to the exact search.
-    table = np.zeros(1 << 16, bool)
-    table[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-    hit = np.flatnonzero(table[(found & np.uint64(0xFFFF)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(terms, found[hit]), len(terms) - 1)
-    same = terms[at] == found[hit]
-    key, n = np.unique(doc[hit[same]] * len(terms) + at[same], return_counts=True)
+    u, back = np.unique(found, return_inverse=True)
+    at = np.minimum(np.searchsorted(terms, u), len(terms) - 1)
+    at = np.where(terms[at] == u, at, -1)[back]
+    hit = np.flatnonzero(at >= 0)
+    key, n = np.unique(doc[hit] * len(terms) + at[hit], return_counts=True)
     return key // len(terms), key % len(terms), n
 
 
 class Index:
-    """The examples' unit vectors as blocked posting lists."""
+    """The examples' unit vectors: frequent terms as a dense matrix, the others as posting lists."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.terms, self.idf = terms, idf
-        # Examples with the same terms stand together, so that the blocks' bounds are tight.
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0].tolist(), vectors[i][1].tolist(), str(ids[i])))
-        order = [i for i in order if len(vectors[i][0])]
+        # Rows in order of id, so that equal cosines are.
+        order = [i for i in sorted(range(len(ids)), key=lambda i: str(ids[i])) if len(vectors[i][0])]
         self.ids, self.labels = [ids[i] for i in order], labels[order]
         self.at: dict = {}
         for row, i in enumerate(self.ids):
             self.at.setdefault(i, row)
-        n = len(order)
-        self.blocks = -(-n // BLOCK)
-        unit = [self.weights(*vectors[i]) for i in order]
-        row = np.repeat(np.arange(n), [len(vectors[i][0]) for i in order])
+        n = self.size = len(order)
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(vectors[i][0]) for i in order])
         term = np.concatenate([vectors[i][0] for i in order]) if n else np.empty(0, np.int64)
-        weight = np.concatenate(unit) if n else np.empty(0)
-        by = np.lexsort((row, term))
+        weight = self._unit(row, term, np.concatenate([vectors[i][1] for i in order]) if n else np.empty(0), n)
+        by = np.argsort(term, kind="stable")
         self.row, self.weight = row[by], weight[by]
-        # Postings of term t in block b: first[t, b] to first[t, b + 1].
-        cell = term[by] * self.blocks + self.row // BLOCK
-        self.first = np.searchsorted(cell, np.arange(len(terms) * self.blocks + 1))
-        self.most = np.zeros((len(terms), self.blocks))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
-        self.rank = np.argsort(np.argsort([str(i) for i in self.ids], kind="stable"), kind="stable")
+        count = np.bincount(term, minlength=len(terms))
+        self.first = np.append(0, np.cumsum(count))
+        often = np.flatnonzero(count > max(64, n // 50))
+        self.column = np.full(len(terms), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense: np.ndarray | None = None
         self.calibration: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.0]))
         self.empty = self.prior = 0.0
-        self.cache: dict = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None}
+
+    def _unit(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        w = (1 + np.log(tf)) * self.idf[term]
+        return (w / np.sqrt(np.bincount(row, w * w, n))[row]).astype(np.float32)
 
     def weights(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[term]
         return w / np.sqrt(np.sum(w * w))
 
+    def _matrix(self) -> np.ndarray:
+        """Dense rows of the frequent terms; built where it is used."""
+        if self.dense is None:
+            self.dense = np.zeros((int((self.column >= 0).sum()), self.size), np.float32)
+            for t in np.flatnonzero(self.column >= 0).tolist():
+                x = slice(self.first[t], self.first[t + 1])
+                self.dense[self.column[t], self.row[x]] = self.weight[x]
+        return self.dense
+
+    def nearest_of(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For documents 0 .. n - 1, each with a term, the k examples of highest cosine (above 0), and their cosines; equal ones by id."""
+        q, matrix = self._unit(doc, term, tf, n), self._matrix()
+        column = self.column[term]
+        often = column >= 0
+        dense = np.zeros((n, len(matrix)), np.float32)
+        dense[doc[often], column[often]] = q[often]
+        cos = dense @ matrix
+        rare = np.flatnonzero(~often)
+        have = self.first[term[rare] + 1] - self.first[term[rare]]
+        back = np.repeat(rare, have)
+        at = np.arange(len(back)) - np.repeat(np.cumsum(have) - have, have) + self.first[term[back]]
+        np.add.at(cos.reshape(-1), doc[back] * self.size + self.row[at], q[back] * self.weight[at])
+        k = min(k, self.size)
+        least = np.partition(cos, self.size - k, axis=1)[:, self.size - k] - 2e-6
+        out = []
+        for i in range(n):
+            rows = np.flatnonzero(cos[i] >= max(least[i], 1e-9))
+            c = cos[i, rows].astype(float)
+            order = np.lexsort((rows, -np.round(c, 6)))[:k]
+            out.append((rows[order], c[order]))
+        return out
+
     def nearest(self, term: np.ndarray, tf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine (above 0), and their cosines; equal ones by id."""
-        q = self.weights(term, tf)
-        bound = q @ self.most[term]
-        best_row, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[k - 1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(term, q, strict=True):
-                lo, hi = self.first[t * self.blocks + b], self.first[t * self.blocks + b + 1]
-                scores[self.row[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
-            rows = np.flatnonzero(scores > 0)
-            best_row, best = np.append(best_row, rows + b * BLOCK), np.append(best, scores[rows])
-            order = np.lexsort((self.rank[best_row], -np.round(best, 9)))[:k]
-            best_row, best = best_row[order], best[order]
-        return best_row, best
-
-    def vote(self, term: np.ndarray, tf: np.ndarray, doc_id) -> tuple[float, np.ndarray, np.ndarray]:
-        """The raw score from the neighbours other than the document itself; the neighbours and their cosines."""
-        key = (term.tobytes(), tf.tobytes())
-        if key not in self.cache:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            self.cache[key] = self.nearest(term, tf, NEIGHBOURS + 1)
-        rows, cos = self.cache[key]
-        other = rows != self.at.get(doc_id, -1)
-        rows, cos = rows[other][:NEIGHBOURS], cos[other][:NEIGHBOURS]
-        w = 1 / (1.05 - np.minimum(cos, 1))
-        return float((np.sum(w * self.labels[rows]) + self.prior) / (np.sum(w) + 1)), rows, cos
-
-    def score(self, term: np.ndarray, tf: np.ndarray, doc_id) -> tuple[float, str]:
-        if not len(term) or not self.blocks:
-            return self.empty, ""
-        raw, rows, cos = self.vote(term, tf, doc_id)
-        evidence = ",".join(f"{self.ids[r]}:{int(self.labels[r])}:{c:.3f}" for r, c in zip(rows[:3], cos[:3], strict=True))
-        return float(np.interp(raw, *self.calibration)), evidence
+        return self.nearest_of(np.zeros(len(term), np.int64), term, tf, 1, k)[0]
+
+    def votes(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, ids: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each document, the raw score from the neighbours other than itself; the neighbours and their cosines."""
+        out = []
+        for (rows, cos), doc_id in zip(self.nearest_of(doc, term, tf, len(ids), NEIGHBOURS + 1), ids, strict=True):
+            other = rows != self.at.get(doc_id, -1)
+            rows, cos = rows[other][:NEIGHBOURS], cos[other][:NEIGHBOURS]
+            w = 1 / (1.05 - np.minimum(cos, 1))
+            out.append((float((np.sum(w * self.labels[rows]) + self.prior) / (np.sum(w) + 1)), rows, cos))
+        return out
+
+    def all_votes(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, ids: pa.Array) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """The votes of all documents with a term, by their numbers; doc is sorted."""
+        out: dict = {}
+        if not self.size:
+            return out
+        some = np.unique(doc)
+        for part in np.array_split(some, len(some) // TOGETHER + 1):
+            if len(part):
+                lo, hi = np.searchsorted(doc, part[0]), np.searchsorted(doc, part[-1], side="right")
+                got = self.votes(np.searchsorted(part, doc[lo:hi]), term[lo:hi], tf[lo:hi], [ids[i].as_py() for i in part.tolist()])
+                out.update(zip(part.tolist(), got, strict=True))
+        return out
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +161,11 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in points]), np.array([p[1] for p in points])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 20_000, max_terms: int = 512, least_chi2: float = 25.0, least_odds: float = 5.0) -> Index:
-    """docs: doc_id, text. labels: doc_id, toxic. train: which labelled rows may be learnt from, over doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 20_000, least_chi2: float = 0.0) -> Index:
+    """docs: doc_id, text. labels: doc_id, toxic. train: which labelled rows may be learnt from, over doc_id.
+
+    least_chi2: terms of a lesser association with the label are left out; none by default.
+    """
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_examples)
@@ -159,12 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
                     yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(np.bincount(term, weights=label, minlength=len(u)).astype(np.int64)), pa.array(np.bincount(term, minlength=len(u)))], names=["term", "pos", "n"])
 
     n, pos = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    a, both = F.col("pos").cast("double"), F.col("n").cast("double")
-    chi2 = n * (a * (n - pos) - (both - a) * pos) ** 2 / (pos * (n - pos) * both * (n - both))
-    odds = (a + 0.5) * (n - pos - both + a + 0.5) / ((both - a + 0.5) * (pos - a + 0.5))
-    seen = examples.mapInArrow(presence, "term bigint, pos bigint, n bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n").between(3, n - 1))
-    top = seen.where(odds >= least_odds).select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).toPandas() if 0 < pos < n else None
-    terms = np.sort(top["term"].to_numpy(np.int64).view(np.uint64)) if top is not None and len(top) else np.empty(0, np.uint64)
+    seen = examples.mapInArrow(presence, "term bigint, pos bigint, n bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toArrow()  # the terms of at most max_examples texts
+    terms, a, both = (seen.column(x).to_numpy() for x in ("term", "pos", "n"))
+    order = np.argsort(terms.view(np.uint64))
+    terms, a, both = terms.view(np.uint64)[order], a[order].astype(float), both[order].astype(float)
+    del seen
+    part = pos * (n - pos) * both * (n - both)
+    chi2 = np.where(part > 0, n * (a * (n - pos) - (both - a) * pos) ** 2 / np.maximum(part, 1), 0.0)
+    if least_chi2 > 0:
+        terms, chi2 = terms[chi2 >= least_chi2], chi2[chi2 >= least_chi2]
+    phi = np.maximum(np.sqrt(chi2 / max(n, 1)), 1 / max(n, 1))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(len(terms) + 1, np.int64)
@@ -174,41 +204,51 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
                 _, term, _ = _term_counts(data, offs, terms)
                 df += np.bincount(term, minlength=len(terms) + 1)
         df[-1] = total
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
     counted = docs.select("text").mapInArrow(frequency, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(terms) + 1)
     df[counted["term"]] = counted["n"]
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * phi
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in pieces(batch):
                 doc, term, tf = _term_counts(data, offs, terms)
                 ends = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(term, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["doc_id", "toxic", "term", "tf"])
-
-    got = examples.mapInArrow(vectors, f"doc_id {kind}, toxic int, term array<bigint>, tf array<bigint>").toPandas()  # at most max_examples rows of at most max_terms terms
-    for c in ("term", "tf"):
-        got[c] = [np.asarray(x, np.int64) for x in got[c]]
-    label = got["toxic"].to_numpy(float) if len(got) else np.empty(0)
-    index = Index(terms, idf, got["doc_id"].tolist(), label, list(zip(got["term"], got["tf"], strict=True)))
-    empty = np.array([len(t) == 0 for t in got["term"]], bool)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["doc_id", "toxic", "term", "tf"])
+
+    got = examples.mapInArrow(vectors, f"doc_id {kind}, toxic int, term array<int>, tf array<int>").toArrow().combine_chunks()  # at most max_examples rows
+    label, ids = got.column("toxic").to_numpy().astype(float), got.column("doc_id").to_pylist()
+    lists = [pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("term", "tf")]
+    ends, (term, tf) = lists[0].offsets.to_numpy(), (x.values.to_numpy() for x in lists)
+    index = Index(terms, idf, ids, label, [(term[ends[i] : ends[i + 1]], tf[ends[i] : ends[i + 1]]) for i in range(len(ids))])
+    empty = np.diff(ends) == 0
+    del got, lists, term, tf
     index.prior = float(label.mean()) if len(label) else 0.0
     index.empty = float((label[empty].sum() + index.prior) / (empty.sum() + 1)) if len(label) else 0.0
-    if index.blocks:
-        raw = np.array([index.vote(t, f, i)[0] for i, t, f in zip(got["doc_id"][~empty], got["term"][~empty], got["tf"][~empty], strict=True)])
-        index.calibration = monotone(raw, label[~empty])
-    index.cache = {}
+    if index.size:
+        shared = spark.sparkContext.broadcast(index)
+
+        def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, data, offs in pieces(batch):
+                    doc, term, tf = _term_counts(data, offs, shared.value.terms)
+                    raw = shared.value.all_votes(doc, term, tf, rows.column("doc_id"))
+                    yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in raw.values()], pa.float64()), rows.column("toxic").take(pa.array(list(raw), pa.int64()))], names=["raw", "toxic"])
+
+        votes = examples.mapInArrow(own_votes, "raw double, toxic int").toPandas()  # at most max_examples rows
+        index.calibration = monotone(votes["raw"].to_numpy(), votes["toxic"].to_numpy(float))
+        shared.unpersist()
     return index
 
 
 def _scores(index: Index, rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, id_col: str) -> tuple[list[float], list[str]]:
     doc, term, tf = _term_counts(data, offs, index.terms)
-    ends = np.searchsorted(doc, np.arange(rows.num_rows + 1))
     out = [(index.empty, "")] * rows.num_rows
-    for i in np.flatnonzero(np.diff(ends)).tolist():
-        out[i] = index.score(term[ends[i] : ends[i + 1]], tf[ends[i] : ends[i + 1]], rows.column(id_col)[i].as_py())
+    for i, (raw, near, cos) in index.all_votes(doc, term, tf, rows.column(id_col)).items():
+        out[i] = float(np.interp(raw, *index.calibration)), ",".join(f"{index.ids[r]}:{int(index.labels[r])}:{c:.3f}" for r, c in zip(near[:3], cos[:3], strict=True))
     return [x for x, _ in out], [e for _, e in out]
 
 

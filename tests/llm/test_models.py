@@ -83,6 +83,17 @@ def test_one_text_of_a_labelled_id_is_an_example(spark):
     assert toxicity.score(docs, lab, F.lit(True)).count() == len(rows)
 
 
+def test_every_word_of_the_examples_is_a_term(spark):
+    """A copy of a toxic example whose words no other has finds it; a word seen once is evidence, toxic or not."""
+    rows = [(i, f"plain{i} words{i} number{i}" if i % 10 else f"rare{i} odd{i} ones{i}") for i in range(600)]
+    docs = spark.createDataFrame([*rows, (1000, "rare10 odd10 ones10"), (1001, "plain11 words11 number11")], "doc_id long, text string")
+    lab = labels(spark, [(i, 1, int(i % 10 == 0), "", "") for i in range(600)])
+    index = toxicity.fit(docs, lab, F.lit(True))
+    assert len(index.ids) == 600 and len(index.terms) > 3 * 600
+    got = {r["doc_id"]: r for r in toxicity.score(docs, lab, F.lit(True)).where("doc_id >= 1000").collect()}
+    assert got[1000]["evidence"].startswith("10:1:1.000") and got[1001]["evidence"].startswith("11:0:1.000")
+
+
 # ------------------------------------------------------------------------------------- language model
 
 
