@@ -2,7 +2,7 @@
 
 A record is JSON. Its fingerprint is a hash of its nested field paths, without types and values; it selects one of the
 declared layouts, whose mapping turns the record into canonical (role, text) turns. Records of unknown layout give no
-turns and a null layout. Turns are rendered as
+turns and a null layout; `unmapped` counts them, and their conversation stays. Turns are rendered as
 
     <|im_start|>ROLE<|im_sep|>TEXT<|im_end|>\\n          and, where the loss counts (assistant turns),
     <|im_start|>ROLE<|im_sep|><|loss|>TEXT<|/loss|><|im_end|>\\n
@@ -40,13 +40,19 @@ def _turn(role: str | Column, text: Column) -> Column:
     return F.struct((F.lit(role) if isinstance(role, str) else F.coalesce(role, F.lit(""))).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _field(record: Column, path: str) -> Column:
-    return F.get_json_object(record, path)
+#: Jackson stops at strings of 20,000,000 characters unless it is told otherwise.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+#: Longer records are blanked before their shape is taken.
+LONG = 10_000_000
 
 
-def _list(path: str, role: str, text: str):
+def _field(record: Column, name: str, kind: str = "string") -> Column:
+    return F.from_json(record, f"`{name}` {kind}", _ANY_LENGTH)[name]
+
+
+def _list(name: str, role: str, text: str):
     def turns(record: Column) -> Column:
-        items = F.from_json(_field(record, path), f"array<struct<`{role}`:string,`{text}`:string>>")
+        items = _field(record, name, f"array<struct<`{role}`:string,`{text}`:string>>")
         return F.transform(items, lambda x: _turn(canonical_role(x[role]), x[text]))
 
     return turns
@@ -58,24 +64,24 @@ def canonical_role(role: Column) -> Column:
 
 def _pair(user: str, assistant: str, extra: str | None = None, system: str | None = None):
     def turns(record: Column) -> Column:
-        ask = F.coalesce(_field(record, f"$.{user}"), F.lit(""))
-        more = F.coalesce(_field(record, f"$.{extra}"), F.lit("")) if extra else F.lit("")
+        ask = F.coalesce(_field(record, user), F.lit(""))
+        more = F.coalesce(_field(record, extra), F.lit("")) if extra else F.lit("")
         ask = F.when(more == "", ask).otherwise(F.concat(ask, F.lit("\n\n"), more))
-        both = [_turn("user", ask), _turn("assistant", _field(record, f"$.{assistant}"))]
-        return F.array(*([_turn("system", _field(record, f"$.{system}"))] if system else []), *both)
+        both = [_turn("user", ask), _turn("assistant", _field(record, assistant))]
+        return F.array(*([_turn("system", _field(record, system))] if system else []), *both)
 
     return turns
 
 
 def _row(record: Column) -> Column:
-    return F.array(_turn(_field(record, "$.role"), _field(record, "$.content")))
+    return F.array(_turn(_field(record, "role"), _field(record, "content")))
 
 
 #: layout -> (the shape of its field paths, mapping). Fields stand in alphabetical order.
 LAYOUTS = {
     "message": ("OBJECT<content, role>", _row),
-    "messages": ("OBJECT<messages: ARRAY<OBJECT<content, role>>>", _list("$.messages", "role", "content")),
-    "from_value": ("OBJECT<conversations: ARRAY<OBJECT<from, value>>>", _list("$.conversations", "from", "value")),
+    "messages": ("OBJECT<messages: ARRAY<OBJECT<content, role>>>", _list("messages", "role", "content")),
+    "from_value": ("OBJECT<conversations: ARRAY<OBJECT<from, value>>>", _list("conversations", "from", "value")),
     "prompt_response": ("OBJECT<prompt, response>", _pair("prompt", "response")),
     "prompt_completion": ("OBJECT<completion, prompt>", _pair("prompt", "completion")),
     "system_prompt_response": ("OBJECT<prompt, response, system>", _pair("prompt", "response", system="system")),
@@ -86,8 +92,14 @@ LAYOUTS = {
 }
 
 
+def _blanked(record: Column) -> Column:
+    """The record with empty strings for its string values: its field paths in a size that does not depend on them."""
+    return F.regexp_replace(F.regexp_replace(record, r"(?s)\\.", ""), r'"([^"]*+)"(\s*+:)|"[^"]*+"', '"$1"$2')
+
+
 def shape(record: Column) -> Column:
     """The record's nested field paths without leaf types, or null if it is no JSON."""
+    record = F.when(F.length(record) > LONG, _blanked(record)).otherwise(record)
     return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r": [A-Z]+(\([0-9, ]*\))?(?=[,>])", "")
 
 
@@ -127,14 +139,14 @@ def read_turns(formatted: Column) -> Column:
 
 
 def format_chats(records: DataFrame, id_col: str, order_col: str, record_col: str = "record") -> DataFrame:
-    """conv_id, formatted: the turns of all of a conversation's records, in the order of `order_col`."""
+    """conv_id, formatted: the turns of all of a conversation's records, in the order of `order_col`; unmapped: its records of unknown layout."""
     turns = canonical_turns(records.select(F.col(id_col).alias("conv_id"), F.col(order_col).alias("n"), F.col(record_col).alias("record")))
-    turns = turns.select("conv_id", "n", F.posexplode("turns").alias("pos", "t"))
-    turns = turns.select("conv_id", (F.col("n").cast("long") / 64).cast("long").alias("piece"), F.struct("n", "pos", "t.role", "t.text", render(F.col("t.role"), F.col("t.text")).alias("out")).alias("t"))
+    turns = turns.select("conv_id", "n", F.col("layout").isNull().cast("long").alias("unmapped"), F.posexplode_outer("turns").alias("pos", "t"))
+    turns = turns.select("conv_id", (F.col("n").cast("long") / 64).cast("long").alias("piece"), "unmapped", F.struct("n", "pos", "t.role", "t.text", render(F.col("t.role"), F.col("t.text")).alias("out")).alias("t"))
     piece = F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["out"]), "")
-    parts = turns.groupBy("conv_id", "piece").agg(piece.alias("out"))
+    parts = turns.groupBy("conv_id", "piece").agg(piece.alias("out"), F.sum("unmapped").alias("unmapped"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "out"))), lambda t: t["out"]), "")
-    return parts.groupBy("conv_id").agg(whole.alias("formatted"))
+    return parts.groupBy("conv_id").agg(whole.alias("formatted"), F.sum("unmapped").alias("unmapped"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -273,6 +273,25 @@ def test_conversations_read_back(spark):
         assert out[c]["loss_sha256"] == sha256(loss.encode()).hexdigest()
 
 
+def test_very_long_messages_stay(spark):
+    d = spark.range(1).selectExpr("1L AS conv_id", "0L AS turn", "'user' AS role", r"""repeat('a"\\\\: b', 3500000) AS text""")
+    d = d.unionByName(d.selectExpr("conv_id", "1L AS turn", "'assistant' AS role", "'short' AS text"))
+    want = {r["turn"]: r["n"] for r in d.select("turn", F.length("text").alias("n")).collect()}
+    assert want[0] > 20_000_000
+    out = {r["conv_id"]: r for r in chatformat.digests(chatformat.format_chats(chatformat.of_table(d), "conv_id", "turn")).collect()}
+    assert (out[1]["n_turns"], out[1]["loss_chars"]) == (2, 5) and out[1]["formatted_chars"] > want[0]
+    said = d.orderBy("turn").selectExpr("sha2(concat_ws('', array(concat('user\n', text, '\n', 'assistant\nshort\n'))), 256) AS h").first()["h"]
+    assert out[1]["turns_sha256"] == said
+
+
+def test_records_of_unknown_layout_are_counted_and_their_conversations_stay(spark):
+    listed = json.dumps({"messages": [{"role": "user", "content": "q", "id": 1}]})
+    d = spark.createDataFrame([(1, 0, listed), (2, 0, json.dumps({"role": "user", "content": "q"})), (2, 1, "no json"), (3, 0, None)], "conv_id long, turn long, record string")
+    whole = chatformat.format_chats(d, "conv_id", "turn")
+    assert {r["conv_id"]: r["unmapped"] for r in whole.collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r["conv_id"]: r["n_turns"] for r in chatformat.digests(whole).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 # ------------------------------------------------------------------------------------------- pipeline
 
 
