@@ -104,9 +104,7 @@ def invalid_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def select_by_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """The best chunk of each cluster of one question's results."""
+    """The best chunk of each cluster of each question's results."""
     from ..operators.clusters import diverse
 
-    hits = retrieved(spark, sf)
-    one = hits.where(F.col("qid") == hits.agg(F.min("qid")).first()[0])
-    return diverse(one).withColumn("score", F.round("score", 6))
+    return diverse(retrieved(spark, sf)).withColumn("score", F.round("score", 6))
