@@ -95,7 +95,7 @@ _OLD = """o AS (SELECT doc_id, s * 400 AS start, s * 400 + 400 AS "end", CAST(s
 FROM c LEFT JOIN o ON c.doc_id = o.doc_id AND c.start < o."end" AND c."end" > o.start GROUP BY 1, 2"""
 )
 def rechunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    old = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("s"), F.length("text").alias("n")).where("s * 400 < n")
+    old = table(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.explode(F.expr("sequence(0, cast((length(text) - 1) div 400 as int))")).alias("s"))
     old = old.select("doc_id", (F.col("s") * 400).alias("start"), (F.col("s") * 400 + 400).alias("end"), (F.col("s") + 1).cast("long").alias("page"), (F.col("s") % 3 == 0).alias("is_table"), (F.col("s") % 5 == 0).alias("is_code"))
     return C.rechunk_metadata(pack_paragraphs(spark, sf), old, "doc_id")
 

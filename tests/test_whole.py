@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkquill.operators.clusters import k_means
+from sparkquill.queries.chunks import rechunk_metadata
 from sparkquill.queries.plans import answer_questions, asked
 from sparkquill.queries.search import retrieved
 from sparkquill.queries.selection import select_by_clusters
@@ -39,3 +40,11 @@ def test_answers_are_over_all_documents(spark, sf):
     assert len(rows) == table(spark, sf, "benchmark").count()
     assert max(found) > max(r["qid"] for r in rows) + 7
     assert answer_questions(spark, sf).count() > 0
+
+
+def test_long_documents_have_old_chunks_to_their_end(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ("word " * 60 + "\n") * 400), (2, ""), (3, None), (4, "short")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = rechunk_metadata(spark, str(tmp_path)).collect()
+    assert all(r["overlapping"] > 0 and r["first_page"] is not None for r in rows)
+    assert max(r["last_page"] for r in rows if r["doc_id"] == 1) == -(-400 * 301 // 400) and {r["doc_id"] for r in rows} == {1, 4}
