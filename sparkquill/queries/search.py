@@ -10,9 +10,9 @@ from ..registry import query, table
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """qid, query (the first 60 characters of each item), vector (of the same number)."""
+    """qid, query (the first 60 characters of each item), vector (of the same number; null if there is none)."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("query"))
-    return b.join(vectors(spark, sf).select(F.col("doc_id").alias("qid"), "vector"), "qid")
+    return b.join(vectors(spark, sf).select(F.col("doc_id").alias("qid"), "vector"), "qid", "left")
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkquill.operators.clusters import k_means
 from sparkquill.queries.chunks import rechunk_metadata
 from sparkquill.queries.plans import answer_questions, asked
-from sparkquill.queries.search import retrieved
+from sparkquill.queries.search import bm25_topk, hybrid_search, retrieved, vector_topk
 from sparkquill.queries.selection import select_by_clusters
 from sparkquill.registry import table
 
@@ -48,3 +48,15 @@ def test_long_documents_have_old_chunks_to_their_end(spark, tmp_path):
     rows = rechunk_metadata(spark, str(tmp_path)).collect()
     assert all(r["overlapping"] > 0 and r["first_page"] is not None for r in rows)
     assert max(r["last_page"] for r in rows if r["doc_id"] == 1) == -(-400 * 301 // 400) and {r["doc_id"] for r in rows} == {1, 4}
+
+
+def test_questions_without_a_vector_stay_in_the_keyword_queries(spark, sf, tmp_path):
+    for t in ("documents", "benchmark"):
+        shutil.copy(f"{sf}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    first = table(spark, sf, "benchmark").agg(F.min("item_id")).first()[0]
+    table(spark, sf, "embeddings").where(F.col("vec_id") != first).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(r["doc_id"], r["rank"]) for r in bm25_topk(spark, sf).where(F.col("qid") == first).collect()}
+    got = {(r["doc_id"], r["rank"]) for r in bm25_topk(spark, str(tmp_path)).where(F.col("qid") == first).collect()}
+    assert got == want and want
+    assert hybrid_search(spark, str(tmp_path)).where(F.col("qid") == first).count() > 0
+    assert vector_topk(spark, str(tmp_path)).where(F.col("qid") == first).count() == 0
