@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -18,16 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text expanded into numpy arrays at a time; a single longer document is taken alone.
-PIECE = 2 << 20
+#: Bytes of text that operators take together; a single longer document is taken alone.
+PIECE = 1 << 20
+#: Bytes of text whose hashes are computed together: the arrays of a long document's bytes never exist at once.
+CHUNK = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only if none is set (local tests)."""
+    """The folder all executors share; a temporary one only if none is set and the master is local (tests)."""
     out = spark.conf.get("spark.checkpoint.dir", None)
     if not out:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         out = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
         spark.conf.set("spark.checkpoint.dir", out)
     return out.rstrip("/")
@@ -57,7 +62,7 @@ def drop(df: DataFrame) -> None:
 def tune(spark: SparkSession) -> None:
     """Arrow batches bounded by rows and by bytes, so that long documents do not gather in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def text_of(col: str | Column) -> Column:
@@ -88,12 +93,14 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, as every piece needs them."""
+    """base**0 .. base**(n-1) modulo 2**64; kept, as every piece needs them, unless a long document asks for more."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        out = np.full(max(n, CHUNK + (1 << 16)), base, dtype=np.uint64)
         out[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if n <= CHUNK + (1 << 16):
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -142,26 +149,42 @@ class Words:
     hash: 64-bit hash of each word; first: words of document i are first[i]:first[i+1].
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE, stems: tuple[int, ...] = ()) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE) -> None:
         self.data, self.offs = data, offs
+        found = [self._chunk(a, b, _BYTE_LOWER if lower else _BYTE, separators) for a, b in self._chunks(separators)]
+        if len(found) == 1:
+            self.start, self.end, self.hash = found[0]
+        else:
+            none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+            self.start, self.end, self.hash = (np.concatenate(x) for x in zip(none, *found, strict=True))
+        self.first = np.searchsorted(self.start, offs)
+
+    def _chunks(self, separators: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of about CHUNK bytes that begin at a separator, so that no word is cut."""
+        at, n = 0, len(self.data)
+        while at < n:
+            to = min(at + CHUNK, n)
+            while to < n:
+                near = separators[self.data[to : to + 4096]]
+                if near.any():
+                    to += int(near.argmax())
+                    break
+                to = min(to + 4096, n)
+            yield at, to
+            at = to
+
+    def _chunk(self, a: int, b: int, byte: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = self.data[a:b]
         word = ~separators[data]
         edge = np.zeros(len(data) + 1, bool)  # a document begins here
-        edge[offs] = True
+        edge[self.offs[np.searchsorted(self.offs, a) : np.searchsorted(self.offs, b, side="right")] - a] = True
         before = np.zeros(len(data), bool)
         before[1:] = word[:-1]
-        self.start = np.flatnonzero(word & (~before | edge[:-1]))
+        start = np.flatnonzero(word & (~before | edge[:-1]))
         after = np.zeros(len(data), bool)
         after[:-1] = word[1:]
-        self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
-        self.first = np.searchsorted(self.start, offs)
-        prefix = _prefix((_BYTE_LOWER if lower else _BYTE)[data], _R1)
-        self.hash = _mix(_between(prefix, self.start, self.end, _R1) ^ (self.end - self.start).astype(np.uint64))
-        #: For each k of stems: the words longer than k bytes, and the hashes of their first k bytes.
-        self.stems = []
-        for k in stems:
-            longer = np.flatnonzero(self.end - self.start > k)
-            at = self.start[longer]
-            self.stems.append((longer, _mix(_between(prefix, at, at + k, _R1) ^ np.uint64(k << 32))))
+        end = np.flatnonzero(word & (~after | edge[1:])) + 1
+        return start + a, end + a, _mix(_between(_prefix(byte[data], _R1), start, end, _R1) ^ (end - start).astype(np.uint64))
 
     def doc(self) -> np.ndarray:
         """The document of each word."""
@@ -189,6 +212,26 @@ def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE) -> Iter
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, side="right")) - 1)
         yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free inside this worker back to the system: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL(None)
+        libc.malloc_trim  # noqa: B018 -- only glibc has it
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+_LIBC = _libc()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
