@@ -238,6 +238,52 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+# ------------------------------------------------------------------------------------- packed vectors
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), a.nbytes))], np.int64).tobytes()
+    raw = b"".join([head, *(a.tobytes() for a in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
+    for kind, size in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(raw, np.dtype(chr(kind)), size // np.dtype(chr(kind)).itemsize, at))
+        at += size
+    return out
+
+
+def split_vector(v: np.ndarray, ranges: int) -> list[bytes]:
+    """A vector's ranges, each packed."""
+    size = -(-len(v) // ranges)
+    return [pack(v[i * size : (i + 1) * size]) for i in range(ranges)]
+
+
+def packed_sums(df: DataFrame, size: int, ranges: int) -> np.ndarray:
+    """(part, blob) rows of split vectors -> the sum of the vectors."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                v = unpack(blob)[0].astype(np.int64)
+                sums[part] = sums[part] + v if part in sums else v
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(v) for v in sums.values()], pa.binary())], names=["part", "blob"])
+
+    got = df.select(F.col("part").cast("int").alias("part"), "blob").repartition(ranges, "part").mapInArrow(add, "part int, blob binary").collect()  # at most `ranges` rows
+    out, step = np.zeros(size, np.int64), -(-size // ranges)
+    for r in got:
+        v = unpack(r["blob"])[0]
+        out[r["part"] * step : r["part"] * step + len(v)] = v
+    return out
+
+
 # ------------------------------------------------------------------------------- connected components
 
 

@@ -2,23 +2,29 @@
 
 Event space: the distinct training tokens (words with A-Z lowered, and one end token) and one unknown token.
 
-* Counts cover every training token. The context of a token is the token before it in its document (the end token at
-  its beginning), and every context seen in training has a restaurant of its own, with all of its dishes. Counts are
-  aggregated by pair; restaurants are seated where their context's hash puts them.
+* The context of a token is the token before it in its document (the end token at its beginning). Every context seen in
+  training has a restaurant of its own, with all of its dishes; there is no limit on contexts, dishes or pairs.
 * Context restaurants send their tables as customers to one shared parent, the unigram restaurant over all words. It
   rests on a base of which the unknown token holds half and the training tokens share the rest evenly. A pair not seen
-  in training has the parent's probability times the share that its context leaves to new tables.
+  in training has the parent's probability times the share that its context leaves to new tables, so that the
+  probabilities behind every context add up to one.
 * Seating follows the Chinese-restaurant construction and is sampled by Gibbs, given the parent's predictive
   probabilities. A dish's seating matters only by its number of tables, so a step takes out all customers of a dish
   and draws its tables anew from their exact conditional distribution (by generalised Stirling numbers, Teh 2006). Of a
   dish with more than CAP customers, the first CAP are seated so and the others join in turn. Dishes are moved in eight
-  parts, the dishes of a part together; a restaurant's discount is rounded to a step of 1 / STEPS.
+  parts, the dishes of a part together; a restaurant's discount is rounded to a step of 1 / STEPS. The parent's customers
+  are the tables of one sample of all context restaurants.
 * Scores use predictive probabilities averaged over the samples.
 
-What is broadcast has a fixed size: the `dishes` most frequent words and pairs and the `contexts` most frequent contexts.
-This is only a matter of speed: the others are joined by shuffle, with the same result. Null or empty text is one end
-token; rows with the same id are scored each by its own text; extra columns are left out; without training rows every
-probability is the unknown token's.
+Pairs travel as packed rows, one for each bucket of contexts and about SEGMENT tokens: sorted, run-length coded, words
+among the `words` most frequent as two bytes, others as their hash. A bucket holds about `in_bucket` tokens; contexts of
+over `hot` tokens are dealt over several buckets by dish, and the parts' tables are added up. Pairs of at least
+1 / 2**18 of all tokens are scored from a broadcast table, so that no bucket gets a row from every document. What is
+broadcast is bounded: `words` words and 2**18 pairs. It decides the cost; the result only differs by sampling.
+
+Null or empty text is one end token; rows with the same id are scored each by its own text; extra columns are left out;
+an empty table gives no rows; without training rows every probability is the unknown token's. Very long texts are taken
+in segments, to their end.
 """
 
 from __future__ import annotations
@@ -28,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _R1, Words, _mix, drop, own, pieces, save, signed, text_of, tune
+from .common import Words, _mix, drop, own, pack, packed_sums, pieces, release, save, signed, split_vector, text_of, tune, unpack
 
 END = 0x243F6A8885A308D3  # the end token's hash
 CAP = 256
@@ -39,8 +46,16 @@ CAP = 256
 HELD = 1_000_000
 LIMIT = 200  # tokens with more customers than this are scored as interpolated from it
 STEPS = 20
-#: Pairs that one task seats, about.
-SEATED = 500_000
+#: Tokens that a worker packs together.
+SEGMENT = 600_000
+#: What stands for a word outside the lexicon.
+ESC = 0xFFFF
+#: Documents whose partial sums meet in one group.
+GROUP = 1 << 12
+#: Ranges of the lexicon that are added up apart.
+RANGES = 16
+THETA = 1.0
+_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,96 +71,211 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, doc, first
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    u, back = np.unique(k, return_inverse=True)
-    return u, np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)
-
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, n) of the tokens, combined within the worker up to a bounded size."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held = 0
 
-def _aggregated(key_of, name: str):
-    """An Arrow function that counts 64-bit keys, combined within the worker up to a bounded size."""
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        u, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return u, np.bincount(back, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held = 0
-        give = lambda k, c: pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(c)], names=[name, "n"])
-        for batch in batches:
-            for _, data, offs in pieces(batch):
-                k, c = np.unique(key_of(data, offs), return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
-                if held > HELD:
-                    k, c = _summed(keys, counts)
-                    if len(k) > HELD // 2:
-                        yield give(k, c)
-                        keys, counts, held = [], [], 0
-                    else:
-                        keys, counts, held = [k], [c], len(k)
-        if keys:
-            yield give(*_summed(keys, counts))
-
-    return run
+    give = lambda k, c: pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(c)], names=["hash", "n"])
+    for batch in batches:
+        for _, data, offs in pieces(batch):
+            k, c = np.unique(_tokens(data, offs)[0], return_counts=True)
+            keys.append(k)
+            counts.append(c)
+            held += len(k)
+            if held > HELD:
+                k, c = summed()
+                keys, counts, held = [k], [c], len(k)
+                if held > HELD // 2:
+                    yield give(k, c)
+                    keys, counts, held = [], [], 0
+    if keys:
+        yield give(*summed())
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(hash, n) of all tokens."""
-    return docs.select("text").mapInArrow(_aggregated(lambda d, o: _tokens(d, o)[0], "hash"), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(_counted, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _pairs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context of each token, and the hash of both. Before a document's first token stands an end token."""
-    context = np.empty_like(tokens)
-    context[:1], context[1:] = END, tokens[:-1]
-    return context, _mix(context * np.uint64(_R1) + tokens)
+class Lexicon:
+    """The most frequent words, by number in order of their hashes; how contexts are dealt over buckets."""
 
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, buckets: int, hot: int) -> None:
+        order = np.argsort(hashes)
+        self.hash, self.n, self.size, self.buckets = hashes[order], n[order], len(hashes), buckets
+        self.parts = np.maximum(1, -(-self.n // hot))
+        self.base = np.zeros(len(hashes))  # the parent's probability of each word
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, context, hash, n), combined within the worker up to a bounded size."""
-    held: list[tuple[np.ndarray, ...]] = []
+    def refs(self, u: np.ndarray) -> np.ndarray:
+        """The number of each hash, ESC for those outside."""
+        if not self.size:
+            return np.full(len(u), ESC, np.uint16)
+        at = np.minimum(np.searchsorted(self.hash, u), self.size - 1)
+        return np.where(self.hash[at] == u, at, ESC).astype(np.uint16)
 
-    def merged() -> tuple[np.ndarray, ...]:
-        pair, context, token, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        pair, at, back = np.unique(pair, return_index=True, return_inverse=True)
-        return pair, context[at], token[at], np.bincount(back, weights=n, minlength=len(pair)).astype(np.int64)
+    def bucket(self, context: np.ndarray, ref: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The bucket of each pair; ref: its context's number. A hot context's dishes are dealt over its parts."""
+        key = context ^ _C1
+        if (self.parts > 1).any():
+            parts = np.append(self.parts, np.ones(ESC + 1 - self.size, np.int64))[ref]
+            hot = np.flatnonzero(parts > 1)
+            key[hot] += (_mix(token[hot] ^ _C2) % parts[hot].astype(np.uint64)) * _C3
+        return (_mix(key) % np.uint64(self.buckets)).astype(np.int64)
+
+    def dish_bucket(self, token: np.ndarray) -> np.ndarray:
+        return (_mix(token ^ _C3) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
-    give = lambda x: pa.RecordBatch.from_arrays([*(pa.array(signed(h)) for h in x[:3]), pa.array(x[3])], names=["pair", "context", "hash", "n"])
-    for batch in batches:
-        for _, data, offs in pieces(batch):
-            tokens, _, _ = _tokens(data, offs)
-            context, pair = _pairs(tokens)
-            pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-            held.append((pair, context[at], tokens[at], n))
-            if sum(len(x[0]) for x in held) > HELD:
-                held = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield give(held[0])
-                    held = []
-    if held:
-        yield give(merged())
+
+def _ids(ref: np.ndarray, escaped: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Numbers of words: their lexicon number, or ESC and their place among the sorted hashes `known` of a bucket (-1 if not there)."""
+    out = ref.astype(np.int64)
+    if len(escaped):
+        at = np.minimum(np.searchsorted(known, escaped), max(len(known) - 1, 0))
+        out[ref == ESC] = np.where(known[at] == escaped, ESC + at, -1) if len(known) else -1
+    return out
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(pair, context, hash, n) of all tokens behind all contexts."""
-    counted = docs.select("text").mapInArrow(_count_pairs, "pair bigint, context bigint, hash bigint, n bigint")
-    return counted.groupBy("pair", "context", "hash").agg(F.sum("n").alias("n"))
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
-class Vocabulary:
-    """Frequent hashes -> their number, in order of falling frequency."""
+def _segments(batches: Iterator[pa.RecordBatch], row: int, rows_done=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(distinct hashes, contexts, tokens, first document, documents - first) of runs of about SEGMENT tokens.
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.order = np.argsort(hashes.view(np.uint64)).astype(np.int32)
-        self.sorted = hashes.view(np.uint64)[self.order]
-        self.size = len(hashes)
+    row: the number of the first document. rows_done: called for each run of rows with its tokens' sums to take.
+    """
+    before, held, docs, n = np.uint64(END), [], [], 0
 
-    def numbers(self, tokens: np.ndarray) -> np.ndarray:
-        """The number of each token; `size` for all others."""
-        u, back = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.sorted, u), max(self.size - 1, 0))
-        dish = np.where(self.sorted[at] == u, self.order[at], self.size) if self.size else np.zeros(len(u), np.int32)
-        return dish.astype(np.int64)[back]
+    def flush():
+        tokens, doc = np.concatenate(held), np.concatenate(docs)
+        last = before
+        for a in range(0, len(tokens), 2 * SEGMENT):  # a very long document in turns
+            some, d = tokens[a : a + 2 * SEGMENT], doc[a : a + 2 * SEGMENT]
+            u, back = np.unique(np.append(some, last), return_inverse=True)
+            yield u, np.append(back[-1], back[: len(some) - 1]), back[:-1], int(d[0]), d - d[0]
+            last = some[-1]
+
+    for batch in batches:
+        for rows, data, offs in pieces(batch):
+            tokens, doc, first = _tokens(data, offs)
+            if rows_done is not None:
+                rows_done(rows, tokens, doc, first, row)
+            held.append(tokens)
+            docs.append(doc + row)
+            row += rows.num_rows
+            n += len(tokens)
+            if n >= SEGMENT:
+                yield from flush()
+                before, held, docs, n = held[-1][-1], [], [], 0
+    if n:
+        yield from flush()
+
+
+def _packed_pairs(lexicon: Lexicon, u: np.ndarray, ref: np.ndarray, bucket: np.ndarray, context: np.ndarray, token: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed rows) of pairs in order of bucket, context and token, with their values."""
+    cuts = _runs(bucket)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+        at = _runs(context[a:b])
+        c, t = context[a:b][at], token[a:b]
+        yield int(bucket[a]), pack(ref[c], _least(np.diff(np.append(at, b - a))), u[c[ref[c] == ESC]], ref[t], u[t[ref[t] == ESC]], *(_least(v[a:b]) for v in values))
+
+
+class Cells:
+    """The pairs of a bucket: distinct, in order of context and dish."""
+
+    def __init__(self, blobs: list[list[np.ndarray]]) -> None:
+        """blobs: context numbers, run lengths, their hashes; dish numbers, their hashes; counts."""
+        cat = lambda i, kind: np.concatenate([np.empty(0, kind), *(b[i].astype(kind) for b in blobs)])
+        escaped, escaped_token = cat(2, np.uint64), cat(4, np.uint64)
+        self.contexts, self.dishes = np.unique(escaped), np.unique(escaped_token)
+        context = np.repeat(_ids(cat(0, np.uint16), escaped, self.contexts), cat(1, np.int64))
+        key = context * self.wide + _ids(cat(3, np.uint16), escaped_token, self.dishes)
+        order = np.argsort(key, kind="stable")
+        at = _runs(key[order])
+        self.key = key[order][at]
+        self.n = np.add.reduceat(cat(5, np.int64)[order], at) if len(at) else np.empty(0, np.int64)
+        self.context, self.dish = self.key // self.wide, self.key % self.wide
+        self.start = _runs(self.context)  # of each restaurant
+        self.rest = np.repeat(np.arange(len(self.start)), np.diff(np.append(self.start, len(self.key))))
+
+    @property
+    def wide(self) -> int:
+        return ESC + len(self.dishes) + 1
+
+    def packed(self, *values: np.ndarray) -> bytes:
+        c, d = self.context[self.start], self.dish
+        refs = lambda x: np.minimum(x, ESC).astype(np.uint16)
+        return pack(refs(c), _least(np.diff(np.append(self.start, len(self.key)))), self.contexts[c[c >= ESC] - ESC], refs(d), self.dishes[d[d >= ESC] - ESC], _least(self.n), *values)
+
+    def parts(self, lexicon: Lexicon) -> np.ndarray:
+        """Into how many buckets each restaurant is dealt."""
+        c = self.context[self.start]
+        return np.where(c < ESC, np.append(lexicon.parts, 1)[np.minimum(c, lexicon.size)], 1)
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """A batch of n rows; columns that aren't given are null."""
+    kinds = {"bucket": pa.int32(), "kind": pa.int32(), "origin": pa.int64(), "blob": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+
+
+SCHEMA = "bucket int, kind int, origin bigint, blob binary"
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(bucket, its rows) of a partition, whose rows come by bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for b, kind, origin, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "origin", "blob")), strict=True):
+            if b != bucket:
+                if held:
+                    yield bucket, held
+                bucket, held = b, []
+            held.append((kind, origin, blob))
+    if held:
+        yield bucket, held
+
+
+def _by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+
+
+def _sorted_pairs(lexicon: Lexicon, u: np.ndarray, context: np.ndarray, token: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The numbers of u, and buckets, contexts, tokens and more in order; times of each distinct row."""
+    ref = lexicon.refs(u)
+    bucket = lexicon.bucket(u[context], ref[context], u[token])
+    columns = (bucket, context, token, *more)
+    sizes = [int(x.max()) + 1 if len(x) else 1 for x in columns]
+    if math.prod(sizes) < 1 << 62:
+        key = columns[0].astype(np.int64)
+        for x, size in zip(columns[1:], sizes[1:], strict=True):
+            key = key * size + x
+        key.sort()
+        at = _runs(key)
+        times, key = np.diff(np.append(at, len(key))), key[at]
+        out = []
+        for size in sizes[:0:-1]:
+            out.append(key % size)
+            key = key // size
+        return ref, times, key, *out[::-1]
+    order = np.lexsort(columns[::-1])
+    columns = [x[order] for x in columns]
+    at = np.flatnonzero(np.any([np.concatenate([[True], x[1:] != x[:-1]]) for x in columns], axis=0))
+    return ref, np.diff(np.append(at, len(order))), *(x[at] for x in columns)
 
 
 # --------------------------------------------------------------------------------------------- seating
@@ -233,10 +363,11 @@ def _stirlings(steps: np.ndarray) -> np.ndarray:
     return out
 
 
-def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: float, sweeps: int, burn: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean tables of each dish, mean tables of each restaurant and the restaurants' discounts.
+def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: float, sweeps: int, burn: int, rng: np.random.Generator, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean tables of each dish, mean tables of each restaurant, the restaurants' discounts, and the last sample of tables.
 
-    rest: the restaurant (0, 1, ...) of each dish; c: its customers; base: the parent's probability of it.
+    rest: the restaurant (0, 1, ...) of each dish; c: its customers; base: the parent's probability of it. parts: into how
+    many parts, alike by chance, each restaurant is dealt; the tables of its other parts are taken to be as many as here.
     """
     n = int(rest.max()) + 1
     n1, n2 = np.bincount(rest, c == 1, n), np.bincount(rest, c == 2, n)
@@ -245,7 +376,8 @@ def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: f
     d, step = discount[rest], step[rest]
     t = np.minimum(c, np.ceil(c**d)).astype(float)
     cap, more = np.minimum(c, CAP).astype(np.int64), np.flatnonzero(c > 1)  # a lone customer always has a table
-    total, mean, stirling = np.bincount(rest, t, n), np.zeros(len(c)), _stirlings(step)
+    parts = np.ones(n) if parts is None else parts
+    total, mean, stirling = np.bincount(rest, t, n) * parts, np.zeros(len(c)), _stirlings(step)
     for sweep in range(sweeps):
         for part in np.array_split(rng.permutation(more), 8):
             old = t[part].copy()
@@ -261,40 +393,10 @@ def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: f
                     if width == CAP:
                         drawn = _join_in_turn(drawn, c[some], (theta + d[some] * total[rest[some]]) * base[some], d[some], rng)
                     t[some] = drawn
-            total += np.bincount(rest[part], t[part] - old, n)
+            total += np.bincount(rest[part], t[part] - old, n) * parts
         if sweep >= burn:
             mean += t / (sweeps - burn)
-    return mean, np.bincount(rest, mean, n), discount
-
-
-def _seat_contexts(cells: DataFrame, theta: float, sweeps: int, burn: int, what: str, tasks: int) -> DataFrame:
-    """cells: pair, context, hash, n, base (log10). what: "tables" gives (hash, t), the tables sent to the parent;
-    "p" gives (pair, context, n, score, back), log10 of the pair's and of the context's share for new tables."""
-
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        got = pa.Table.from_batches(held)
-        pair, context, token, n, base = (got.column(x).to_numpy() for x in ("pair", "context", "hash", "n", "base"))
-        del held, got
-        order = np.lexsort((token, context))
-        pair, context, token, n, base = pair[order], context[order], token[order], n[order], 10 ** base[order]
-        _, rest = np.unique(context, return_inverse=True)
-        t, tables, d = seat_restaurants(rest, n, base, theta, sweeps, burn, _restaurant_seed(0))
-        if what == "tables":
-            u, back = np.unique(token, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(back, t, len(u)))], names=["hash", "t"])
-            return
-        customers = np.bincount(rest, n)
-        p = predictive(n, t, d[rest], theta, base, customers[rest], tables[rest])
-        share = np.log10((theta + d * tables) / (theta + customers))
-        for at in range(0, len(n), 1 << 16):
-            x = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(pair[x]), pa.array(context[x]), pa.array(n[x]), pa.array(np.log10(np.maximum(p[x], 1e-30))), pa.array(share[rest[x]])], names=["pair", "context", "n", "score", "back"])
-
-    schema = "hash bigint, t double" if what == "tables" else "pair bigint, context bigint, n bigint, score double, back double"
-    return cells.repartition(tasks, "context").mapInArrow(seat, schema)
+    return mean, np.bincount(rest, mean, n), discount, t
 
 
 def _fit_root(counts: np.ndarray, words: np.ndarray, sweeps: int, burn: int) -> tuple[np.ndarray, tuple[float, float]]:
@@ -321,123 +423,399 @@ def _fit_root(counts: np.ndarray, words: np.ndarray, sweeps: int, burn: int) ->
     return np.log10(np.maximum(mean, 1e-300)), (math.log10(theta + customers), d)
 
 
-def _with(df: DataFrame, values: DataFrame, key: str, often: int) -> DataFrame:
-    """df with the values of its key (values: key, n, ...), null where there are none. The keys of the largest n are joined by broadcast."""
-    spark = df.sparkSession
-    others = [c for c in values.columns if c != "n"]
-    top = values.orderBy(F.desc("n"), key).limit(often).select(*others)
-    top = spark.createDataFrame(top.toPandas(), top.schema)
-    rest = df.join(F.broadcast(top.select(key)), key, "left_anti").join(values.select(*others), key, "left")
-    return df.join(F.broadcast(top), key).unionByName(rest)
-
-
-def _root(customers: DataFrame, sweeps: int, burn: int) -> tuple[DataFrame, float]:
-    """customers: (hash, n) in the unigram restaurant -> (hash, n, base), and the unknown token's base: log10 P."""
-    histogram = customers.groupBy("n").agg(F.count("*").alias("words")).orderBy("n").toPandas()  # one row for each count that occurs
-    p, tail = _fit_root(histogram["n"].to_numpy(np.int64), histogram["words"].to_numpy(np.int64), sweeps, burn)
-    return customers.withColumn("base", _root_score(p, tail, F.col("n"))), float(p[0])
-
-
-def fit(train: DataFrame, dishes: int, sweeps: int = 6, burn: int = 2, theta: float = 1.0) -> tuple[DataFrame, DataFrame, float]:
-    """(pair, context, n, score, back) for every pair, (hash, n, base) for every word, and the unknown token's base."""
-    cells = save(pair_counts(train), "hpy-cells")
-    tasks = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells.count() // SEATED + 1)
-    # The unigram restaurant's first customers: one table for each dish of each context; then those that are sampled.
-    customers = cells.groupBy("hash").agg(F.count("*").alias("n"))
-    for what in ("tables", "p"):
-        root, unknown = _root(save(customers, "hpy-root"), sweeps, burn)
-        out = _seat_contexts(_with(cells, root, "hash", dishes), theta, sweeps, burn, what, tasks)
-        customers = out.groupBy("hash").agg(F.greatest(F.round(F.sum("t")), F.lit(1)).cast("long").alias("n")) if what == "tables" else None
-    pairs = save(out, "hpy-pairs")
+def _seat_all(cells: Cells, base: np.ndarray, lexicon: Lexicon, sweeps: int, burn: int, bucket: int) -> tuple[np.ndarray, ...]:
+    if not len(cells.key):
+        return (np.empty(0),) * 4
+    return seat_restaurants(cells.rest, cells.n, base, THETA, sweeps, burn, _restaurant_seed(bucket), cells.parts(lexicon))
+
+
+def _pair_cells(learnt: DataFrame, lexicon, sweeps: int, burn: int) -> DataFrame:
+    """For each bucket: its cells (kind 0), tables of the lexicon's dishes by range (1), tables and counts of other dishes by their bucket (2)."""
+    buckets = lexicon.value.buckets
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lexicon.value
+        for u, context, token, _, _ in _segments(batches, 0):
+            ref, times, bucket, context, token = _sorted_pairs(words, u, context, token)
+            got = list(_packed_pairs(words, u, ref, bucket, context, token, times))
+            yield _rows(len(got), bucket=[b for b, _ in got], kind=[0] * len(got), blob=[x for _, x in got])
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lexicon.value
+        for bucket, rows in _collected(batches):
+            cells = Cells([unpack(x) for _, _, x in rows])
+            mine = np.bincount(cells.dish, cells.n, cells.wide)
+            # Until the parent is known: the share of each word among all tokens, of others what is seen here.
+            p = np.append(words.n, 0)[np.minimum(cells.dish, words.size)]
+            base = 0.9 * np.where(cells.dish < ESC, p, mine[cells.dish]) / max(int(words.total), 1)
+            _, tables, _, last = _seat_all(cells, base, words, sweeps, burn, bucket)
+            total = np.bincount(cells.dish, last, cells.wide).astype(np.int64)
+            yield _rows(1, bucket=[bucket], kind=[0], blob=[cells.packed()])
+            ranges = split_vector(total[: words.size], RANGES)
+            yield _rows(RANGES, bucket=list(range(RANGES)), kind=[1] * RANGES, blob=ranges)
+            to = words.dish_bucket(cells.dishes)
+            order = np.argsort(to, kind="stable")
+            cuts = _runs(to[order]).tolist()
+            parts = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)] if len(order) else []
+            yield _rows(len(parts), bucket=[int(to[x[0]]) for x in parts], kind=[2] * len(parts), origin=[bucket] * len(parts), blob=[pack(cells.dishes[x], _least(total[ESC:][x]), _least(mine[ESC:][x].astype(np.int64))) for x in parts])
+            release()
+
+    return save(_by_bucket(learnt.select("text").mapInArrow(count, SCHEMA), buckets).mapInArrow(seat, SCHEMA), "hpy-cells")
+
+
+def _dishes(cells: DataFrame, buckets: int) -> DataFrame:
+    """Dishes outside the lexicon: for each bucket of contexts those it has (kind 0), by bucket of dishes all (1), and how many have each number of customers (2).
+    Packed: hash, customers in the parent, tokens."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _collected(batches):
+            parts = [unpack(x) for _, _, x in rows]
+            u, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            tables, n = (np.bincount(back, np.concatenate([p[i] for p in parts]), len(u)).astype(np.int64) for i in (1, 2))
+            at = 0
+            for (_, origin, _), p in zip(rows, parts, strict=True):
+                mine = back[at : at + len(p[0])]
+                at += len(p[0])
+                yield _rows(1, bucket=[origin], kind=[0], blob=[pack(p[0], _least(tables[mine]), _least(n[mine]))])
+            yield _rows(1, bucket=[bucket], kind=[1], blob=[pack(u, tables, n)])
+            c, words = np.unique(tables, return_counts=True)
+            yield _rows(1, bucket=[bucket], kind=[2], blob=[pack(c, words)])
+
+    return save(_by_bucket(cells.where("kind = 2"), buckets).mapInArrow(add, SCHEMA), "hpy-dishes")
+
+
+class Root:
+    """The unigram restaurant's predictive probability of a word with c customers; of the unknown token."""
+
+    def __init__(self, customers: np.ndarray, words: np.ndarray, sweeps: int, burn: int) -> None:
+        self.p, (tail, _) = _fit_root(customers, words, sweeps, burn)
+        self.share = 10 ** (self.p[-1] + tail) - LIMIT  # what the discount takes from a count of LIMIT
+        self.total, self.unknown = 10**tail, float(10 ** self.p[0])
+
+    def of(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c <= LIMIT, 10 ** self.p[np.minimum(c, LIMIT)], np.maximum(c + self.share, 1e-9) / self.total)
+
+
+def _restaurants(cells: DataFrame, dishes: DataFrame, lexicon, root: Root, sweeps: int, burn: int, least: int) -> DataFrame:
+    """For each bucket: its pairs with what the model gives them (kind 0), its parts of hot restaurants (1), its frequent pairs (2)."""
+    buckets = lexicon.value.buckets
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lexicon.value
+        for bucket, rows in _collected(batches):
+            own_cells = [unpack(x) for kind, _, x in rows if kind == 0]
+            cells = Cells(own_cells)
+            known = [unpack(x) for kind, _, x in rows if kind == 3]
+            hashes = np.concatenate([np.empty(0, np.uint64), *(k[0] for k in known)])
+            order = np.argsort(hashes)
+            customers, n = (np.concatenate([np.empty(0, np.int64), *(k[i].astype(np.int64) for k in known)])[order] for i in (1, 2))
+            rare = root.of(customers)  # in the order of cells.dishes, which asked for them
+            base = np.concatenate([words.base, np.zeros(ESC - words.size), rare])[cells.dish]
+            mean, _, d, _ = _seat_all(cells, base, words, sweeps, burn, bucket)
+            left = np.maximum(cells.n - d[cells.rest] * mean, 0).astype(np.float32)
+            given = np.bincount(cells.rest, cells.n - left.astype(float), len(cells.start))  # to new tables
+            yield _rows(1, bucket=[bucket], kind=[0], blob=[cells.packed(left, given, rare, n)])
+            context = cells.context[cells.start]
+            hot = np.flatnonzero(cells.parts(words) > 1)
+            if len(hot):
+                yield _rows(1, bucket=[bucket], kind=[1], blob=[pack(context[hot], given[hot])])
+            often = np.flatnonzero((cells.n >= least) & (cells.dish < ESC))
+            if len(often):
+                r, c = cells.rest[often], cells.context[often]
+                hashes = np.where(c < ESC, np.append(words.hash, np.uint64(0))[np.minimum(c, words.size)], np.append(cells.contexts, np.uint64(0))[np.maximum(c - ESC, 0) % (len(cells.contexts) + 1)])
+                whole = np.bincount(cells.rest, cells.n, len(cells.start))
+                yield _rows(1, bucket=[bucket], kind=[2], blob=[pack(hashes, np.where(c < ESC, c, ESC), cells.dish[often], left[often].astype(float), given[r], whole[r])])
+            release()
+
+    both = cells.where("kind = 0").unionByName(dishes.where("kind = 0").withColumn("kind", F.lit(3)))
+    return save(_by_bucket(both, buckets).mapInArrow(seat, SCHEMA), "hpy-restaurants")
+
+
+def _blobs(df: DataFrame) -> list[list[np.ndarray]]:
+    return [unpack(r["blob"]) for r in df.select("blob").toLocalIterator()]
+
+
+class Model:
+    """What scoring broadcasts: the lexicon, the parent, hot restaurants and frequent pairs."""
+
+    def __init__(self, lexicon: Lexicon, root: Root, hot: list[list[np.ndarray]], often: list[list[np.ndarray]], distinct: int) -> None:
+        self.lexicon, self.root = lexicon, root
+        self.base = math.log10(lexicon.total + distinct + 1)
+        self.given = np.zeros(lexicon.size)
+        for context, given in hot:
+            self.given[context] += given
+        self.hot = np.append(lexicon.parts, 1) > 1
+        columns = [np.concatenate(x) for x in zip(*often, strict=True)] if often else [np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 2, *(np.empty(0),) * 3]
+        context, ref, dish, left, given, whole = columns
+        hot_one = np.append(self.hot, np.zeros(ESC, bool))[ref]
+        at = np.minimum(ref, max(lexicon.size - 1, 0))
+        given, whole = np.where(hot_one, self.given[at], given), np.where(hot_one, lexicon.n[at], whole)
+        p = (left + (THETA + given) * lexicon.base[dish]) / (THETA + whole) if len(left) else np.empty(0)
+        key = _mix(context * _C2 + lexicon.hash[dish]) if len(left) else context
+        order = np.argsort(key)
+        self.pair, self.log_p = key[order], np.log10(p[order])
+
+
+def fit(train: DataFrame, words: int, in_bucket: int, hot: int, sweeps: int = 6, burn: int = 2) -> tuple[DataFrame, DataFrame, Model, int, int]:
+    """The restaurants' table, the dishes' table, what scoring broadcasts, and the numbers of tokens and distinct tokens."""
+    spark = train.sparkSession
+    counts = save(token_counts(train), "hpy-counts")
+    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
+    total = total or 0
+    top = counts.orderBy(F.desc("n"), "hash").limit(min(words, ESC)).toArrow()  # at most ESC rows
+    drop(counts)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // in_bucket))
+    lexicon = Lexicon(top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy(), buckets, hot)
+    lexicon.total = total
+    shared = spark.sparkContext.broadcast(lexicon)
+    cells = _pair_cells(train, shared, sweeps, burn)
+    dishes = _dishes(cells, buckets)
+    customers = packed_sums(cells.where("kind = 1").select(F.col("bucket").alias("part"), "blob"), lexicon.size, RANGES)
+    histogram = _histogram(dishes)
+    c, n = np.unique(np.concatenate([customers, np.repeat(histogram[0], 1)]), return_inverse=True)
+    root = Root(c, np.bincount(n, np.concatenate([np.ones(len(customers)), histogram[1]]), len(c)).astype(np.int64), sweeps, burn)
+    lexicon.base = root.of(customers)
+    shared = spark.sparkContext.broadcast(lexicon)
+    restaurants = _restaurants(cells, dishes, shared, root, sweeps, burn, max(2, -(-total >> 18)))
     drop(cells)
-    return pairs, root, unknown
+    model = Model(lexicon, root, _blobs(restaurants.where("kind = 1")), _blobs(restaurants.where("kind = 2")), distinct)
+    return restaurants, dishes, model, total, distinct
 
 
-def _root_score(p: np.ndarray, tail: tuple[float, float], c: Column) -> Column:
-    table = F.array(*[F.lit(float(x)) for x in p])
-    t_share = 10 ** (p[-1] + tail[0]) - LIMIT  # what the discount takes from a count of LIMIT
-    beyond = F.log10(F.greatest(c + F.lit(float(t_share)), F.lit(1e-9))) - F.lit(float(tail[0]))
-    return F.when(c <= LIMIT, F.get(table, c.cast("int"))).otherwise(beyond)
+def _histogram(dishes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of customers that occur, and how many dishes outside the lexicon have each."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("blob").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in unpack(x)], names=["c", "words"])
+
+    got = dishes.where("kind = 2").select("blob").mapInArrow(rows, "c bigint, words bigint").groupBy("c").agg(F.sum("words").alias("words")).orderBy("c").toArrow()  # one row for each number that occurs
+    return got.column("c").to_numpy(), got.column("words").to_numpy()
+
+
+# --------------------------------------------------------------------------------------------- scoring
+
+
+def _scored(model: Model, blobs: list[bytes], occurrences: list[tuple[int, bytes]], bucket: int) -> Iterator[pa.RecordBatch]:
+    """Sums of documents by group (kind 4), and words to look up elsewhere (kind 5)."""
+    words = model.lexicon
+    parts = [unpack(x) for x in blobs]
+    cells = Cells(parts)
+    left, given, rare, n = parts[0][6:] if parts else (np.empty(0, np.float32), np.empty(0), np.empty(0), np.empty(0, np.int64))
+    whole = np.bincount(cells.rest, cells.n, len(cells.start))
+    rests = cells.context[cells.start]
+    hot = np.flatnonzero(cells.parts(words) > 1)
+    given, whole = given.copy(), whole.astype(float)
+    given[hot], whole[hot] = model.given[rests[hot]], words.n[rests[hot]]
+    base = np.concatenate([words.base, np.zeros(ESC - words.size), rare])
+    sums: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for first, x in occurrences:
+        ref, runs, escaped, tref, tescaped, doc, times = unpack(x)
+        context = np.repeat(_ids(ref, escaped, cells.contexts), runs)
+        dish = _ids(tref, tescaped, cells.dishes)
+        hashes = np.zeros(len(dish), np.uint64)
+        hashes[tref == ESC] = tescaped
+        times = times.astype(float)
+        rest = np.minimum(np.searchsorted(rests, context), max(len(rests) - 1, 0))
+        known = (rests[rest] == context) if len(rests) else np.zeros(len(context), bool)
+        share = np.ones(len(context))
+        share[known] = ((THETA + given) / (THETA + whole))[rest[known]]
+        key = context * cells.wide + dish
+        at = np.minimum(np.searchsorted(cells.key, key), max(len(cells.key) - 1, 0))
+        seen = known & (dish >= 0) & (cells.key[at] == key) if len(cells.key) else known
+        p = share * base[np.maximum(dish, 0)]
+        p[seen] += left[at[seen]] / (THETA + whole[rest[seen]])
+        away = dish < 0
+        with np.errstate(divide="ignore"):
+            score = times * np.log10(np.where(away, share, p))
+        # The lexicon's words are counted where the document is read, others where they are found.
+        other = dish >= ESC
+        base_score, found = np.zeros(len(dish)), np.where(other, times, 0)
+        base_score[other] = times[other] * (np.log10(n[dish[other] - ESC] + 1.0) - model.base)
+        row = first + doc.astype(np.int64)
+        if away.any():
+            yield _rows(1, bucket=[bucket], kind=[5], blob=[pack(row[away], hashes[away], times[away])])
+        group = row // GROUP
+        for g in np.unique(group).tolist():
+            some = group == g
+            sums.setdefault(g, []).append((row[some] - g * GROUP, score[some], base_score[some], found[some]))
+    for g, many in sums.items():
+        row, *values = (np.concatenate(x) for x in zip(*many, strict=True))
+        u, back = np.unique(row, return_inverse=True)
+        score, base_score, found = (np.bincount(back, v, len(u)) for v in values)
+        yield _rows(1, bucket=[0], kind=[4], origin=[g], blob=[pack(_least(u), score.astype(np.float32), base_score, _least(found.astype(np.int64)))])
+
+
+def _looked_up(partial: DataFrame, dishes: DataFrame, model) -> DataFrame:
+    """Sums (kind 4) of the words that held-out pairs ask for elsewhere."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("blob").to_pylist():
+                row, hashes, times = unpack(x)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(signed(hashes)), pa.array(times)], names=["row", "hash", "times"])
 
-def _by_doc(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Where each document's distinct keys stand, how often they occur, and the documents' ends among them."""
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-    at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(d))).astype(np.int32), pa.array(np.searchsorted(d[at], np.arange(n + 1)).astype(np.int32))
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            for x in batch.column("blob").to_pylist():
+                hashes, customers, n = unpack(x)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(np.log10(m.root.of(customers))), pa.array(np.log10(n + 1.0))], names=["hash", "p", "n"])
+
+    asked = partial.where("kind = 5").select("blob").mapInArrow(wanted, "row bigint, hash bigint, times double")
+    have = dishes.where("kind = 1").select("blob").mapInArrow(table, "hash bigint, p double, n double")
+    unknown = math.log10(max(model.value.root.unknown, 1e-300))
+    joined = asked.join(have, "hash", "left")
+    return joined.groupBy("row").agg(
+        F.sum(F.col("times") * F.coalesce("p", F.lit(unknown))).alias("score"),
+        F.sum(F.col("times") * (F.coalesce("n", F.lit(0.0)) - F.lit(model.value.base))).alias("base"),
+        F.sum(F.when(F.col("p").isNotNull(), F.col("times")).otherwise(0.0)).alias("known"),
+    )
 
 
-def score(docs: DataFrame, train: Column, dishes: int = 1 << 16, contexts: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", **fit_args) -> DataFrame:
+def score(docs: DataFrame, train: Column, words: int = ESC, in_bucket: int = 2_000_000, hot: int = 500_000, id_col: str = "doc_id", text_col: str = "text", **sampling: int) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row. train: which rows are learnt from, over doc_id and text."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
     docs = own(docs, doc_id=id_col, text=text_col).select("doc_id", text_of("text").alias("text"))
-    learnt = docs.where(train)
-    counts = save(token_counts(learnt), "hpy-counts")
-    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    top = counts.orderBy(F.desc("n"), "hash").limit(dishes).toPandas()
-    pairs, root, unknown = fit(learnt, dishes, **fit_args)
-    frequent = pairs.orderBy(F.desc("n"), "pair").limit(dishes).select("pair", "score").toPandas()
-    base = math.log10(total + distinct + 1)
-    base_of = np.append(np.log10(top["n"].to_numpy(float) + 1) - base, 0.0)
-    score_of = np.append(frequent["score"].to_numpy(float), 0.0)
-    shared = spark.sparkContext.broadcast((Vocabulary(top["hash"].to_numpy(np.int64)), base_of, Vocabulary(frequent["pair"].to_numpy(np.int64)), score_of))
+    restaurants, dishes, fitted, total, _ = fit(docs.where(train), words, in_bucket, hot, **sampling)
+    buckets, shared = fitted.lexicon.buckets, spark.sparkContext.broadcast(fitted)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    wide = f"{SCHEMA}, doc_id {kind}, n_tokens bigint, score double, base double, known double"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, words, done, ids = shared.value, shared.value.lexicon, [], []
+        base_of = np.append(np.log10(words.n + 1.0) - model.base, 0.0)
+
+        def rows_done(rows, tokens, doc, first, row) -> None:
+            u, back = np.unique(tokens, return_inverse=True)
+            ref = np.minimum(words.refs(u), words.size)[back]
+            n = rows.num_rows
+            done.append([np.arange(row, row + n), np.diff(first), np.zeros(n), np.bincount(doc, base_of[ref], n), np.bincount(doc, ref < words.size, n)])
+            ids.extend(rows.column("doc_id").to_pylist())
+
+        def given() -> pa.RecordBatch:
+            row, size, score, base, known = (np.concatenate(x) for x in zip(*done, strict=True))
+            n = len(row)
+            out = _rows(n, bucket=((row // GROUP) % buckets).astype(np.int32), kind=np.full(n, 6, np.int32), origin=row)
+            out = pa.RecordBatch.from_arrays([*out.columns, pa.array(ids, field.type), pa.array(size), pa.array(score), pa.array(base), pa.array(known.astype(float))], names=[*out.schema.names, "doc_id", "n_tokens", "score", "base", "known"])
+            done.clear()
+            ids.clear()
+            return out
+
+        def padded(rows: pa.RecordBatch, like: pa.RecordBatch) -> pa.RecordBatch:
+            more = [pa.nulls(rows.num_rows, f.type) for f in list(like.schema)[4:]]
+            return pa.RecordBatch.from_arrays([*rows.columns, *more], names=like.schema.names)
+
+        batch = next(batches, None)
+        if batch is None:
+            return
+        field = batch.schema.field("doc_id")
+        start = TaskContext.get().partitionId() << 40
+        for u, context, token, first, doc in _segments(_chain(batch, batches), start, rows_done):
+            ref, times, bucket, context, token, doc = _sorted_pairs(words, u, context, token, doc)
+            own_score = np.zeros(int(doc.max()) + 1)
+            if len(model.pair):
+                pair = _mix(u[context] * _C2 + u[token])
+                at = np.minimum(np.searchsorted(model.pair, pair), len(model.pair) - 1)
+                often = model.pair[at] == pair
+                own_score = np.bincount(doc[often], times[often] * model.log_p[at[often]], len(own_score))
+                bucket, context, token, doc, times = (x[~often] for x in (bucket, context, token, doc, times))
+            got = list(_packed_pairs(words, u, ref, bucket, context, token, doc, times)) if len(doc) else []
+            some = np.flatnonzero(own_score)
+            lines = given() if done else None
+            if lines is not None:
+                yield lines
+                template = lines
+            if len(got):
+                yield padded(_rows(len(got), bucket=[b for b, _ in got], kind=[1] * len(got), origin=[first] * len(got), blob=[x for _, x in got]), template)
+            group = (first + some) // GROUP
+            sums = [(g, some[group == g] + first - g * GROUP, own_score[some[group == g]]) for g in np.unique(group).tolist()]
+            if sums:
+                blobs = [pack(_least(i), x, np.zeros(len(i)), np.zeros(len(i), np.uint8)) for _, i, x in sums]
+                yield padded(_rows(len(sums), bucket=[g % buckets for g, _, _ in sums], kind=[4] * len(sums), origin=[g for g, _, _ in sums], blob=blobs), template)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, blobs, held, size, bucket = shared.value, [], [], 0, None
+        names = None
+        for batch in batches:
+            names = batch.schema
+            kinds = batch.column("kind").to_numpy()
+            through = np.flatnonzero((kinds == 4) | (kinds == 6))
+            if len(through):
+                yield batch.take(pa.array(through))
+            for i in np.flatnonzero(kinds < 2).tolist():
+                b, blob = batch.column("bucket")[i].as_py(), batch.column("blob")[i].as_py()
+                if b != bucket:
+                    if held:
+                        yield from (_padded(x, names) for x in _scored(model, blobs, held, bucket))
+                    bucket, blobs, held, size = b, [], [], 0
+                if kinds[i] == 0:
+                    blobs.append(blob)
+                else:
+                    held.append((batch.column("origin")[i].as_py(), blob))
+        if held:
+            yield from (_padded(x, names) for x in _scored(model, blobs, held, bucket))
+        release()
+
+    model_rows = restaurants.where("kind = 0").select("bucket", "kind", "origin", "blob", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", kind), ("n_tokens", "bigint"), ("score", "double"), ("base", "double"), ("known", "double"))])
+    both = docs.mapInArrow(read, wide).unionByName(model_rows)
+    partial = save(_by_bucket(both, buckets).mapInArrow(meet, wide), "hpy-partial")
+    drop(restaurants)
+    away = _looked_up(partial, dishes, shared)
+    columns = [F.lit(0).alias("bucket"), F.lit(7).alias("kind"), F.col("row").alias("origin"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("n_tokens"), "score", "base", "known"]
+    group = F.when(F.col("kind") == 4, F.col("origin")).otherwise(F.floor(F.col("origin") / GROUP))
+    rows = partial.where("kind in (4, 6)").unionByName(away.select(*columns)).withColumn("bucket", group.cast("long"))
+    met = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "kind", "origin")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sums, lines = None, np.zeros((3, GROUP)), []
+
+        def given() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(lines).combine_chunks()
+            at = rows.column("origin").to_numpy() - group * GROUP
+            score, base, known = (rows.column(c).to_numpy() + sums[i, at] for i, c in enumerate(("score", "base", "known")))
+            size = rows.column("n_tokens").to_numpy()
+            one = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+            return pa.RecordBatch.from_arrays(
+                [one(rows.column("doc_id")), pa.array(size), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(at), total, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / size, 300))],
+                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base_of, often, score_of = shared.value
         for batch in batches:
-            for rows, data, offs in pieces(batch):
-                tokens, doc, first = _tokens(data, offs)
-                context, pair = _pairs(tokens)
-                dish, cell = words.numbers(tokens), often.numbers(pair)
-                n = rows.num_rows
-                sums = lambda x: np.bincount(doc, weights=x, minlength=n)
-                rare = dish == words.size
-                # One key for each document and rare token or pair; the document's row number keeps repeated ids apart.
-                at = np.flatnonzero(rare)
-                one, times, ends = _by_doc(doc[at], tokens[at], n)
-                lists = lambda x, ends: pa.ListArray.from_arrays(ends, pa.array(x))
-                at2 = np.flatnonzero(cell == often.size)
-                one2, times2, ends2 = _by_doc(doc[at2], pair[at2], n)
-                one2 = at2[one2]
-                # All pairs of the rows that were learnt from are in the model; the others' may have to back off.
-                new = ~rows.column("learnt").to_numpy(zero_copy_only=False)[doc[one2]]
-                ends3 = pa.array(np.append(0, np.cumsum(new))[ends2.to_numpy()].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(first) - sums(rare).astype(np.int64)), pa.array(sums(base_of[dish])), pa.array(sums(score_of[cell])), lists(signed(tokens[at[one]]), ends), lists(times, ends)]
-                    + [lists(signed(pair[one2]), ends2), lists(times2, ends2), lists(signed(context[one2[new]]), ends3), lists(signed(tokens[one2[new]]), ends3)],
-                    names=["doc_id", "n_tokens", "n_common", "base_common", "score_common", "rare", "times", "pair", "pair_times", "context", "hash"],
-                )
-
-    schema = f"doc_id {kind}, n_tokens bigint, n_common bigint, base_common double, score_common double, rare array<bigint>, times array<int>, pair array<bigint>, pair_times array<int>, context array<bigint>, hash array<bigint>"
-    scored = save(docs.withColumn("learnt", F.coalesce(train, F.lit(False))).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "hpy-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
-    joined = rare.join(counts, "hash", "left").select("row", "times", F.coalesce(F.col("n"), F.lit(0)).alias("c"))
-    known = joined.select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_rare"), (F.col("times") * (F.log10(F.col("c") + 1) - base)).alias("base_rare"), F.lit(0.0).alias("score_rare"))
-
-    two = scored.select("row", F.explode(F.arrays_zip("pair", "pair_times")).alias("r")).select("row", "r.pair", F.col("r.pair_times").alias("times"))
-    seen = two.join(pairs.select("pair", "score"), "pair").select("row", (F.col("times") * F.col("score")).alias("score_rare"))
-    held = scored.where(F.size("context") > 0).select("row", F.explode(F.arrays_zip("pair", "pair_times", "context", "hash")).alias("r")).select("row", "r.pair", F.col("r.pair_times").alias("times"), "r.context", "r.hash")
-    unseen = save(held.join(pairs.select("pair"), "pair", "left_anti"), "hpy-unseen")
-    backs = save(pairs.groupBy("context").agg(F.sum("n").alias("n"), F.first("back").alias("back")), "hpy-contexts")
-    unseen = _with(_with(unseen, backs, "context", contexts), root, "hash", dishes)
-    backed = unseen.select("row", (F.col("times") * (F.coalesce("back", F.lit(0.0)) + F.coalesce("base", F.lit(unknown)))).alias("score_rare"))
-    scores = seen.unionByName(backed).select("row", F.lit(0).alias("n_rare"), F.lit(0.0).alias("base_rare"), "score_rare")
-    sums = known.unionByName(scores).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_rare", "base_rare", "score_rare")])
-    out = scored.drop("rare", "times", "pair", "pair_times", "context", "hash").join(sums, "row", "left")
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    score_col = F.col("score_common") + F.coalesce("score_rare", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_common") + zero("n_rare")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_common") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"),
-        score_col.alias("score"),
-        F.pow(F.lit(10.0), -score_col / F.col("n_tokens")).alias("perplexity"),
-    )
+            b = batch.column("bucket").to_numpy()
+            cuts = _runs(b).tolist() if len(b) else []
+            for x, y in zip(cuts, [*cuts[1:], len(b)], strict=True):
+                if b[x] != group:
+                    if lines:
+                        yield given()
+                    group, lines = int(b[x]), []
+                    sums[:] = 0
+                part = batch.slice(x, y - x)
+                kinds = part.column("kind").to_numpy()
+                for blob in part.column("blob").take(pa.array(np.flatnonzero(kinds == 4))).to_pylist():
+                    at, *values = unpack(blob)
+                    for i, v in enumerate(values):
+                        sums[i, at] += v  # each document once
+                if (kinds == 6).any():
+                    lines.append(part.take(pa.array(np.flatnonzero(kinds == 6))))
+                late = part.take(pa.array(np.flatnonzero(kinds == 7)))
+                if late.num_rows:
+                    at = late.column("origin").to_numpy() - group * GROUP
+                    for i, c in enumerate(("score", "base", "known")):
+                        sums[i, at] += late.column(c).to_numpy()
+        if lines:
+            yield given()
+
+    return met.mapInArrow(add, f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+
+
+def _padded(rows: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The rows with the schema's further columns, null."""
+    return pa.RecordBatch.from_arrays([*rows.columns, *(pa.nulls(rows.num_rows, f.type) for f in list(schema)[4:])], names=schema.names)
+
+
+def _chain(first: pa.RecordBatch, others: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield first
+    yield from others

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _PUNCT, Words, drop, own, pieces, save, signed, text_of, tune
+from .common import _PUNCT, Words, drop, own, packed_sums, pieces, save, signed, split_vector, text_of, tune
 
 NEIGHBOURS = 25
 #: Examples in a block of the index.
@@ -229,32 +229,16 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """Documents with each term, and the number of documents at the end. Counts travel as packed vectors, range by range."""
-    size = -(-(len(terms) + 1) // RANGES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(RANGES * size, np.int64)
+        df = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for rows, data, offs in pieces(batch):
-                df[len(terms)] += rows.num_rows
+                df[-1] += rows.num_rows
                 df += np.bincount(_term_counts(data, offs, terms)[1], minlength=len(df))
-        packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in df.reshape(RANGES, size)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES)), pa.array(packed, pa.binary())], names=["part", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array(split_vector(df, RANGES), pa.binary())], names=["part", "blob"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, x in zip(batch.column("part").to_pylist(), batch.column("df"), strict=True):
-                df = np.frombuffer(pa.decompress(x.as_buffer(), 8 * size, "zstd"), np.int64)
-                sums[part] = sums[part] + df if part in sums else df
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "df"])
-
-    schema = "part bigint, df binary"
-    got = docs.select("text").mapInArrow(count, schema).repartition(RANGES, "part").mapInArrow(add, schema).toArrow()  # RANGES rows
-    df = np.zeros((RANGES, size), np.int64)
-    for part, x in zip(got.column("part").to_pylist(), got.column("df").to_pylist(), strict=True):
-        df[part] = np.frombuffer(x, np.int64)
-    return df.ravel()[: len(terms) + 1]
+    return packed_sums(docs.select("text").mapInArrow(count, "part int, blob binary"), len(terms) + 1, RANGES)
 
 
 class Model:

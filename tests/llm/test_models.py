@@ -191,7 +191,7 @@ def test_gibbs_finds_the_seating_of_a_small_restaurant():
 
 
 def test_language_model_edge_cases(spark):
-    out = pitman_yor.score(edge_docs(spark), F.coalesce(F.col("doc_id") != 8, F.lit(True)), dishes=3, contexts=2)
+    out = pitman_yor.score(edge_docs(spark), F.coalesce(F.col("doc_id") != 8, F.lit(True)), words=3, in_bucket=100)
     rows = out.collect()
     assert len(rows) == len(DOCS) and all(math.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
     assert sorted(r["n_tokens"] for r in rows) == sorted(len(_tokens(t)) for _, t, *_ in DOCS)
@@ -205,18 +205,48 @@ def test_every_preceding_word_is_a_context(spark):
     n = 150
     rows = [(i, f"left{i % n} right{i % n}") for i in range(8 * n)] + [(100_000 + i, f"left{i} right{i}") for i in range(n)] + [(200_000 + i, f"left{i} right{(i + 1) % n}") for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for dishes, contexts in ((1 << 16, 1 << 16), (5, 3)):  # what is broadcast makes no difference
-        got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id") < 100_000, dishes=dishes, contexts=contexts).collect()}
+    for words, in_bucket, hot in ((1 << 16, 1 << 20, 1 << 20), (5, 300, 100), (200, 500, 300)):  # how pairs travel makes no difference
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id") < 100_000, words=words, in_bucket=in_bucket, hot=hot).collect()}
         # log10 P of the first word is about -log10(n); the follower and the end after it are nearly sure.
         assert all(got[100_000 + i] > -math.log10(n) - 0.5 for i in range(n))
         assert all(got[200_000 + i] < got[100_000 + i] - 1 for i in range(n))
 
 
+def test_every_probability_behind_a_context_adds_up_to_one():
+    """A bucket's restaurants and their parent by hand, through the code that scores: sums to 1 within 1e-6."""
+    rng = np.random.default_rng(8)
+    hashes = np.sort(rng.integers(1, 1 << 62, 9).astype(np.uint64))
+    lexicon = pitman_yor.Lexicon(hashes[:5], np.array([50, 40, 30, 20, 10]), 1, 1 << 30)
+    rare = hashes[5:]
+    customers = np.array([6, 5, 4, 3, 2, 2, 1, 1, 1])
+    c, n = np.unique(customers, return_counts=True)
+    root = pitman_yor.Root(c, n, 6, 2)
+    assert math.isclose(root.of(customers).sum() + root.unknown, 1, rel_tol=1e-6)
+    lexicon.total, lexicon.base = 150, root.of(customers[:5])
+    refs = np.array([0, 1, 2, 3, 0, 1, pitman_yor.ESC, pitman_yor.ESC], np.uint16)
+    cells = pitman_yor.Cells([[np.array([1, 2], np.uint16), np.array([5, 3]), np.empty(0, np.uint64), refs, rare[:2], np.array([9, 4, 1, 2, 7, 3, 2, 1])]])
+    p = root.of(customers[5:7])
+    base = np.concatenate([lexicon.base, np.zeros(pitman_yor.ESC - 5), p])[cells.dish]
+    mean, _, d, _ = pitman_yor._seat_all(cells, base, lexicon, 6, 2, 0)
+    left = np.maximum(cells.n - d[cells.rest] * mean, 0).astype(np.float32)
+    given = np.bincount(cells.rest, cells.n - left.astype(float))
+    model = pitman_yor.Model(lexicon, root, [], [], 9)
+    blob = cells.packed(left, given, p, np.array([3, 2]))
+    everything = np.concatenate([np.arange(5), [pitman_yor.ESC] * 2]).astype(np.uint16)
+    for context in (1, 2, 3):  # the last one has no restaurant
+        asked = pitman_yor.pack(np.array([context], np.uint16), np.array([7]), np.empty(0, np.uint64), everything, rare[:2], np.arange(7), np.ones(7, np.int64))
+        got = [r for r in pitman_yor._scored(model, [blob], [(0, asked)], 0)]
+        scores = pitman_yor.unpack(got[0].column("blob")[0].as_py())[1]
+        share = (1 + given[context - 1]) / (1 + np.bincount(cells.rest, cells.n)[context - 1]) if context < 3 else 1.0
+        rest = share * (root.of(customers[7:]).sum() + root.unknown)  # words that this bucket doesn't have
+        assert math.isclose((10.0 ** scores.astype(float)).sum() + rest, 1, rel_tol=1e-6)
+
+
 def test_restaurants_probabilities_add_up_to_one():
     rng = np.random.default_rng(3)
     rest, c = np.repeat(np.arange(4), [1, 5, 40, 300]), rng.integers(1, 400, 346)
     base = np.full(346, 1 / 1000)
-    t, tables, d = pitman_yor.seat_restaurants(rest, c, base, 1.0, 6, 2, rng)
+    t, tables, d, _ = pitman_yor.seat_restaurants(rest, c, base, 1.0, 6, 2, rng)
     assert (t >= 1).all() and (t <= c).all()
     customers = np.bincount(rest, c)
     p = np.bincount(rest, pitman_yor.predictive(c, t, d[rest], 1.0, base, customers[rest], tables[rest]))
