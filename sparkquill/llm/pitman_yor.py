@@ -698,7 +698,7 @@ def score(docs: DataFrame, train: Column, words: int = ESC, in_bucket: int = 2_0
         def given() -> pa.RecordBatch:
             row, size, score, base, known = (np.concatenate(x) for x in zip(*done, strict=True))
             n = len(row)
-            out = _rows(n, bucket=((row // GROUP) % buckets).astype(np.int32), kind=np.full(n, 6, np.int32), origin=row)
+            out = _rows(n, bucket=(_mix((row // GROUP).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), kind=np.full(n, 6, np.int32), origin=row)
             out = pa.RecordBatch.from_arrays([*out.columns, pa.array(ids, field.type), pa.array(size), pa.array(score), pa.array(base), pa.array(known.astype(float))], names=[*out.schema.names, "doc_id", "n_tokens", "score", "base", "known"])
             done.clear()
             ids.clear()
@@ -734,7 +734,7 @@ def score(docs: DataFrame, train: Column, words: int = ESC, in_bucket: int = 2_0
             sums = [(g, some[group == g] + first - g * GROUP, own_score[some[group == g]]) for g in np.unique(group).tolist()]
             if sums:
                 blobs = [pack(_least(i), x, np.zeros(len(i)), np.zeros(len(i), np.uint8)) for _, i, x in sums]
-                yield padded(_rows(len(sums), bucket=[g % buckets for g, _, _ in sums], kind=[4] * len(sums), origin=[g for g, _, _ in sums], blob=blobs), template)
+                yield padded(_rows(len(sums), bucket=[int(x) for x in _mix(np.array([g for g, _, _ in sums], np.uint64)) % np.uint64(buckets)], kind=[4] * len(sums), origin=[g for g, _, _ in sums], blob=blobs), template)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, blobs, held, size, bucket = shared.value, [], [], 0, None

@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pytest
 from helpers import DOCS, edge_docs, labels, no_docs, texts
 from pyspark.sql import functions as F
 
@@ -144,6 +146,74 @@ def test_field_is_the_same_in_any_order_of_rows(spark, sf):
     assert (one.unary == two.unary).all() and (one.transition == two.transition).all() and one.skip == two.skip
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_propagation_against_enumeration(seed):
+    """A chain of six words, two entities: marginals by adding up every labelling; exact on trees, near on loops."""
+    from itertools import product
+
+    rng = np.random.default_rng(seed)
+    field = pii.Field()
+    field.bias = rng.normal(0, 1, pii.LABELS)
+    field.unary[: 8 * pii.N_FEATURES] = rng.normal(0, 0.5, (8 * pii.N_FEATURES, pii.LABELS))
+    field.transition, field.skip = rng.normal(0, 0.6, (pii.LABELS, pii.LABELS)), 0.8
+    features = rng.integers(0, 8 * pii.N_FEATURES, (6, pii.N_FEATURES))
+    label = np.array([-1, 3, -1, -1, -1, -1])
+    for chain, entity, close in ((np.array([0, 1, 3, 4]), np.array([-1, 0, -1, 0, -1, -1]), 1e-3), (np.arange(5), np.array([0, 1, -1, 0, -1, 1]), 0.06)):
+        ids = np.unique(entity[entity >= 0])
+        unary = field.scores(features)
+        total, want = 0.0, np.zeros((6, pii.LABELS))
+        for y in product(range(pii.LABELS), repeat=6):
+            if y[1] != 3:
+                continue
+            w = sum(unary[i, y[i]] for i in range(6) if i != 1) + sum(field.transition[y[i], y[i + 1]] for i in chain)
+            hubs = 1.0
+            for h in ids:
+                hubs *= sum(np.exp(sum(field.skip * (y[i] == z) for i in np.flatnonzero(entity == h))) for z in range(pii.LABELS))
+            w = np.exp(w) * hubs
+            total += w
+            for i in range(6):
+                want[i, y[i]] += w
+        assert np.abs(field.propagate(features, chain, entity, label)[0] - want / total).max() < close
+
+
+def test_learning_is_the_likelihoods_gradient(spark):
+    """Learnt potentials tell two kinds of words apart and carry a label over a tie."""
+    rng = np.random.default_rng(2)
+    n = 600
+    label = np.repeat(rng.integers(0, 2, n // 2) * 4, 2)
+    features = np.stack([j * pii.HASHED + np.where(rng.random(n) < 0.8, label, rng.integers(5, 9, n)) for j in range(pii.N_FEATURES)], axis=1)
+    entity = np.repeat(np.arange(n // 2), 2)
+    field = pii.Field().learn(features, label, np.empty(0, np.int64), entity)
+    p = field.propagate(features, np.empty(0, np.int64), entity, np.full(n, -1))[0]
+    assert (p.argmax(axis=1) == label).mean() > 0.98 and field.skip > 0.5
+
+
+def test_spellings_that_the_patterns_miss(spark):
+    """Planted values in other spellings, on documents that have none: whole spans, at least nine in ten; clean documents stay clean."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    field = pii.learn(docs.select("doc_id", "text"))
+    words = [w for w in (docs.where("doc_id = 12").first()["text"] or "").split() if not any(c.isdigit() or c == "@" for c in w)][:60]
+    rng = np.random.default_rng(6)
+    number = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    planted, hit, extra = 0, 0, 0
+    for i in range(200):
+        p = number(10)
+        value = [f"({p[:3]}) 555-{p[6:]}", f"{p[:3]}-555-{p[6:]}", f"{p[:3]} 555 {p[6:]}", f"{p[:3]}.555.{p[6:]}", f"{words[i % 40].strip('.,').lower()}.{10 + i % 80} @ mail{i % 10}.example.com", f"{words[i % 40].strip('.,').lower()}.{10 + i % 80}(@)mail{i % 10}.example.com", f"{i % 150 + 100}-{i % 89 + 10}-{i % 67 + 10}-{i % 45 + 10}"][i % 7]
+        at = int(rng.integers(1, len(words) - 1))
+        text = " ".join([*words[:at], value, *words[at:]]).encode()
+        d = np.frombuffer(text, np.uint8)
+        offs = np.array([0, len(d)])
+        got = pii._added(field, d, offs, pii.patterns(d, offs), 0.9)
+        s = text.index(value.encode())
+        planted += 1
+        hit += any(a <= s and b >= s + len(value) for a, b, _ in got)
+        extra += len(got) > 1
+    assert hit / planted >= 0.9 and extra / planted < 0.02, (hit, extra, planted)
+    clean = "in 2019 the 3 of 12 cost 45 at 10:30, version 2.0, §12.4, 1,000,000 or 99.5 % (page 17)"
+    d = np.frombuffer(" ".join([*words, clean, *words]).encode(), np.uint8)
+    assert pii._added(field, d, np.array([0, len(d)]), [], 0.9) == []
+
+
 def test_personal_data_edge_cases(spark):
     out = pii.find(edge_docs(spark)).collect()
     assert sorted(r["base"] for r in out) == sorted(_base(t) for _, t, *_ in DOCS)
