@@ -287,12 +287,12 @@ def packed_sums(df: DataFrame, size: int, ranges: int) -> np.ndarray:
 # ------------------------------------------------------------------------------- connected components
 
 
-#: Links that one task may take in to connect them by itself (about 100 MB); more are connected by shuffled rounds.
-LOCAL_LINKS = 1_000_000
+#: Links that a task connects by itself at a time (about 30 MB).
+LOCAL_LINKS = 250_000
 
 
 def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) links -> (id, component) by union-find, the smaller id on top."""
+    """(a, b) links -> (a, b) from each id to the smallest that it reaches within about LOCAL_LINKS links."""
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -303,26 +303,34 @@ def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = top, up[x]
         return top
 
+    def give() -> pa.RecordBatch:
+        ids = [x for x, y in up.items() if x != y]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-    ids = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"])
+        if len(up) > LOCAL_LINKS:
+            yield give()
+            up.clear()
+    if up:
+        yield give()
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
     """(a, b) links -> (id, component): the smallest id reachable. Only ids with a link come back.
 
-    A bounded number of links is connected in one task. More go through alternating large-star and small-star rounds
-    (Kiveris et al. 2014): each shortens every path, so the rounds grow with the logarithm of the longest. Rows meet
-    by partial minimum; no group is collected. Every round is written to the shared folder.
+    Tasks first connect what they hold, a bounded number of links at a time, which shortens paths. Alternating
+    large-star and small-star rounds (Kiveris et al. 2014) then join what tasks hold apart, until nothing changes: each
+    shortens every path, so the rounds grow with the logarithm of the longest. Rows meet by partial minimum; no group
+    is collected. Every round is written to the shared folder.
     """
-    edges = save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-edges")
+    first = save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-edges")
     sign = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    edges = save(first.coalesce(max(1, -(-first.count() // LOCAL_LINKS))).mapInArrow(_connect, "a bigint, b bigint"), f"{label}-edges")
+    drop(first)
     now = sign(edges)
-    if now[0] <= LOCAL_LINKS:
-        return save(edges.coalesce(1).mapInArrow(_connect, "id bigint, component bigint"), f"{label}-ids")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))

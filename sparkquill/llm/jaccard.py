@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Words, _mix, components, drop, own, pieces, save, signed, tune, windows
+from .common import Words, _mix, components, drop, own, pieces, save, signed, text_of, tune, windows
 
-LEAF, CELL, SPREAD, HUBS = 32, 2048, 256, 3
+LEAF, FAN, CELL, SPREAD, HUBS = 32, 8, 2048, 256, 3
 FULL = np.iinfo(np.uint16).max
 #: Sets of so many shingles and more have 64, 128, ... 1,024 groups.
 RESOLUTION = np.array([0, 768, 1536, 3072, 6144])
@@ -98,7 +98,7 @@ def _sums(shingle: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _points(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2, vec, prefix of every row."""
+    """doc_id, text_key, n, s1, s2, vec, prefix of every row."""
     order = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[order], order + 1))
 
@@ -131,11 +131,12 @@ def _points(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
                 head = np.arange(len(by)) - np.repeat(first[:-1], n) < np.repeat(size, n)
                 ends = np.append(0, np.cumsum(size)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(shingle[by][head])))],
-                    names=["doc_id", "n", "s1", "s2", "vec", "prefix"],
+                    [rows.column(0), rows.column("text_key"), pa.array(n, pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(shingle[by][head])))],
+                    names=["doc_id", "text_key", "n", "s1", "s2", "vec", "prefix"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, vec binary, prefix array<bigint>")
+    keyed = docs.select("doc_id", "text", F.xxhash64(text_of("text")).alias("text_key"))
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, n bigint, s1 bigint, s2 bigint, vec binary, prefix array<bigint>")
 
 
 def _bounded(a: np.ndarray, b: np.ndarray, na, nb, num: int, den: int) -> np.ndarray:
@@ -145,13 +146,20 @@ def _bounded(a: np.ndarray, b: np.ndarray, na, nb, num: int, den: int) -> np.nda
     return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (full | ((num + den) * most >= num * (na + nb)))
 
 
-def _pair_bounded(va: bytes, vb: bytes, na: int, nb: int, num: int, den: int) -> bool:
-    a, b = np.frombuffer(va, np.uint16)[None], np.frombuffer(vb, np.uint16)[None]
-    while a.shape[1] > b.shape[1]:
-        a = fold(a)
-    while b.shape[1] > a.shape[1]:
-        b = fold(b)
-    return bool(_bounded(a, b, na, nb, num, den)[0])
+def _pairs_bounded(va: list[bytes], vb: list[bytes], na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of points the bound leaves; pairs of the same resolutions are compared together."""
+    la, lb = level_of(na), level_of(nb)
+    out = np.zeros(len(na), bool)
+    for x, y in np.unique(np.stack([la, lb]), axis=1).T.tolist():
+        some = np.flatnonzero((la == x) & (lb == y))
+        for part in np.array_split(some, -(-len(some) // 2048)):
+            a, b = (np.frombuffer(b"".join(v[i] for i in part), np.uint16).reshape(len(part), -1) for v in (va, vb))
+            while a.shape[1] > b.shape[1]:
+                a = fold(a)
+            while b.shape[1] > a.shape[1]:
+                b = fold(b)
+            out[part] = _bounded(a, b, na[part], nb[part], num, den)
+    return out
 
 
 def _filter_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -161,33 +169,45 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [_pair_bounded(*x, num, den) for x in zip(*(batch.column(c).to_pylist() for c in ("va", "vb", "na", "nb")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = _pairs_bounded(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
 class RTree:
-    """Points packed, in the order given, into leaves with their largest coordinates and least and largest sizes."""
+    """Points packed, in the order given, into leaves, and these into nodes, up to a root: each with its points' largest
+    coordinates and least and largest sizes."""
 
     def __init__(self, points: np.ndarray, n: np.ndarray) -> None:
         self.points, self.n = points, n
-        cuts = np.arange(0, len(n), LEAF)
-        self.most = np.maximum.reduceat(points, cuts, axis=0)
-        self.low, self.high = np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts)
+        self.levels, most, low, high, fan = [], points, n, n, LEAF
+        while not self.levels or len(low) > FAN:
+            cuts = np.arange(0, len(low), fan)
+            most, low, high = np.maximum.reduceat(most, cuts, axis=0), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            self.levels.append((most, low, high))
+            fan = FAN
 
     def search(self, point: np.ndarray, n: int, since: int, num: int, den: int) -> np.ndarray:
         """Points from `since` on that the bound leaves for this one."""
-        leaves = np.arange(since // LEAF, len(self.low))
-        low, high = self.low[leaves], self.high[leaves]
-        reach = np.minimum(self.most[leaves], point).sum(axis=1, dtype=np.int64)
-        full = (np.maximum(self.most[leaves], point) == FULL).any(axis=1)
-        # For the node's sizes low..high: some size may fit, and the least overlap any of them needs is within reach.
-        fits = (den * high >= num * n) & (den * n >= num * low) & (full | ((num + den) * reach >= num * (n + np.maximum(low, (num * n) // den))))
-        at = (leaves[fits][:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[(at >= since) & (at < len(self.n))]
+        at = np.arange(len(self.levels[-1][1]))
+        for height in range(len(self.levels) - 1, -1, -1):
+            most, low, high = (x[at] for x in self.levels[height])
+            reach = np.minimum(most, point).sum(axis=1, dtype=np.int64)
+            full = (np.maximum(most, point) == FULL).any(axis=1)
+            # For the node's sizes low..high: some size may fit, and the least overlap any of them needs is within reach.
+            fits = (den * high >= num * n) & (den * n >= num * low) & (full | ((num + den) * reach >= num * (n + np.maximum(low, (num * n) // den))))
+            fan, below = (FAN, len(self.levels[height - 1][1])) if height else (LEAF, len(self.n))
+            at = (at[fits][:, None] * fan + np.arange(fan)).ravel()
+            at = at[at < below]
+            at = at[(at + 1) * self._span(height - 1) > since] if height else at[at >= since]
         return at[_bounded(self.points[at], point, self.n[at], n, num, den)]
 
+    @staticmethod
+    def _span(height: int) -> int:
+        """Points below a node."""
+        return LEAF * FAN**height
+
 
 def _cell_pairs(cid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, vec: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different labels in a cell that all bounds leave. Rows come by label."""
@@ -303,7 +323,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
 
 
 def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size for every row; links are similarities of num/den or more."""
+    """doc_id, n_shingles, component_id, class_size, text_key (a hash of the text) for every row; links are similarities of num/den or more."""
     tune(docs.sparkSession)
     docs = own(docs, doc_id=id_col, text=text_col)
     points = save(_points(docs, k, num, den, _common(docs, k, sample_docs)), "jaccard-points")
@@ -339,20 +359,26 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     whole = classes.select(*key, "rep", "class_size", "cid").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "component").select(*key, "component_id", "class_size")
-    out = points.select("doc_id", *key).join(named, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    out = points.select("doc_id", "text_key", *key).join(named, key, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_key")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
     """The rows, with all their columns, of one document of each component: the one with the smallest id.
 
-    Rows without shingles, and rows with a null id, stay. Of rows with that id and one text, one stays.
+    Rows without shingles, and rows with a null id, stay. Of rows with that id and one text, one stays; rows with that id
+    and other texts are kept, each by its own group.
     """
     found = save(similar_components(docs, k, num, den, id_col, text_col, **bounds), "jaccard-components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if twice else kept
+    rows = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "text_key").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__gone"), (F.count("*") > 1).alias("__twice"))
+    flags = save(rows.where("__gone or __twice").withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), "jaccard-flags")
+    drop(found)
+    same = (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(text_of(F.col(f"`{text_col}`"))) == F.col("__key"))
+    if not flags.where("__twice and not __gone").limit(1).count():
+        return docs.join(flags.select("__id", "__key"), same, "left_anti")
+    marked = docs.join(flags, same, "left").where(~F.coalesce("__gone", F.lit(False)))
+    twice, columns = F.coalesce("__twice", F.lit(False)), [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(~twice).select(*columns).unionByName(marked.where(twice).select(*columns).dropDuplicates([id_col, text_col]))
 
 
 ORACLE = r"""

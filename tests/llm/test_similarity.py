@@ -86,7 +86,32 @@ def test_bound_never_rules_out_a_similar_pair():
         a, b = np.append(both, r.integers(0, 2**63, 20, dtype=np.uint64)), np.append(both, r.integers(0, 2**63, 25, dtype=np.uint64))
         va, vb = (np.bincount((x >> np.uint64(57)).astype(int), minlength=64).astype(np.uint16) for x in (a, b))
         if 100 * len(both) >= 85 * (len(a) + len(b) - len(both)):
-            assert jaccard._pair_bounded(va.tobytes(), vb.tobytes(), len(a), len(b), 85, 100)
+            assert jaccard._pairs_bounded([va.tobytes()], [vb.tobytes()], np.array([len(a)]), np.array([len(b)]), 85, 100)[0]
+
+
+def test_tree_finds_what_a_scan_finds():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for size in (1, 31, 33, 700, 2048):
+        n = np.sort(r.integers(20, 90, size))
+        points = np.stack([r.multinomial(k, np.ones(64) / 64) for k in n]).astype(np.uint16)
+        points[: size // 2] = points[size // 2 : size // 2 * 2]  # copies
+        n = points.sum(axis=1).astype(np.int64)
+        tree = jaccard.RTree(points, n)
+        assert size <= 256 or len(tree.levels) > 1
+        for i in range(0, size, 1 + size // 40):
+            since = int(r.integers(0, size))
+            want = [j for j in range(since, size) if jaccard._bounded(points[j], points[i], n[j], n[i], 80, 100)]
+            assert tree.search(points[i], int(n[i]), since, 80, 100).tolist() == want
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Repeated rows with a null id or no words stay; an id with two texts loses only the text that has a smaller twin."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, ""), (3, ""), (None, a), (None, a), (5, None), (5, None), (7, "x y z"), (7, "x y z")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(0, a), (1, b), (3, ""), (3, ""), (None, a), (None, a), (5, None), (5, None), (7, "x y z")], key=str)
 
 
 def test_near_duplicate_edge_cases(spark):
@@ -99,7 +124,7 @@ def test_near_duplicate_edge_cases(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 4, 5, 6, 8, 9, None]
 
 
-@pytest.mark.parametrize("local", [0, 10**6])
+@pytest.mark.parametrize("local", [1, 3, 10**6])
 def test_component_names(spark, monkeypatch, local):
     monkeypatch.setattr(common, "LOCAL_LINKS", local)
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35)]
