@@ -22,6 +22,7 @@ names, are left out (`reject` keeps them all).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _PUNCT, Words, drop, own, packed_sums, pieces, save, signed, split_vector, text_of, tune
+from .common import _PUNCT, Words, drop, own, packed_sums, pieces, release, save, signed, split_vector, text_of, tune
 
 NEIGHBOURS = 25
 #: Examples in a block of the index.
@@ -42,6 +43,8 @@ TOGETHER = 512
 MATRIX = 1 << 24
 #: Ranges of terms whose document frequencies are added up apart.
 RANGES = 16
+#: Bytes in which the index comes from the task that builds it.
+PART = 8 << 20
 
 
 def _term_counts(data: np.ndarray, offs: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,15 +294,29 @@ def _index(docs: DataFrame, examples: DataFrame) -> Index:
                 ends = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["doc_id", "toxic", "term", "tf"])
 
-    got = examples.mapInArrow(vectors, f"doc_id {kind}, toxic int, term array<int>, tf array<int>").toArrow()  # at most max_examples rows
-    ids, label = got.column("doc_id").to_pylist(), got.column("toxic").to_numpy().astype(float)
-    if not ids:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, label, size, term, tf = [], [], [], [], []
+        for batch in batches:
+            ids += batch.column("doc_id").to_pylist()
+            label.append(batch.column("toxic").to_numpy().astype(float))
+            size.append(np.diff(batch.column("term").offsets.to_numpy()))
+            term.append(batch.column("term").flatten().to_numpy())
+            tf.append(batch.column("tf").flatten().to_numpy())
+        cat = lambda x, t: np.concatenate([np.empty(0, t), *x])
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), cat(size, np.int64))
+        raw = pickle.dumps(Index(terms, idf, ids, cat(label, np.float64), row, cat(term, np.int32), cat(tf, np.int32)), protocol=5)
+        for i, at in enumerate(range(0, len(raw), PART)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([raw[at : at + PART]], pa.binary())], names=["i", "part"])
+        release()
+
+    rows = examples.mapInArrow(vectors, f"doc_id {kind}, toxic int, term array<int>, tf array<int>")
+    # At most max_examples rows meet in one task, which builds the index; the driver only passes it on.
+    parts = rows.repartition(1).mapInArrow(build, "i bigint, part binary").toArrow()
+    if not parts.num_rows:
         none = np.empty(0, np.int64)
-        return Index(terms, idf, [], label, none, none, none)
-    term, tf = (np.concatenate([x.flatten().to_numpy() for x in got.column(c).chunks]) for c in ("term", "tf"))
-    size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in got.column("term").chunks])
-    del got
-    return Index(terms, idf, ids, label, np.repeat(np.arange(len(ids), dtype=np.int32), size), term, tf)
+        return Index(terms, idf, [], np.empty(0), none, none, none)
+    order = np.argsort(parts.column("i").to_numpy())
+    return pickle.loads(b"".join(parts.column("part")[int(i)].as_py() for i in order))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 20_000) -> Model:
@@ -324,6 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 2
         votes = examples.mapInArrow(own_votes, "raw double, toxic int").toArrow()  # at most max_examples rows
         out.calibration = monotone(votes.column("raw").to_numpy(), votes.column("toxic").to_numpy().astype(float))
     drop(examples)
+    release()
     return out
 
 
