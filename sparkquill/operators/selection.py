@@ -60,6 +60,20 @@ def adaptively(df: DataFrame, least: int = S.min_chunks, most: int = S.max_chunk
     return out.select("qid", "target", F.posexplode("chosen").alias("pos", "c")).select("qid", "target", F.col("pos").alias("selected"), F.col("c.key").alias(key), (-F.col("c.neg")).alias("score"))
 
 
+def selection_stats(chunks: DataFrame, selected: DataFrame) -> DataFrame:
+    """By question: the share of chunks selected, average scores of all and of the selected, the share of score kept; zeros if none is selected."""
+    a = chunks.groupBy("qid").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score_original"), F.sum("score").alias("total"))
+    b = selected.groupBy("qid").agg(F.count("*").alias("m"), F.avg("score").alias("avg_score_selected"), F.sum("score").alias("kept"))
+    zero = F.lit(0.0)
+    return a.join(b, "qid", "left").select(
+        "qid",
+        F.coalesce(F.col("m") / F.col("n"), zero).alias("compression_ratio"),
+        F.when(F.col("m").isNotNull(), F.col("avg_score_original")).otherwise(0.0).alias("avg_score_original"),
+        F.coalesce("avg_score_selected", zero).alias("avg_score_selected"),
+        F.when(F.col("total") > 0, F.coalesce(F.col("kept") / F.col("total"), zero)).otherwise(0.0).alias("score_retention"),
+    )
+
+
 # ---------------------------------------------------------------------------------------- citations
 
 
@@ -74,6 +88,21 @@ def citation_stats(cited: DataFrame, document: str = "doc_id") -> DataFrame:
     return cited.groupBy("qid").agg(F.count("*").alias("total"), F.countDistinct(document).alias("documents"), F.avg("score").alias("avg_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score"))
 
 
+def top_documents(cited: DataFrame, k: int = 5, document: str = "doc_id") -> DataFrame:
+    """The k most cited documents of each question (ties by id)."""
+    n = cited.groupBy("qid", document).agg(F.count("*").alias("citations"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("citations"), document))
+    return n.withColumn("place", place).where(F.col("place") <= k)
+
+
+def citations_where(cited: DataFrame, least: float | None = None, **equal) -> DataFrame:
+    """Citations of a score of at least `least`, whose columns named in `equal` have those values."""
+    out = cited if least is None else cited.where(F.col("score") >= least)
+    for name, value in equal.items():
+        out = out.where(F.col(name) == value)
+    return out
+
+
 def invalid_citations(text: Column, valid: Column) -> Column:
     from ..functions.text import cited_numbers
 

@@ -123,3 +123,21 @@ def timeline(searches: DataFrame, most: int = 100) -> DataFrame:
 
 def expired(sessions: DataFrame, now: Column) -> DataFrame:
     return sessions.where(F.col("expires_at") < now)
+
+
+def listed(sessions: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the sessions, of one status or all, the latest active first (ties by id)."""
+    some = sessions if status is None else sessions.where(F.col("status") == status)
+    return some.orderBy(F.desc("last_activity"), "session_id").offset(offset).limit(limit)
+
+
+def messages_of(messages: DataFrame, role: str | None = None, limit: int | None = None) -> DataFrame:
+    """Each session's messages, of one role or all, numbered from the oldest; the first `limit` of them."""
+    some = messages if role is None else messages.where(F.col("role") == role)
+    numbered = some.withColumn("place", F.row_number().over(_oldest()))
+    return numbered if limit is None else numbered.where(F.col("place") <= limit)
+
+
+def without_expired(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """What is left of a table of a session's parts (messages, searches, citations) once expired sessions are deleted."""
+    return rows.join(gone.select("session_id").distinct(), "session_id", "left_anti")

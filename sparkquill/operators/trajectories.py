@@ -100,3 +100,23 @@ def bundle(steps: DataFrame) -> dict[str, DataFrame]:
     """Everything about trajectories; the tree is built once and may be cached by the caller."""
     tree = nodes(steps)
     return {"tree": tree, "timeline": timeline(tree), "costs": cost_breakdown(tree), "statistics": statistics(steps, tree)}
+
+
+def root_spans(tree: DataFrame) -> DataFrame:
+    """(root, total_ms): from the root's time to the end of its last child; 0 without a child that has a duration."""
+    top = tree.where("parent_id is null and depth = 0").select("root", F.col("session_id").alias("parent_id"), F.unix_micros("ts").alias("begun"))
+    child = tree.where("parent_id is not null").groupBy("root", "parent_id").agg(F.max_by(F.struct("ts", "ms"), F.struct("ts", "session_id")).alias("c"))
+    end = F.unix_micros("c.ts") / 1000 + F.col("c.ms")
+    return top.join(child, ["root", "parent_id"], "left").select("root", F.when(F.col("c.ms") != 0, end - F.col("begun") / 1000).otherwise(0.0).alias("total_ms"))
+
+
+def call_tree(tree: DataFrame) -> DataFrame:
+    """(root, calls): each run's nested calls, a line a node, indented by depth, every node before its children."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), "session_id")
+    ordered = F.array_sort(F.collect_list(F.struct(F.split("session_id", "-sub-").alias("path"), line.alias("line"))))
+    return tree.groupBy("root").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("calls"))
+
+
+def depths_of(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked: root, session_id -> its depth, 0 for those that the tree doesn't know."""
+    return asked.join(tree.select("root", "session_id", "depth"), ["root", "session_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))

@@ -108,3 +108,26 @@ def select_by_clusters(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.clusters import diverse
 
     return diverse(retrieved(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {RETRIEVED}, a AS (SELECT qid, count(*) AS n, avg(score) AS o, sum(score) AS t FROM re GROUP BY 1), b AS (SELECT qid, count(*) AS m, avg(score) AS s, sum(score) AS k FROM re WHERE rank <= 5 GROUP BY 1)
+SELECT qid, round(m / n, 6) AS compression_ratio, round(o, 6) AS avg_score_original, round(s, 6) AS avg_score_selected, round(CASE WHEN t > 0 THEN k / t ELSE 0 END, 6) AS score_retention FROM a JOIN b USING (qid)"""
+)
+def selection_stats(spark: SparkSession, sf: str) -> DataFrame:
+    r = retrieved(spark, sf)
+    out = X.selection_stats(r, r.where("rank <= 5"))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns[1:]})
+
+
+@query("SELECT qid, doc_id, n AS citations, CAST(p AS INTEGER) AS place FROM (SELECT user_id AS qid, event_id % 7 AS doc_id, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_id % 7) AS p FROM events WHERE round(value, 2) >= 10 AND event_type <> 'click' GROUP BY 1, 2) WHERE p <= 5")
+def most_cited_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as citations: the documents that each user's cite most."""
+    cited = table(spark, sf, "events").where("event_type <> 'click'").select(F.col("user_id").alias("qid"), (F.col("event_id") % 7).alias("doc_id"), F.round("value", 2).alias("score"))
+    return X.top_documents(X.citations_where(cited, 10))
+
+
+@query("SELECT event_id, event_type, round(value, 2) AS score FROM events WHERE event_type = 'view' AND user_id % 3 = 0 AND round(value, 2) >= 10")
+def find_citations(spark: SparkSession, sf: str) -> DataFrame:
+    cited = table(spark, sf, "events").select("event_id", "event_type", F.round("value", 2).alias("score"), (F.col("user_id") % 3).alias("session"))
+    return X.citations_where(cited, 10, event_type="view", session=0).drop("session")

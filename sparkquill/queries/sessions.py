@@ -140,3 +140,21 @@ def search_messages(spark: SparkSession, sf: str) -> DataFrame:
     m = messages(spark, sf).select((F.col("session_id") * 1000 + F.col("id")).alias("doc_id"), F.col("content").alias("text"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("query"))
     return top_k(bm25(m, q), 5).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {E}, a AS (SELECT session_id, max(created_at) AS last_activity, CASE WHEN count(*) % 2 = 0 THEN 'active' ELSE 'closed' END AS status FROM s GROUP BY 1) SELECT * FROM a WHERE status = 'active' ORDER BY last_activity DESC, session_id LIMIT 20 OFFSET 5")
+def list_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of active sessions (paging is the feature)."""
+    s = searches(spark, sf).groupBy("session_id").agg(F.max("created_at").alias("last_activity"), F.when(F.count("*") % 2 == 0, "active").otherwise("closed").alias("status"))
+    return S.listed(s, "active", 20, 5)
+
+
+@query(f"WITH {M} SELECT session_id, id, content, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS p FROM m WHERE role = 'user') WHERE p <= 3")
+def first_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return S.messages_of(messages(spark, sf), "user", 3).select("session_id", "id", "content", "place")
+
+
+@query(f"WITH {E}, a AS (SELECT session_id FROM s GROUP BY 1 HAVING max(created_at) + INTERVAL 72 HOUR < (SELECT max(ts) + INTERVAL 70 HOUR FROM events)) SELECT session_id, count(*) AS searches FROM s WHERE session_id NOT IN (SELECT session_id FROM a) GROUP BY 1")
+def kept_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches left when expired sessions are deleted with all they hold."""
+    return S.without_expired(searches(spark, sf), expired_sessions(spark, sf)).groupBy("session_id").agg(F.count("*").alias("searches"))

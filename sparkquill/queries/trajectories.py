@@ -79,3 +79,23 @@ def trajectory_positions(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {L} SELECT root, count(*) FILTER (WHERE parent_id IS NOT NULL) AS calls, CAST(max(depth) AS INTEGER) AS max_depth, count(*) AS nodes FROM n GROUP BY root")
 def recursion_stats(spark: SparkSession, sf: str) -> DataFrame:
     return T.recursion_stats(T.nodes(steps(spark, sf)))
+
+
+@query(
+    f"""WITH {L}, c AS (SELECT root, parent_id, arg_max(ts, (ts, session_id)) AS ts, arg_max(coalesce(ms, 0), (ts, session_id)) AS ms FROM n WHERE parent_id IS NOT NULL GROUP BY 1, 2)
+SELECT n.root, round(CASE WHEN c.ms <> 0 THEN epoch_us(c.ts) / 1000 + c.ms - epoch_us(n.ts) / 1000 ELSE 0 END, 2) AS total_ms FROM n LEFT JOIN c ON c.root = n.root AND c.parent_id = n.session_id WHERE n.parent_id IS NULL AND depth = 0"""
+)
+def trajectory_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return T.root_spans(T.nodes(steps(spark, sf))).withColumn("total_ms", F.round("total_ms", 2))
+
+
+@query(f"WITH {L} SELECT root, string_agg(repeat('  ', depth) || session_id, chr(10) ORDER BY string_split(session_id, '-sub-')) AS calls FROM n GROUP BY root")
+def call_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return T.call_tree(T.nodes(steps(spark, sf)))
+
+
+@query(f"WITH {L}, a AS (SELECT DISTINCT user_id AS root, 'r-sub-' || (user_id % 4) AS session_id FROM events) SELECT a.root, a.session_id, CAST(coalesce(depth, 0) AS INTEGER) AS depth FROM a LEFT JOIN n ON n.root = a.root AND n.session_id = a.session_id")
+def current_depths(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("user_id")
+    asked = table(spark, sf, "events").select(u.alias("root"), F.concat(F.lit("r-sub-"), (u % 4).cast("string")).alias("session_id")).distinct()
+    return T.depths_of(T.nodes(steps(spark, sf)), asked)
