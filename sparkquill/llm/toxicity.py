@@ -163,7 +163,7 @@ class Index:
         line, flat = (doc[short] * wide).astype(np.int32), cos.reshape(-1)
         ends = np.cumsum(have, dtype=np.int64)
         cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, 1 << 19))
-        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(short)], strict=True):
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(short)][: len(cuts)], strict=True):
             size = have[x:y]
             from_ = np.repeat(begin[x:y] - (np.cumsum(size, dtype=np.int32) - size), size)
             from_ += np.arange(len(from_), dtype=np.int32)
