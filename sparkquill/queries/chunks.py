@@ -86,7 +86,7 @@ def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(cut).alias("pos", "s")).select("doc_id", "pos", "s.*")
 
 
-_OLD = """o AS (SELECT doc_id, s * 400 AS start, s * 400 + 400 AS "end", CAST(s + 1 AS BIGINT) AS page, s % 3 = 0 AS is_table, s % 5 = 0 AS is_code FROM documents, range(0, 200) r(s) WHERE s * 400 < length(text))"""
+_OLD = """o AS (SELECT doc_id, s * 400 AS start, s * 400 + 400 AS "end", CAST(s + 1 AS BIGINT) AS page, s % 3 = 0 AS is_table, s % 5 = 0 AS is_code FROM (SELECT doc_id, unnest(range(0, (length(text) + 399) // 400)) AS s FROM documents))"""
 
 
 @query(

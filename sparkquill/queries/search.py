@@ -10,8 +10,8 @@ from ..registry import query, table
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """qid, query (the first 60 characters of each item), vector (of the same number; null if there is none)."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("query"))
+    """qid, query (each item's whole text), vector (of the same number; null if there is none)."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return b.join(vectors(spark, sf).select(F.col("doc_id").alias("qid"), "vector"), "qid", "left")
 
 
@@ -23,7 +23,7 @@ _TOK = r"list_filter(list_transform(regexp_split_to_array(lower(regexp_replace({
 BASE = f"""p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format("text")}) AS term FROM documents) GROUP BY 1, 2),
 d AS (SELECT doc_id, len({_TOK.format("text")}) AS dl FROM documents),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
-q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_TOK.format("substr(text, 1, 60)")}) AS term FROM benchmark JOIN embeddings ON vec_id = item_id) GROUP BY 1, 2),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 bm AS (SELECT qid, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
     FROM p JOIN q USING (term) JOIN f USING (term) JOIN d USING (doc_id), st GROUP BY 1, 2),
@@ -90,14 +90,14 @@ def aggregate_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    """qid, query, doc_id, content (the first 300 characters), score, rank of the keyword search."""
+    """qid, query, doc_id, content (the whole text), score, rank of the keyword search."""
     q, d = questions(spark, sf), table(spark, sf, "documents")
     top = S.top_k(S.bm25(d, q), k)
-    return top.join(q.select("qid", "query"), "qid").join(d.select("doc_id", F.substring("text", 1, 300).alias("content")), "doc_id")
+    return top.join(q.select("qid", "query"), "qid").join(d.select("doc_id", F.col("text").alias("content")), "doc_id")
 
 
 RETRIEVED = f"""{BASE}, top AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20),
-re AS (SELECT t.qid, substr(b.text, 1, 60) AS query, t.doc_id, substr(d.text, 1, 300) AS content, score, rank FROM top t JOIN benchmark b ON b.item_id = t.qid JOIN documents d ON d.doc_id = t.doc_id)"""
+re AS (SELECT t.qid, b.text AS query, t.doc_id, d.text AS content, score, rank FROM top t JOIN benchmark b ON b.item_id = t.qid JOIN documents d ON d.doc_id = t.doc_id)"""
 
 
 @query(

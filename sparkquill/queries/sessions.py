@@ -131,14 +131,14 @@ _TOK = r"list_filter(list_transform(regexp_split_to_array(lower(regexp_replace({
 @query(
     f"""WITH x AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format("text")}) AS term FROM x) GROUP BY 1, 2),
 d AS (SELECT doc_id, len({_TOK.format("text")}) AS dl FROM x), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOK.format("substr(text, 1, 40)")}) AS term FROM benchmark) GROUP BY 1, 2),
+q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
 b AS (SELECT qid, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN f USING (term) JOIN d USING (doc_id), st GROUP BY 1, 2)
 SELECT qid, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 5"""
 )
 def search_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked full-text search over messages, for the first words of benchmark texts."""
+    """Ranked full-text search over messages, for the benchmark texts."""
     m = messages(spark, sf).select((F.col("session_id") * 1000 + F.col("id")).alias("doc_id"), F.col("content").alias("text"))
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("query"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return top_k(bm25(m, q), 5).withColumn("score", F.round("score", 6))
 
 
