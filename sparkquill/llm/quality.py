@@ -1,13 +1,13 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
 A rule rejects a document whose feature exceeds a cutoff. For each stratum and feature, every cutoff of a fixed grid
-is tested on the labelled good documents: with k of n of them above it, the exact binomial probability of at most k
-at a false-rejection rate of `risk / features` must be under `delta / tests` (Bonferroni over all strata, features and
+is tested on the labelled good documents, once for each distinct text, as copies are no independent trials: with k of
+n texts above it, the exact binomial probability of at most k at a false-rejection rate of `risk / features` must be under `delta / tests` (Bonferroni over all strata, features and
 cutoffs). The lowest cutoff that passes is used, so that with probability 1 - delta no stratum loses more than `risk`
 of its good documents. Where no cutoff passes -- few labels -- the rule stays off and documents are kept.
 
-Null text has no words (base_failed). Null strata form one of their own. Repeated rows give repeated rows; extra
-columns are left out; without labels no rule is on.
+Null text has no words (base_failed). Null strata form one of their own. Texts of any length are taken whole, as one value.
+Repeated rows give repeated rows; extra columns are left out; an empty table gives no rows; without labels no rule is on.
 """
 
 from __future__ import annotations
@@ -63,6 +63,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     rows = rows.select(
         "doc_id",
         "stratum",
+        F.xxhash64(text).alias("text_key"),
         counts.alias("c"),
         (F.length(text) - without(" \t\n\x0b\f\r")).cast("long").alias("word_chars"),
         without("#*$%&|<>").cast("long").alias("n_symbols"),
@@ -74,6 +75,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     return rows.select(
         "doc_id",
         "stratum",
+        "text_key",
         "c.n_words",
         "word_chars",
         "n_symbols",
@@ -107,6 +109,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
 
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1").select("doc_id")
     held = measured.join(good, "doc_id").withColumn("stratum", F.coalesce(F.concat(F.lit("s"), F.col("stratum").cast("string")), F.lit("")))
+    held = held.groupBy("stratum", "text_key").agg(*[F.first(f).alias(f) for f in grid])  # equal texts have equal features
     above = [F.sum(F.when(F.col(f) > c, 1).otherwise(0)).alias(f"{f}_{i}") for f, cs in grid.items() for i, c in enumerate(cs)]
     per = held.groupBy("stratum").agg(F.count("*").alias("n"), *above)
     tests = [F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cutoff"), F.col(f"{f}_{i}").alias("k")) for f, cs in grid.items() for i, c in enumerate(cs)]
@@ -142,12 +145,14 @@ g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_i
 m AS (SELECT doc_id, s FROM g GROUP BY 1, 2 HAVING count(*) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g JOIN m USING (doc_id, s), range(0, 8) r(o) GROUP BY 1),
 b AS (SELECT doc_id, k, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(t, '[^!]', '', 'g')) AS sh FROM d LEFT JOIN c USING (doc_id)),
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, t, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(t, '[^!]', '', 'g')) AS sh FROM d LEFT JOIN c USING (doc_id)),
 x AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, up / greatest(word_chars, 1) AS upper_ratio, sh / greatest(word_chars, 1) AS shout_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_ratio FROM b),
 u AS ({_LONG}),
 grid(feature, place, cutoff) AS (VALUES {_GRID}),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING max(quality) = 1),
-tests AS (SELECT k, feature, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS kk FROM u JOIN good USING (doc_id) JOIN grid USING (feature) GROUP BY 1, 2, 3),
+one AS (SELECT DISTINCT k, t, {", ".join(GRID)} FROM x JOIN good USING (doc_id)),
+gu AS ({_LONG.replace("doc_id, k", "k").replace("FROM x", "FROM one")}),
+tests AS (SELECT k, feature, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS kk FROM gu JOIN grid USING (feature) GROUP BY 1, 2, 3),
 terms AS (SELECT k, feature, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(0.9875))) AS p FROM (SELECT *, unnest(range(0, kk + 1)) AS i FROM tests WHERE kk < 0.0125 * n) GROUP BY 1, 2, 3),
 rules AS (SELECT k, feature, min(cutoff) AS cutoff FROM terms WHERE p <= 0.05 / ((SELECT count(DISTINCT k) FROM tests) * (SELECT count(*) FROM grid)) GROUP BY 1, 2),
 hits AS (SELECT doc_id, string_agg(feature, ',' ORDER BY place) AS why FROM u JOIN rules USING (k, feature) JOIN (SELECT DISTINCT feature, place FROM grid) USING (feature) WHERE v > cutoff GROUP BY 1)
