@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -40,10 +41,27 @@ def test_token_counts_of_edge_cases_and_other_tokenizers(spark):
         count = _tokens(public_tokenizers.path(name))
         got = [r["n_tokens"] for r in tokencount.token_counts(docs, public_tokenizers.path(name)).collect()]
         assert sorted(got) == sorted(map(count, want))
-    assert tokencount.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).count() == len(want)
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = [r["n_tokens"] for r in tokencount.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()]
+    assert sorted(got) == sorted(len(pieces.encode(t or "")) for t in want)
     assert tokencount.token_counts(no_docs(spark), BPE).count() == 0
 
 
+def test_token_counts_around_white_space_of_every_kind(spark):
+    odd = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200C)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff", "\u180e"]
+    some = random.Random(7)
+    signs = [*odd, " ", " ", "  ", "\n", "\t", "\r\n", "a", "word", "don't", "12", "é", "全角", "!?", "<|endoftext|>"]
+    rows = [(i, "".join(some.choices(signs, k=some.randint(1, 30)))) for i in range(1500)]
+    rows += [(len(rows) + i, "one\xa0two three\u3000 four\n" * n) for i, n in enumerate((1, 2, 60_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = _tokens(BPE)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(docs, BPE).collect()}
+    assert got == {i: count(t) for i, t in rows}
+    assert max(len(t.encode()) for _, t in rows) > tokencount.PIECE
+
+
 # ------------------------------------------------------------------------------------------- quality
 
 
@@ -73,16 +91,24 @@ def test_binomial_bound_is_exact(spark):
 
 
 def test_cutoffs_limit_false_rejections(spark):
-    rows = [(i, "plain words here and there " * 5 + ("# " * 80 if i % 2 else ""), "en") for i in range(3000)]
+    rows = [(i, " ".join(f"w{j}x{i}" for j in range(30)) + (" " + "#" * 300 if i % 2 else ""), "en") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     good = labels(spark, [(i, int(i % 2 == 0), 0, "", "") for i in range(3000)])
     out = quality.quality_rules(docs, good)
     kept = {r["doc_id"]: r["kept"] for r in out.where("not base_failed").collect()}
     assert all(v for i, v in kept.items() if i % 2 == 0)
+    assert kept and not any(v for i, v in kept.items() if i % 2)
     none = quality.quality_rules(docs, labels(spark))
     assert none.where("not kept and not base_failed").count() == 0
 
 
+def test_copies_are_no_evidence_of_a_cutoff(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(30)) + (" " + "#" * 300 if i % 2 else ""), "en") for i in range(3000)]
+    good = labels(spark, [(i, int(i % 2 == 0), 0, "", "") for i in range(3000)])
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), good)
+    assert out.where("not kept and not base_failed").count() == 0
+
+
 def test_quality_edge_cases(spark):
     out = quality.quality_rules(edge_docs(spark), labels(spark, [(1, 1, 0, "", ""), (None, 0, 0, "", ""), (2, None, 0, "", "")])).collect()
     assert sorted((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in out) == sorted(_measures(t) for _, t, *_ in DOCS)
