@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm import decontaminate, jaccard, mixing, pii, toxicity
-from sparkquill.llm.common import save
+from sparkquill.llm.common import drop, save
 from sparkquill.llm.queries import remainder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:  # the next stage's table is written
+            drop(before)
+        before = docs
     return docs
