@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, jaccard, mixing, pii, pitman_yor, quality, substring, tokencount, toxicity
+from . import chatformat, decontaminate, jaccard, lexical, mixing, pii, pitman_yor, quality, substring, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,9 +70,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_score_toxicity": op1, "op2_score_language": op2, "op3_find_contamination": op3, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op7_join_similar": op7, "op8_find_personal_data": op8, "op9_token_counts": op9, "op10_substring_dedup": op10}
+    return {"op1_score_toxicity": op1, "op2_score_language": op2, "op3_find_contamination": op3, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op7_join_similar": op7, "op8_find_personal_data": op8, "op9_token_counts": op9, "op10_substring_dedup": op10, "op12_ranked_search": op12}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_join_similar": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_join_similar": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE, "op12_ranked_search": lexical.ORACLE}
