@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, jaccard, lexical, mixing, pii, pitman_yor, quality, substring, tokencount, toxicity
+from . import chatformat, decontaminate, jaccard, lexical, mixing, packing, pii, pitman_yor, quality, substring, tandem, tokencount, toxicity
+from .common import SPACE, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,13 +71,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # as in op9
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, by its id's CRC-32, repeats its words from one on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", F.floor(crc / 10).alias("g"), F.when(crc % 10 == 0, F.filter(F.split(text_of("text"), SPACE), lambda x: x != "")).alias("w"))
+    docs = docs.withColumn("a", F.when(F.size("w") > 0, F.col("g") % F.size("w")))
+    docs = docs.withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.element_at("w", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))).otherwise(x))
+    docs = docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    runs = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return tandem.periodic_runs(docs).select("doc_id", "n_runs", "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"), F.sha2(runs, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_score_toxicity": op1, "op2_score_language": op2, "op3_find_contamination": op3, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op7_join_similar": op7, "op8_find_personal_data": op8, "op9_token_counts": op9, "op10_substring_dedup": op10, "op12_ranked_search": op12}
+    return {"op1_score_toxicity": op1, "op2_score_language": op2, "op3_find_contamination": op3, "op4_mix_sources": op4, "op5_format_chats": op5, "op6_quality_rules": op6, "op7_join_similar": op7, "op8_find_personal_data": op8, "op9_token_counts": op9, "op10_substring_dedup": op10, "op11_pack_sequences": op11, "op12_ranked_search": op12, "op13_periodic_runs": op13}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_join_similar": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE, "op12_ranked_search": lexical.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_format_chats": chatformat.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_join_similar": jaccard.ORACLE, "op10_substring_dedup": substring.ORACLE, "op12_ranked_search": lexical.ORACLE, "op13_periodic_runs": tandem.ORACLE}
