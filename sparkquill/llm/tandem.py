@@ -4,7 +4,7 @@ Each document's suffix tree is held as its suffix array with longest common pref
 suffixes and a depth. For every node of depth D, the leaves of all children but the largest are listed, n log n in all; a
 leaf i whose partner i + D or i - D is below the same node, but whose next words differ, gives a branching tandem repeat, a
 square of 2 D words that can't move to the right. Each is rotated to the left as far as it goes, which gives the maximal
-run, and repeats that give the same stretch are merged under the smallest period.
+run. Repeats with the same end whose period is a multiple of a smaller one that reaches as far are merged with it first.
 
 A piece of about 1 MB holds many documents; their trees are built together by array operations. Words of different
 documents are different symbols and each end is a symbol of its own, so nothing matches across documents. The suffix array
@@ -166,15 +166,21 @@ def _rotated(symbols: np.ndarray, start: np.ndarray, period: np.ndarray) -> np.n
 def runs_of(symbols: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, smallest period) of every maximal run, by start, then period."""
     start, period = branching_repeats(symbols)
-    moved = _rotated(symbols, start, period)
-    start, length = start - moved, 2 * period + moved
-    long = length >= np.maximum(min_words, 2 * period)
+    by = np.lexsort((period, start + 2 * period))
+    start, period, found = start[by], period[by], []
+    while len(start):  # the smallest period at each end; few ends have several that are not its multiples
+        end = start + 2 * period
+        new = np.ones(len(start), bool)
+        new[1:] = end[1:] != end[:-1]
+        least = start[new], period[new]
+        length = 2 * least[1] + _rotated(symbols, *least)
+        found.append(np.stack([end[new] - length, length, least[1]]))
+        of = np.cumsum(new) - 1
+        other = ~new & ((period % least[1][of] > 0) | (2 * period > length[of]))  # else it is the same run
+        start, period = start[other], period[other]
+    start, length, period = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    long = length >= min_words
     start, length, period = start[long], length[long], period[long]
-    by = np.lexsort((period, length, start))
-    start, length, period = start[by], length[by], period[by]
-    new = np.ones(len(start), bool)
-    new[1:] = (start[1:] != start[:-1]) | (length[1:] != length[:-1])
-    start, length, period = start[new], length[new], period[new]
     by = np.lexsort((period, start))
     return start[by], length[by], period[by]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +19,7 @@ from sparkquill.llm.queries import op11
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+@cache
 def _ids(path, end=2):
     t = Tokenizer.from_file(path)
     return lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")

@@ -77,16 +77,12 @@ def test_impacts_beyond_64_bits():
 
 def _runs(w, least):
     """By definition: for each period the stretches, then the smallest period of each."""
-    found = {}
+    found, number = {}, np.unique(np.array([*w, ""]), return_inverse=True)[1][:-1]
     for q in range(1, len(w) // 2 + 1):
-        i = 0
-        while i + q < len(w):
-            j = i
-            while j + q < len(w) and w[j] == w[j + q]:
-                j += 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], number[:-q] == number[q:], [0]])))
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if j + q - i >= max(least, 2 * q):
                 found.setdefault((i, j + q - i), q)
-            i = j + 1
     return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
 
 
