@@ -184,8 +184,13 @@ class Words:
         after = np.zeros(len(data), bool)
         after[:-1] = word[1:]
         end = np.flatnonzero(word & (~after | edge[1:])) + 1
+        start, end = self.cut(data, start, end)
         return start + a, end + a, _mix(_between(_prefix(byte[data], _R1), start, end, _R1) ^ (end - start).astype(np.uint64))
 
+    def cut(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For kinds of words that are cut further."""
+        return start, end
+
     def doc(self) -> np.ndarray:
         """The document of each word."""
         return np.repeat(np.arange(len(self.offs) - 1), np.diff(self.first))

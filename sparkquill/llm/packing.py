@@ -12,8 +12,9 @@ The result is a short list of ranges: pieces number a..b of length l go to seque
 by task and length, counted in the task, and moved by running sums over the tasks; no length's pieces meet in a task. A
 second pass looks up where each piece goes; texts are tokenised once.
 
-Words are encoded once while they are in a worker's direct-mapped cache. This needs a tokenizer for which a run between
-ASCII white space is encoded by itself; texts of other tokenizers are encoded whole.
+Words are encoded once while they are in a worker's direct-mapped cache, without the marks that follow them and in lower
+case. This needs a tokenizer that drops white space, cuts at it and between letters and marks, and lowers the case; texts
+of other tokenizers are encoded whole.
 
 Null text counts as empty: one piece with the end token alone. A text of any length is taken whole, as windows. Repeated
 rows are packed each; a null id stays null. Of equal lengths, which piece goes where follows the order of tasks; reruns over
@@ -27,13 +28,14 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, drop, own, pieces, save, text_of, tune
+from .common import Words, _mix, drop, own, pieces, save, text_of, tune
 
 #: Steps of the grid on which lengths are combined.
 STEPS = 64
@@ -42,7 +44,12 @@ DEPTH = 5
 #: Pieces are cut at multiples of so many tokens; their checksums are kept.
 BLOCK = 64
 #: Entries of a worker's cache, and ids that an entry holds.
-SLOTS, INLINE = 1 << 19, 8
+SLOTS, INLINE = 1 << 20, 8
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+#: A worker's encoders: later tasks find its cache filled.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 # Fixed value: the pattern of tokenizers that drop white space and cut at it.
 DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -50,6 +57,31 @@ DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # ---------------------------------------------------------------------------------------- tokenising
 
 
+class Stems(Words):
+    """Words without the marks that end them, which are words of their own; ASCII letters in lower case."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
+        super().__init__(data, offs, lower=True)
+        #: Names of special tokens keep their case: a word with their first sign is equal to none.
+        self.named = np.zeros(len(self.start), bool)
+        self.named[np.searchsorted(self.start, np.flatnonzero(data == ord("<")), side="right") - 1] = True
+        self.hash[self.named] = _mix(np.flatnonzero(self.named).astype(np.uint64) + np.uint64(1))
+
+    def cut(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Before up to three marks that follow an ASCII letter or digit, where tokenizers by word always cut."""
+        marks, more = np.zeros(len(start), np.int64), np.arange(len(start))
+        for _ in range(3):
+            more = more[_MARK[data[end[more] - marks[more] - 1]]]
+            marks[more] += 1
+            more = more[end[more] - marks[more] > start[more]]
+        at = np.flatnonzero(marks)
+        at = at[end[at] - marks[at] > start[at]]
+        at = at[_ALNUM[data[end[at] - marks[at] - 1]]]
+        shorter = end.copy()
+        shorter[at] -= marks[at]
+        return np.insert(start, at + 1, shorter[at]), np.insert(shorter, at + 1, end[at])
+
+
 class Encoder:
     """Token ids of texts, each with the end token."""
 
@@ -62,7 +94,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.end, self.by_word = end, _by_word(path)
         if self.by_word:
-            self.hash, self.size, self.ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros((SLOTS, INLINE), np.uint32)
+            self.hash, self.size, self.ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int8), np.zeros((SLOTS, INLINE), np.uint32)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and where each text's begin."""
@@ -74,27 +106,41 @@ class Encoder:
                 flat += ids
         return np.array(flat, np.uint32), np.cumsum([0, *size])
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of single words: one of ASCII letters alone goes to the model as it is, the others through the whole tokenizer."""
+        model = self.tokenizer.model
+        plain = [w.isascii() and w.isalpha() for w in words]
+        others, first = self._encode([w for w, p in zip(words, plain, strict=True) if not p])
+        ids = [[t.id for t in model.tokenize(w.lower())] for w, p in zip(words, plain, strict=True) if p]
+        size, is_plain = np.empty(len(words), np.int64), np.array(plain, bool)
+        size[is_plain], size[~is_plain] = [len(x) for x in ids], np.diff(first)
+        begin = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.uint32)
+        flat[_spread(begin[is_plain], size[is_plain])] = np.fromiter(chain.from_iterable(ids), np.uint32)
+        flat[_spread(begin[~is_plain], size[~is_plain])] = others
+        return flat, np.append(begin, len(flat))
+
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
         docs = len(offs) - 1
         if not self.by_word:
             flat, first = self._encode([bytes(data[a:b]).decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
             return np.insert(flat, first[1:], np.uint32(self.end)), first + np.arange(docs + 1)
-        words = Words(data, offs)
-        slot = (words.hash >> np.uint64(64 - 19)).astype(np.int64)
-        hit = (self.hash[slot] == words.hash) & (self.size[slot] > 0)
-        size = np.where(hit, self.size[slot], 0)
+        words = Stems(data, offs)
+        slot = (words.hash & np.uint64(SLOTS - 1)).astype(np.int64)
+        hit = (self.hash[slot] == words.hash) & (self.size[slot] > 0) & ~words.named
+        size = np.where(hit, self.size[slot], 0).astype(np.int64)
         lost = np.flatnonzero(~hit)
         _, at, back = np.unique(words.hash[lost], return_index=True, return_inverse=True)
         new = lost[at]
-        flat, first = self._encode([bytes(data[a:b]).decode() for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
+        flat, first = self._encode_words([bytes(data[a:b]).decode() for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
         size[lost] = np.diff(first)[back]
         begin = np.cumsum(size) - size + words.doc()
         out = np.full(int(size.sum()) + docs, self.end, np.uint32)
         have = self.ids[slot[hit]]
         out[_spread(begin[hit], size[hit])] = have[np.arange(INLINE) < size[hit][:, None]]
         out[_spread(begin[lost], size[lost])] = flat[_spread(first[back], size[lost])]
-        short = np.flatnonzero(np.diff(first) <= INLINE)
+        short = np.flatnonzero((np.diff(first) <= INLINE) & ~words.named[new])
         to, n = slot[new[short]], np.diff(first)[short]
         at = np.arange(len(short))
         keep = np.zeros(SLOTS, np.int64)
@@ -114,7 +160,9 @@ def _by_word(path: str) -> bool:
     cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     first = cuts[0]
     plain = not any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens") or [])
-    return plain and first.get("type") == "Split" and first.get("pattern") == {"Regex": DROPS_SPACE} and first.get("behavior") == "Removed" and bool(first.get("invert"))
+    lower = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
+    plain = plain and [c.get("type") for c in cuts[1:]] == ["ByteLevel"] and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex")
+    return plain and lower and first.get("type") == "Split" and first.get("pattern") == {"Regex": DROPS_SPACE} and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -379,7 +427,10 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int, ids: bool) -
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = Encoder(tokenizer, end), np.zeros(window + 1, np.int64)
+        if (tokenizer, end) not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[tokenizer, end] = Encoder(tokenizer, end)
+        encode, seen = _ENCODERS[tokenizer, end], np.zeros(window + 1, np.int64)
         for batch in batches:
             for rows, data, offs in pieces(batch):
                 flat, first = encode(data, offs)
@@ -453,7 +504,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end: int
     plan = Plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, window)  # at most `window` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    out = save(_placed(found.join(base, ["part", "length"]), plan.table(), ids), "packing-placed")
+    out = save(_placed(found.join(base.hint("merge"), ["part", "length"]), plan.table(), ids), "packing-placed")
     drop(found)
     drop(counts)
     return out

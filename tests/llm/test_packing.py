@@ -57,7 +57,8 @@ def test_every_id_in_one_piece(spark, sf):
 
 
 def test_edge_cases_and_other_windows_and_tokenizers(spark):
-    rows = [(i, t) for i, (_, t, *_) in enumerate(DOCS)] + [(100, "word " * 30_000), (101, "a" * 40_000), (102, None), (103, "don't STOP\x1cnow Ünï　全角 <|endoftext|>x 12345")]
+    rows = [(i, t) for i, (_, t, *_) in enumerate(DOCS)] + [(100, "word " * 30_000), (101, "a" * 40_000), (102, None), (103, "don't STOP\x1cnow Ünï　全角 <|endoftext|>x 12345"), (104, "<|ENDOFTEXT|> <|endoftext|>. a.b, e.g.: no!!!! (so). \"x\". '? 3.14. don't! é. ... , a\u0301. I'LL. <x. 7's, ß; İ! Σας.")]
+    rows += [(105 + i, "".join(np.random.default_rng(i).choice(list("aB'1é.,!?<|> \n\u0301Σ”-"), 300))) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash")).withColumn("part", F.lit(1))
     for path in (WORDS, public_tokenizers.path("byte_bpe_50k.json")):
         ids = {i: _ids(path)(t) for i, t in rows}
@@ -71,6 +72,13 @@ def test_edge_cases_and_other_windows_and_tokenizers(spark):
         packing.pack_documents(docs, WORDS, 8192)
 
 
+def test_special_names_are_never_taken_from_the_cache():
+    encode, ids = packing.Encoder(WORDS, 2), _ids(WORDS)
+    for text in ("<|endoftext|> a", "<|ENDOFTEXT|> a", "<b> a", "A <|EndOfText|> <|endoftext|>", "<|endoftext|>. <|endoftext|>"):
+        flat, first = encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert flat.tolist() == ids(text).tolist() and first.tolist() == [0, len(flat)]
+
+
 def test_one_length_of_most_pieces_is_cut_not_padded(spark):
     rows = [(i, "word " * 2999) for i in range(60)] + [(1000 + i, "other " * (i % 7)) for i in range(50)]
     out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, ids=True).collect()
