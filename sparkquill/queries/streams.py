@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query, table
+from ..sources.shared import shared_dir
 from ..streaming import folds, windows
 from ..streaming.machines import Breaker, Bucket, Budget
 
@@ -95,8 +95,7 @@ def assemble_streams(spark: SparkSession, sf: str) -> DataFrame:
 @query(_BREAKER)
 def streamed_breaker(spark: SparkSession, sf: str) -> DataFrame:
     """The circuit breaker as a Structured Streaming job over the events file; its rows equal the batch fold's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quill-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
     s = windows.file_stream(spark, sf, "events.parquet").select("event_id", "user_id", folds.seconds("ts").alias("at"), (F.col("event_id") % 3 > 0).alias("ok"))
     out = folds.live(s, "user_id", ["at", "event_id"], BREAK, ["at", "ok"], "allowed boolean, state string").select("event_id", "allowed", "state")
     return windows.run_to_end(out, f"{at}/out", f"{at}/checkpoint")

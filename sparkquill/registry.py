@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "hybrid_search"
-MODULES = ("text", "chunks", "formats", "search", "selection", "routing", "sessions", "calls", "trajectories", "streams", "relational", "plans")
+MODULES = ("text", "chunks", "formats", "search", "index", "selection", "routing", "sessions", "calls", "trajectories", "streams", "relational", "plans")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
