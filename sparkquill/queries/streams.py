@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, table
 from ..sources.shared import shared_dir
-from ..streaming import folds, windows
+from ..streaming import caches, client, folds, windows
 from ..streaming.machines import Breaker, Bucket, Budget
 
 
@@ -99,3 +99,91 @@ def streamed_breaker(spark: SparkSession, sf: str) -> DataFrame:
     s = windows.file_stream(spark, sf, "events.parquet").select("event_id", "user_id", folds.seconds("ts").alias("at"), (F.col("event_id") % 3 > 0).alias("ok"))
     out = folds.live(s, "user_id", ["at", "event_id"], BREAK, ["at", "ok"], "allowed boolean, state string").select("event_id", "allowed", "state")
     return windows.run_to_end(out, f"{at}/out", f"{at}/checkpoint")
+
+
+# ----------------------------------------------------------------------------------- caches and the client chain
+
+LRU_CAPACITY = 3
+_USES = "u AS (SELECT event_id, user_id, event_type || (event_id % 3) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+_DISTANCES = f"""{_USES}, b AS (SELECT *, lag(rn) OVER (PARTITION BY user_id, key ORDER BY rn) AS before FROM u),
+r AS (SELECT b.event_id, b.user_id, b.rn, b.key, CASE WHEN b.before IS NOT NULL THEN count(DISTINCT o.key) END AS distance FROM b LEFT JOIN u o ON o.user_id = b.user_id AND o.rn > b.before AND o.rn < b.rn GROUP BY b.event_id, b.user_id, b.rn, b.key, b.before)"""
+
+
+def _uses(spark: SparkSession, sf: str) -> DataFrame:
+    """Look-ups of each user: fifteen keys, in order."""
+    return _events(spark, sf).select("event_id", "user_id", "at", F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("key"))
+
+
+@query(f"WITH {_DISTANCES} SELECT event_id, CAST(distance AS BIGINT) AS distance FROM r")
+def reuse_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.fold(_uses(spark, sf), "user_id", ["at", "event_id"], caches.Reuse(), ["key"], "distance bigint").select("event_id", "distance")
+
+
+@query(f"WITH {_DISTANCES} SELECT user_id, CAST(c AS INTEGER) AS capacity, count(*) FILTER (WHERE distance < c) AS hits, count(*) AS lookups FROM r, (SELECT unnest([1, 2, 4, 8]) AS c) GROUP BY 1, 2")
+def lru_hit_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """What a cache of each capacity would have hit, out of one pass."""
+    distances = folds.fold(_uses(spark, sf), "user_id", ["at", "event_id"], caches.Reuse(), ["key"], "distance bigint")
+    return caches.hit_rates(distances, [1, 2, 4, 8], "user_id")
+
+
+@query(
+    f"""WITH {_DISTANCES}, m AS (SELECT r.event_id, o.key, max(o.rn) AS used FROM r JOIN u o ON o.user_id = r.user_id AND o.rn < r.rn WHERE distance IS NULL OR distance >= {LRU_CAPACITY} GROUP BY 1, 2),
+v AS (SELECT event_id, key AS evicted FROM m QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY used DESC) = {LRU_CAPACITY})
+SELECT event_id, coalesce(distance < {LRU_CAPACITY}, false) AS hit, evicted FROM r LEFT JOIN v USING (event_id)"""
+)
+def lru_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.fold(_uses(spark, sf), "user_id", ["at", "event_id"], caches.Lru(LRU_CAPACITY), ["at", "key"], "hit boolean, evicted string").select("event_id", "hit", "evicted")
+
+
+CLIENT = client.Client(BREAK, LIMIT, ttl_s=20_000, timeout_s=0)
+_CHAIN = """WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, epoch_us(ts) / 1000000 AS now, event_type AS key, CAST(event_id * 53 % 900 AS DOUBLE) AS need, event_id % 3 > 0 AS ok, event_id % 7 = 0 AS blank FROM events),
+s AS (SELECT e.*, CAST([] AS STRUCT(k VARCHAR, w DOUBLE)[]) AS cache, 'closed' AS st, 0 AS failed, 0 AS good, 0.0::DOUBLE AS opened, 3.0::DOUBLE AS r, 600.0::DOUBLE AS t, CAST(NULL AS DOUBLE) AS last FROM e WHERE rn = 1
+UNION ALL SELECT e.*, x.cache, x.st, x.failed, x.good, x.opened, x.r, x.t, x.last FROM (
+    SELECT user_id, rn, CASE WHEN called AND ok AND NOT blank THEN list_append(list_filter(cache, lambda c: c.k <> key), {'k': key, 'w': now}) ELSE cache END AS cache,
+        CASE WHEN NOT called THEN b WHEN b = 'closed' THEN CASE WHEN NOT ok AND failed + 1 >= 2 THEN 'open' ELSE 'closed' END WHEN NOT ok THEN 'open' WHEN g + 1 >= 2 THEN 'closed' ELSE 'half_open' END AS st,
+        CASE WHEN NOT called THEN failed WHEN b = 'closed' THEN CASE WHEN ok THEN 0 ELSE failed + 1 END WHEN ok AND g + 1 >= 2 THEN 0 ELSE failed END AS failed,
+        CASE WHEN NOT called THEN g WHEN b = 'half_open' AND ok AND g + 1 < 2 THEN g + 1 ELSE 0 END AS good,
+        CASE WHEN called AND NOT ok AND (b = 'half_open' OR failed + 1 >= 2) THEN now ELSE opened END AS opened,
+        CASE WHEN NOT called THEN r WHEN r1 >= 1 AND t1 >= need THEN r1 - 1 ELSE r1 END AS r, CASE WHEN NOT called THEN t WHEN r1 >= 1 AND t1 >= need THEN t1 - need ELSE t1 END AS t, CASE WHEN called THEN now ELSE last END AS last
+    FROM (SELECT *, NOT hit AND b <> 'open' AS called FROM (SELECT *, len(list_filter(cache, lambda c: c.k = key AND now - c.w <= 20000)) > 0 AS hit,
+        CASE WHEN len(list_filter(cache, lambda c: c.k = key AND now - c.w <= 20000)) = 0 AND st = 'open' AND now - opened >= 40000 THEN 'half_open' ELSE st END AS b,
+        CASE WHEN st = 'open' THEN 0 ELSE good END AS g, least(3.0::DOUBLE, r + coalesce(now - last, 0) * 0.001::DOUBLE / 60) AS r1, least(600.0::DOUBLE, t + coalesce(now - last, 0) * 600::DOUBLE / 60) AS t1 FROM s))) x
+    JOIN e ON e.user_id = x.user_id AND e.rn = x.rn + 1),
+h AS (SELECT *, len(list_filter(cache, lambda c: c.k = key AND now - c.w <= 20000)) > 0 AS hit, least(3.0::DOUBLE, r + coalesce(now - last, 0) * 0.001::DOUBLE / 60) AS r1, least(600.0::DOUBLE, t + coalesce(now - last, 0) * 600::DOUBLE / 60) AS t1 FROM s),
+c AS (SELECT *, NOT hit AND NOT (st = 'open' AND now - opened < 40000) AS called FROM h)
+SELECT event_id, CASE WHEN hit THEN 'cache' WHEN NOT called THEN 'refused' WHEN ok THEN 'model' ELSE 'failed' END AS served, called AND NOT (r1 >= 1 AND t1 >= need) AS limited, CAST(CASE WHEN called AND ok THEN need ELSE 0 END AS BIGINT) AS spent FROM c"""
+
+
+def _calls(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    return e.select(i.alias("id"), F.col("user_id").alias("provider"), "ts", folds.seconds("ts").alias("at"), F.col("event_type").alias("key"), (i * 53 % 900).cast("double").alias("need"), (i % 3 > 0).alias("ok"), (i % 7 == 0).alias("blank"))
+
+
+@query(_CHAIN)
+def client_chain(spark: SparkSession, sf: str) -> DataFrame:
+    calls = _calls(windows.events(table(spark, sf, "events"))).drop("ts")
+    return client.chained(calls, CLIENT).select(F.col("id").alias("event_id"), "served", "limited", "spent")
+
+
+@query(_CHAIN)
+def streamed_client_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain as a Structured Streaming job with a state each for cache, breaker and bucket."""
+    at = f"{shared_dir(spark)}/chain-{uuid.uuid4().hex[:12]}"
+    out = client.live_chain(_calls(windows.file_stream(spark, sf, "events.parquet").withWatermark("ts", "1 hour")), CLIENT)
+    return windows.run_to_end(out.select(F.col("id").alias("event_id"), "served", "limited", "spent"), f"{at}/out", f"{at}/checkpoint")
+
+
+@query("SELECT user_id AS session_id, max(ts) AS last_activity FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def swept_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that a sweep deletes: timers fire when the watermark, an hour behind, has passed six hours after their last event."""
+    at = f"{shared_dir(spark)}/sweep-{uuid.uuid4().hex[:12]}"
+    s = windows.file_stream(spark, sf, "events.parquet").withWatermark("ts", "1 hour").select(F.col("user_id").alias("session_id"), "ts", folds.seconds("ts").alias("at"))
+    out = windows.run_to_end(client.expiring(s, 6 * 3600), f"{at}/out", f"{at}/checkpoint")
+    return out.select("session_id", F.timestamp_micros(F.round(F.col("last_activity") * 1_000_000).cast("long")).cast("timestamp_ntz").alias("last_activity"))
+
+
+@query("WITH x AS (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR) SELECT user_id AS session_id, count(*) AS events FROM events WHERE user_id NOT IN (SELECT user_id FROM x) GROUP BY 1")
+def swept_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the sessions' events after the sweep."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("session_id"))
+    return e.join(swept_sessions(spark, sf).select("session_id"), "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("events"))
