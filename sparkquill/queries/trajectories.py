@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import trajectories as T
 from ..registry import query, table
+from ..sources import trajectory_log
+from ..sources.shared import shared_dir
 
 KINDS = ["ROOT_LLM_START", "ROOT_LLM_COMPLETE", "CODE_EXECUTION_START", "CODE_EXECUTION_COMPLETE", "SUB_LLM_SPAWN", "SUB_LLM_COMPLETE", "SOMETHING_ELSE"]
 
@@ -99,3 +103,36 @@ def current_depths(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("user_id")
     asked = table(spark, sf, "events").select(u.alias("root"), F.concat(F.lit("r-sub-"), (u % 4).cast("string")).alias("session_id")).distinct()
     return T.depths_of(T.nodes(steps(spark, sf)), asked)
+
+
+# ------------------------------------------------------------------------------------------------- log
+
+
+def logged(spark: SparkSession, sf: str) -> str:
+    """A log of all steps, appended in two parts, in which every second user's run is ended."""
+    path = f"{shared_dir(spark)}/steps-{uuid.uuid4().hex[:12]}"
+    e = table(spark, sf, "events")
+    steps = e.select(F.col("ts").cast("timestamp").alias("timestamp"), F.upper("event_type").alias("step_type"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.create_map(F.lit("value"), F.round("value", 2).cast("string"), F.lit("id"), F.col("event_id").cast("string")).alias("data"))
+    early = F.col("data")["id"].cast("bigint") < 100
+    trajectory_log.append(steps.where(early), path, 8)
+    trajectory_log.append(steps.where(~early), path, 8)
+    ended = e.where("user_id % 2 = 0").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("timestamp"), F.count("*").alias("n"))
+    trajectory_log.end_sessions(ended.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "timestamp", F.create_map(F.lit("answer"), F.col("n").cast("string")).alias("data")), path, 8)
+    return path
+
+
+_LOGGED = """lg AS (SELECT 's' || user_id AS session_id, upper(event_type) AS step_type, ts, CAST(event_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS answer, event_id AS o FROM events
+UNION ALL SELECT 's' || user_id, 'FINAL_ANSWER', max(ts), NULL, CAST(count(*) AS VARCHAR), NULL FROM events WHERE user_id % 2 = 0 GROUP BY user_id)"""
+
+
+@query(f"WITH {_LOGGED} SELECT session_id, step_type, ts, id, answer FROM lg")
+def trajectory_log_steps(spark: SparkSession, sf: str) -> DataFrame:
+    s = trajectory_log.read(spark, logged(spark, sf), folders=8).where("line is null")
+    return s.select("session_id", "step_type", F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("data")["id"].alias("id"), F.col("data")["answer"].alias("answer"))
+
+
+@query(f"WITH {_LOGGED} SELECT session_id, step_type, ts, id, answer FROM lg WHERE session_id IN ('s1', 's2')")
+def trajectory_log_of_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sessions' steps (point look-up is the feature), from their folders alone."""
+    s = trajectory_log.read(spark, logged(spark, sf), ["s1", "s2"], 8)
+    return s.select("session_id", "step_type", F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("data")["id"].alias("id"), F.col("data")["answer"].alias("answer"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import without_front_matter
 from . import detect, html
 
 #: Members of archives with these suffixes hold no text.
@@ -62,7 +63,8 @@ def json_text(data: bytes) -> str:
 def xml_text(data: bytes) -> str:
     def lines(e: ET.Element, depth: int) -> Iterator[str]:
         attrs = f" ({', '.join(f'{k}={v}' for k, v in e.attrib.items())})" if e.attrib else ""
-        yield f"{'  ' * depth}{e.tag}{attrs}: {(e.text or '').strip()}".rstrip()
+        said = (e.text or "").strip()
+        yield f"{'  ' * depth}{e.tag}{attrs}" + (f": {said}" if said else "")
         for child in e:
             yield from lines(child, depth + 1)
 
@@ -192,7 +194,7 @@ def default_registry() -> Registry:
 
 
 def read(detected: DataFrame, registry: Registry | None = None, preferred: dict[str, str] | None = None) -> DataFrame:
-    """(path, format, text, error) of detected files. Text, Markdown, HTML, YAML and code are read by column functions."""
+    """(path, format, text, error) of detected files. Text, Markdown (without its front matter), HTML, YAML and code are read by column functions."""
     registry, preferred = registry or default_registry(), preferred or {}
     code = list(detect.CODE_NAMES)
     plain = ["txt", "md", "yaml", "html", *code]

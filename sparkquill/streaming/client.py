@@ -93,8 +93,9 @@ class _Live(StatefulProcessor):
             out.append(result)
             if result[0] == "model" and not event[4]:
                 self.handle.registerTimer(int((event[0] + self.client.ttl_s) * 1000) + 1)
-        self.breaker.update(state[1])
-        self.bucket.update(state[2])
+        name, *counts, opened = state[1]
+        self.breaker.update((name, *map(int, counts), None if opened is None else float(opened)))
+        self.bucket.update(tuple(None if x is None else float(x) for x in state[2]))
         yield pd.concat([pdf, pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")])], axis=1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803

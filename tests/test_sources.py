@@ -59,7 +59,7 @@ def test_read_every_format(spark, tmp_path):
     text = {k: v["text"] for k, v in got.items()}
     assert text["a.txt"] == "héllo" and text["latin.txt"] == "café"
     assert text["b.json"] == "k: 1\nl:\n  [0]: 1\n  [1]:\n    m: x"
-    assert text["c.xml"] == "r (a=1):\n  s: t"
+    assert text["c.xml"] == "r (a=1)\n  s: t"
     assert text["d.csv"] == "Headers: h1 | h2\n\n1 | 2"
     assert text["e.docx"] == "One\n\n[TABLE]\na | b"
     assert text["f.xlsx"] == "[SHEET: S]\nx | 2"
