@@ -31,6 +31,10 @@ BAND = 16
 TABLE_BITS = 22
 #: Begins of windows that are verified together by what they share.
 STEP = 8
+#: Bytes of a repeating run that stay on either side: more than a window and its edits.
+KEPT = 192
+#: Periods that are looked for, and meetings of q-grams a byte from which on repetition is taken out.
+PERIODS, MEETINGS = 32, 8
 
 _MAP = np.full(256, 32, np.uint8)
 for _a, _b in ((48, 58), (97, 123), (128, 256)):
@@ -56,6 +60,33 @@ def grams(y: np.ndarray) -> np.ndarray:
     return _mix(_between(_prefix(_BYTE[y], _R2), at, at + Q, _R2))
 
 
+def collapsed(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which bytes stay when long runs that repeat with a period lose whole periods from their middle.
+
+    Of a run, KEPT bytes stay on either side and a period: every part of up to KEPT bytes that the text had, it still has,
+    and no other. Periods are the usual distances between equal q-grams of a document.
+    """
+    keep, g = np.ones(len(y), bool), grams(y)
+    order = np.argsort(g, kind="stable")
+    gap = np.diff(order)[g[order[1:]] == g[order[:-1]]]
+    periods, times = np.unique(gap, return_counts=True)
+    periods = periods[np.argsort(-times, kind="stable")][:PERIODS]
+    for p in np.sort(periods[periods < len(y) // 3]).tolist():
+        same = np.zeros(len(y) + 1, bool)  # whether a byte equals the one a period before it
+        same[p:-1] = y[p:] == y[:-p]
+        cut = at[:-1][:, None] + np.arange(p) if p * len(at) < len(y) else None
+        for a in at[:-1].tolist() if cut is None else ():
+            same[a : a + p] = False
+        if cut is not None:
+            same[np.minimum(cut, len(y)).ravel()] = False
+        edge = np.flatnonzero(np.diff(same.astype(np.int8), prepend=np.int8(0)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            gone = (b - a - 2 * KEPT) // p * p
+            if gone > 0 and keep[a : b + 1].all():
+                keep[b - KEPT - gone : b - KEPT] = False
+    return keep
+
+
 class Index:
     """The q-grams of a block of benchmark items."""
 
@@ -69,7 +100,7 @@ class Index:
             same.sort(key=lambda x: x[:2])
             self.short[n] = (np.array([h for h, _, _ in same], np.uint64), [i for _, i, _ in same], [t for _, _, t in same])
         texts = [(i, t) for i, t in texts if len(t) >= SHORTEST]
-        self.ids, self.texts = [i for i, _ in texts], [t for _, t in texts]
+        self.ids, self.texts = [i for i, _ in texts], [t[collapsed(t, np.array([0, len(t)]))] for _, t in texts]
         self.flat = np.concatenate(self.texts) if texts else np.empty(0, np.uint8)
         self.start = np.cumsum([0, *[len(t) for t in self.texts]])
         found = [grams(t) for t in self.texts]
@@ -112,8 +143,8 @@ class Index:
                         found[d, ids[row]] = (0, int(x[j] - at[d]), int(x[j] - at[d]) + n)
         return found
 
-    def _long(self, y: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """Windows of the other items within their edit budget."""
+    def _long(self, y: np.ndarray, at: np.ndarray, whole: bool = True) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """Windows of the other items within their edit budget. Where q-grams meet many times, repetition is taken out first."""
         g = grams(y)
         if not len(g) or not len(self.gram):
             return {}
@@ -127,6 +158,8 @@ class Index:
         if not len(where):
             return {}
         n = self.first[row + 1] - self.first[row]
+        if whole and n.sum() > MEETINGS * len(y):
+            return self._without_repetition(y, at)
         back = np.repeat(np.arange(len(where)), n)
         occ = np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n) + self.first[row][back]
         item, pos, doc, where = self.item[occ], self.pos[occ], doc[back], where[back]
@@ -173,6 +206,16 @@ class Index:
                     found[key] = got
         return found
 
+    def _without_repetition(self, y: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """The same windows, by the shorter texts; places are carried back."""
+        keep = collapsed(y, at)
+        place, short = np.flatnonzero(keep), np.concatenate([[0], np.cumsum(keep)])[at]
+        out = {}
+        for (d, i), (edits, a, b) in self._long(y[keep], short, False).items():
+            stop = int(place[short[d] + b - 1]) + 1 - int(at[d])
+            out[d, i] = (edits, stop - (b - a), stop)  # a part across what was taken out is the same a few periods on
+        return out
+
     def _aligned(self, y: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray, centre: np.ndarray, length: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row, the least edits between `length` bytes of the item from `begin` on and any part of the document
         on diagonals within BAND / 2 + k of `centre`; and where that part ends in y."""
