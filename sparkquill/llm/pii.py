@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import Words, own, pieces, text_of, tune
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: What follows the at sign of an e-mail address; before it are characters of _LOCAL.
+DOMAIN = re.compile(rb"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 HASHED = 1 << 12
 N_FEATURES = 7
@@ -63,7 +63,7 @@ def _class(chars: bytes) -> np.ndarray:
 
 _DIGIT = _class(b"0123456789")
 _ALNUM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-_EMAIL, _IP = _class(_ALNUM + b"._%+-@"), _class(b"0123456789.")
+_LOCAL = _class(_ALNUM + b"._%+-")
 _NODE = _class(b"0123456789@")
 #: Shapes: letters a, digits 9, other characters themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -79,16 +79,40 @@ def luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
-def _runs(inside: np.ndarray, edge: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal runs of `inside`, cut at document edges, that hold one of the places `wanted`."""
-    before = np.zeros(len(inside), bool)
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.zeros(len(inside), bool)
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    pick = np.unique(np.searchsorted(starts, wanted, side="right") - 1)
-    return list(zip(starts[pick].tolist(), ends[pick].tolist(), strict=True))
+def _emails(raw: bytes, data: np.ndarray, offs: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """From each at sign outwards, so that a run is read once: the local part goes back to the match before at most."""
+    out, local = [], np.flatnonzero(~_LOCAL[data])
+    before = np.searchsorted(local, at)
+    begin = np.where(before > 0, local[np.maximum(before - 1, 0)] + 1, 0) if len(local) else np.zeros(len(at), np.int64)
+    doc = np.searchsorted(offs, at, side="right") - 1
+    last = 0
+    for s, p, to in zip(np.maximum(begin, offs[doc]).tolist(), at.tolist(), offs[doc + 1].tolist(), strict=True):
+        s = max(s, last)
+        if s < p and (m := DOMAIN.match(raw, p + 1, to)):
+            last = m.end()
+            out.append((s, last, 0))
+    return out
+
+
+def _addresses(raw: bytes, data: np.ndarray, offs: np.ndarray, digit: np.ndarray) -> list[tuple[int, int, int]]:
+    """Groups of digits with one dot between, taken in fours."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = digit[:-1], digit[1:]
+    start, end = np.flatnonzero(digit & (~before | edge[:-1])), np.flatnonzero(digit & (~after | edge[1:])) + 1
+    linked = (start[1:] == end[:-1] + 1) & (data[end[:-1]] == 46) if len(start) > 1 else np.empty(0, bool)
+    if len(linked):
+        linked &= ~edge[end[:-1]] & ~edge[start[1:]]
+    chain = np.flatnonzero(np.concatenate([[True], ~linked]))[: len(start)]
+    size = np.diff(np.append(chain, len(start)))
+    out = []
+    for c, n in zip(chain[size >= 4].tolist(), size[size >= 4].tolist(), strict=True):
+        for k in range(c, c + n - 3, 4):
+            parts = [raw[a:b].lstrip(b"0") for a, b in zip(start[k : k + 4].tolist(), end[k : k + 4].tolist(), strict=True)]
+            if all(len(x) <= 3 and int(x or b"0") <= 255 for x in parts):
+                out.append((int(start[k]), int(end[k + 3]), 1))
+    return out
 
 
 def patterns(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
@@ -97,21 +121,14 @@ def patterns(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     if not len(data):
         return out
     raw = data.tobytes()
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
     at = np.flatnonzero(data == 64)
     if len(at):
-        for s, e in _runs(_EMAIL[data], edge, at):
-            out += [(s + m.start(), s + m.end(), 0) for m in EMAIL.finditer(raw[s:e])]
+        out += _emails(raw, data, offs, at)
     digit = _DIGIT[data]
     dots = np.flatnonzero(data == 46)
-    if len(dots):
-        dots = dots[(dots > 0) & (dots + 1 < len(data))]
-        dots = dots[digit[dots - 1] & digit[dots + 1]]
-    if len(dots):
-        for s, e in _runs(_IP[data], edge, dots):
-            if raw.count(b".", s, e) >= 3:
-                out += [(s + m.start(), s + m.end(), 1) for m in IP.finditer(raw[s:e]) if all(int(x[-20:]) <= 255 and len(x.lstrip(b"0")) <= 3 for x in m[0].split(b"."))]
+    dots = dots[(dots > 0) & (dots + 1 < len(data))]
+    if (digit[dots - 1] & digit[dots + 1]).any():
+        out += _addresses(raw, data, offs, digit)
     where = np.flatnonzero(digit)
     if len(where):
         gap = np.diff(where)
