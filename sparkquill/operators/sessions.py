@@ -12,6 +12,7 @@ from ..config import SETTINGS
 from ..functions.text import session_tokens
 
 S = SETTINGS.sessions
+# Words that refer back.
 PRONOUNS = ["it", "its", "they", "them", "their", "this", "that", "these", "those"]
 
 
