@@ -135,3 +135,24 @@ def cite_sentences(answers: DataFrame, cited: DataFrame, least: float = 0.3) ->
     scored = pairs.withColumn("overlap", F.when(overlap > least, overlap))
     best = F.row_number().over(Window.partitionBy("qid", "pos").orderBy(F.desc_nulls_last("overlap"), "citation_number"))
     return scored.withColumn("r", best).where("r = 1").select("qid", "pos", "sentence", F.when(F.col("overlap").isNotNull(), F.col("citation_number")).alias("citation_number"))
+
+
+def with_citations(answers: DataFrame, cited: DataFrame, least: float = 0.6, mark: str = "[%d]") -> DataFrame:
+    """(qid, answer): the answer's sentences, one space between, each followed by the mark of the citation that covers most
+    of its words, if more than `least`. A question's sentences meet in one row, as long as its answer."""
+    s = cite_sentences(answers, cited, least)
+    said = F.when(F.col("citation_number").isNotNull(), F.concat("sentence", F.lit(" "), F.format_string(mark, "citation_number"))).otherwise(F.col("sentence"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", said.alias("said"))))
+    whole = s.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda x: x["said"]), " ").alias("answer"))
+    return answers.select("qid").join(whole, "qid", "left").select("qid", F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+def grouped_by_document(cited: DataFrame, scores: bool = True, most: int = 100) -> DataFrame:
+    """(qid, citations): a heading a document, in order of their ids as text, and its citations below, by number."""
+    cut = preview(F.col("content"), most)
+    line = F.format_string("  [%d] Score: %.3f: %s", "citation_number", "score", cut) if scores else F.format_string("  [%d]: %s", "citation_number", cut)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("citation_number", line.alias("line")))), lambda x: x["line"])
+    block = F.concat(F.lit("\nDocument: "), F.col("document"), F.lit("\n"), F.array_join(lines, "\n"))
+    by = cited.groupBy("qid", F.col("doc_id").cast("string").alias("document")).agg(block.alias("block"))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("document", "block"))), lambda x: x["block"])
+    return by.groupBy("qid").agg(F.concat(F.lit("Sources by Document:\n"), F.array_join(blocks, "\n")).alias("citations"))

@@ -142,3 +142,24 @@ def messages_of(messages: DataFrame, role: str | None = None, limit: int | None
 def without_expired(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """What is left of a table of a session's parts (messages, searches, citations) once expired sessions are deleted."""
     return rows.join(gone.select("session_id").distinct(), "session_id", "left_anti")
+
+
+def fork_graph(sessions: DataFrame, messages: DataFrame, new_id: Column, now: Column, ttl_hours: int = S.ttl_hours) -> tuple[DataFrame, DataFrame]:
+    """Sessions and their messages, copied under new ids.
+
+    sessions: session_id, title, status, tokens, metadata (map of strings) and any settings, which are copied as they are;
+    messages: session_id, id, parent_id, metadata and any others. Copies are active until `now` and the time to live; their
+    metadata say what they are copies of. A copied message's parent is the parent's copy; a parent outside the session is none.
+    """
+    with_new = sessions.withColumn("__new", new_id)
+    born = F.map_from_arrays(F.array(F.lit("forked_from"), F.lit("forked_at")), F.array(F.col("session_id").cast("string"), now.cast("string")))
+    merged = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("forked_from", "forked_at")), born)
+    copies = with_new.withColumns({"title": F.concat(F.lit("Fork of "), F.coalesce("title", F.lit(""))), "status": F.lit("active"), "expires_at": now + F.make_dt_interval(hours=F.lit(ttl_hours)), "parent_session_id": F.col("session_id"), "metadata": merged})
+    ids = with_new.select("session_id", F.col("__new").alias("__to"))
+    mine = messages.join(ids, "session_id")
+    known = messages.select(F.col("session_id").alias("__s"), F.col("id").alias("__p"))
+    linked = mine.join(known, (F.col("session_id") == F.col("__s")) & (F.col("parent_id") == F.col("__p")), "left")
+    copy = lambda c: F.concat(c.cast("string"), F.lit("-fork"))
+    flagged = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "forked"), F.create_map(F.lit("forked"), F.lit("true")))
+    moved = linked.withColumns({"session_id": F.col("__to"), "id": copy(F.col("id")), "parent_id": copy(F.col("__p")), "metadata": flagged}).drop("__to", "__s", "__p")
+    return copies.withColumn("session_id", F.col("__new")).drop("__new"), moved

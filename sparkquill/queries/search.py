@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import jaccard
 from ..operators import search as S
 from ..registry import query, table
 
@@ -107,3 +108,21 @@ SELECT qid, doc_id, round(s, 6) AS model_score, CAST(row_number() OVER (PARTITIO
 )
 def rerank_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return _round(S.rerank(retrieved(spark, sf)).select("qid", "doc_id", "model_score", "rerank"), "model_score")
+
+
+@query(
+    f"""WITH {RETRIEVED}, w AS (SELECT *, list_distinct({_TOK.format("query")}) AS qw, {_TOK.format("content")} AS cw, list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) AS qs, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) AS cs FROM re),
+a AS (SELECT *, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, cw)) / len(qw) ELSE 0.0 END AS lexical FROM w),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(lexical, 9) DESC, rank, doc_id) AS p FROM a QUALIFY p <= 12),
+c AS (SELECT *, CASE WHEN len(qs) > 0 AND len(cs) > 0 THEN len(list_intersect(qs, cs)) / len(list_distinct(list_concat(qs, cs))) ELSE 0.0 END AS alike FROM b),
+e AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(alike, 9) DESC, p, doc_id) AS p2 FROM c QUALIFY p2 <= 7)
+SELECT qid, doc_id, round(lexical, 6) AS lexical, round(alike, 6) AS alike, round(lexical, 6) AS model, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(lexical, 9) DESC, p2, doc_id) AS INTEGER) AS rerank FROM e QUALIFY rerank <= 4"""
+)
+def rerank_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Shared words, then likeness, then a model that can't be had, for which shared words stand in."""
+
+    def missing(query, content):
+        raise RuntimeError("no such model")
+
+    stages = [S.Stage("lexical", S.lexical_relevance, 12), S.Stage("alike", jaccard, 7), S.Stage("model", missing, 4)]
+    return _round(S.rerank_in_stages(retrieved(spark, sf), stages).select("qid", "doc_id", "lexical", "alike", "model", "rerank"), "lexical", "alike", "model")

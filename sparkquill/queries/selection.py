@@ -102,6 +102,32 @@ def invalid_citations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.array_join(X.invalid_citations(t, F.array(*map(F.lit, (1, 2, 3)))).cast("array<string>"), ",").alias("invalid"))
 
 
+_SENTENCES = rf"""WITH {RETRIEVED}, a AS (SELECT item_id AS qid, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM benchmark)),
+w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '\s+'), lambda x: x <> '')) AS sw FROM a),
+c AS (SELECT qid, rank AS n, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS cw FROM re),
+o AS (SELECT w.qid, pos, sentence, n, len(list_intersect(sw, cw)) / len(sw) AS o FROM w LEFT JOIN c ON c.qid = w.qid),"""
+
+
+@query(_SENTENCES + """r AS (SELECT *, row_number() OVER (PARTITION BY qid, pos ORDER BY CASE WHEN o > 0.6 THEN o END DESC NULLS LAST, n) AS r FROM o),
+g AS (SELECT qid, string_agg(sentence || CASE WHEN o > 0.6 THEN ' [' || n || ']' ELSE '' END, ' ' ORDER BY pos) AS answer FROM r WHERE r = 1 GROUP BY 1)
+SELECT item_id AS qid, coalesce(answer, '') AS answer FROM benchmark LEFT JOIN g ON qid = item_id""")
+def inline_citations(spark: SparkSession, sf: str) -> DataFrame:
+    answers = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"))
+    return X.with_citations(answers, retrieved(spark, sf).withColumn("citation_number", F.col("rank")))
+
+
+@query(
+    f"""WITH {RETRIEVED}, l AS (SELECT qid, CAST(doc_id % 10 AS VARCHAR) AS document, rank, '  [' || rank || '] Score: ' || printf('%.3f', score) || ': ' || CASE WHEN length(content) > 100 THEN left(content, 100) || '...' ELSE content END AS line FROM re),
+by_document AS (SELECT qid, document, chr(10) || 'Document: ' || document || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS block FROM l GROUP BY 1, 2)
+SELECT qid, 'Sources by Document:' || chr(10) || string_agg(block, chr(10) ORDER BY document) AS citations FROM by_document GROUP BY 1"""
+)
+def grouped_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose ids end alike count as chunks of one (previews of 100 characters are the feature)."""
+    cited = retrieved(spark, sf).withColumn("citation_number", F.col("rank")).withColumn("doc_id", F.col("doc_id") % 10)
+    return X.grouped_by_document(cited)
+
+
 @query()
 def select_by_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """The best chunk of each cluster of each question's results."""

@@ -158,3 +158,24 @@ def first_questions(spark: SparkSession, sf: str) -> DataFrame:
 def kept_searches(spark: SparkSession, sf: str) -> DataFrame:
     """Searches left when expired sessions are deleted with all they hold."""
     return S.without_expired(searches(spark, sf), expired_sessions(spark, sf)).groupBy("session_id").agg(F.count("*").alias("searches"))
+
+
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Forks of all conversations as sessions with settings, and of their messages, each the child of the turn before."""
+    from pyspark.sql import Window
+
+    m = messages(spark, sf).withColumn("parent_id", F.lag("id").over(Window.partitionBy("session_id").orderBy("id"))).withColumn("metadata", F.create_map(F.lit("role"), "role"))
+    sessions = m.groupBy("session_id").agg(F.concat(F.lit("Talk "), F.first("session_id").cast("string")).alias("title"), F.sum("tokens").alias("tokens"), (F.count("*") / 10).alias("semantic_weight"), F.lit("archived").alias("status"), F.create_map(F.lit("turns"), F.count("*").cast("string")).alias("metadata"))
+    return S.fork_graph(sessions, m, -F.col("session_id") - 1, F.timestamp_seconds(F.lit(1_700_000_000)))
+
+
+@query(f"WITH {M} SELECT -session_id - 1 AS session_id, session_id AS parent_session_id, 'Fork of Talk ' || session_id AS title, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) / 10 AS semantic_weight, 'active' AS status, make_timestamp(1700000000000000) + INTERVAL 72 HOUR AS expires_at, CAST(count(*) AS VARCHAR) AS turns, CAST(session_id AS VARCHAR) AS forked_from FROM m GROUP BY session_id")
+def forked_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    s, _ = _graph(spark, sf)
+    return s.select("session_id", "parent_session_id", "title", "tokens", "semantic_weight", "status", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), F.col("metadata")["turns"].alias("turns"), F.col("metadata")["forked_from"].alias("forked_from"))
+
+
+@query(f"WITH {M} SELECT -session_id - 1 AS session_id, id || '-fork' AS id, lag(id) OVER (PARTITION BY session_id ORDER BY id) || '-fork' AS parent_id, content, tokens, role AS said_by, 'true' AS forked FROM m")
+def forked_messages(spark: SparkSession, sf: str) -> DataFrame:
+    _, m = _graph(spark, sf)
+    return m.select("session_id", "id", "parent_id", "content", "tokens", F.col("metadata")["role"].alias("said_by"), F.col("metadata")["forked"].alias("forked"))
