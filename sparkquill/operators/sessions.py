@@ -163,3 +163,23 @@ def fork_graph(sessions: DataFrame, messages: DataFrame, new_id: Column, now: Co
     flagged = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "forked"), F.create_map(F.lit("forked"), F.lit("true")))
     moved = linked.withColumns({"session_id": F.col("__to"), "id": copy(F.col("id")), "parent_id": copy(F.col("__p")), "metadata": flagged}).drop("__to", "__s", "__p")
     return copies.withColumn("session_id", F.col("__new")).drop("__new"), moved
+
+
+def strategy_label(reranked: Column, adaptive: Column) -> Column:
+    """How a search was done: adaptive before reranked before hybrid."""
+    return F.when(F.coalesce(adaptive, F.lit(False)), "adaptive").when(F.coalesce(reranked, F.lit(False)), "reranked").otherwise("hybrid")
+
+
+def search_history(searches: DataFrame, most: int = 1_000) -> DataFrame:
+    """(session_id, csv, markdown): the newest `most` searches of each session, newest first (the limit is the feature).
+
+    searches: session_id, id, query, strategy, results, ms, created_at. Quotes in a question are doubled in CSV.
+    """
+    rows = searches.withColumn("age", F.row_number().over(_newest())).where(F.col("age") <= most)
+    q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    line = F.concat_ws(",", q(stamp), q(F.col("query")), q(F.col("strategy")), F.col("results").cast("string"), F.col("ms").cast("string"))
+    entry = F.concat(F.lit("## "), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.format_string("\n- **Query**: %s\n- **Strategy**: %s\n- **Results**: %d\n- **Time**: %.2fms\n", "query", "strategy", F.col("results").cast("long"), "ms"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("age", c.alias("said")))), lambda x: x["said"])
+    head = F.lit("timestamp,query,strategy,results_count,execution_time_ms")
+    return rows.groupBy("session_id").agg(F.array_join(F.concat(F.array(head), ordered(line)), "\n").alias("csv"), F.array_join(F.concat(F.array(F.lit("# Search History\n")), ordered(entry)), "\n").alias("markdown"))

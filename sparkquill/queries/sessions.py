@@ -179,3 +179,17 @@ def forked_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def forked_messages(spark: SparkSession, sf: str) -> DataFrame:
     _, m = _graph(spark, sf)
     return m.select("session_id", "id", "parent_id", "content", "tokens", F.col("metadata")["role"].alias("said_by"), F.col("metadata")["forked"].alias("forked"))
+
+
+@query(
+    """WITH x AS (SELECT user_id AS session_id, ts, 'find "' || event_type || '" ' || event_id AS query, CASE WHEN event_id % 3 = 0 THEN 'adaptive' WHEN event_id % 2 = 0 THEN 'reranked' ELSE 'hybrid' END AS strategy, event_id % 20 AS results, round(value, 2) AS ms,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events)
+SELECT session_id, 'timestamp,query,strategy,results_count,execution_time_ms' || chr(10) || string_agg('"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","' || replace(query, '"', '""') || '","' || strategy || '",' || results || ',' || ms, chr(10) ORDER BY age) AS csv,
+    '# Search History' || chr(10) || chr(10) || string_agg('## ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || '- **Query**: ' || query || chr(10) || '- **Strategy**: ' || strategy || chr(10) || '- **Results**: ' || results || chr(10) || '- **Time**: ' || printf('%.2f', ms) || 'ms' || chr(10), chr(10) ORDER BY age) AS markdown
+FROM x WHERE age <= 50 GROUP BY session_id"""
+)
+def export_search_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The last fifty searches of each session, as CSV and Markdown (the limit is the feature)."""
+    i = F.col("id")
+    s = searches(spark, sf).withColumn("query", F.concat(F.lit('find "'), "strategy", F.lit('" '), i.cast("string"))).withColumn("strategy", S.strategy_label(i % 2 == 0, i % 3 == 0))
+    return S.search_history(s, 50)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, table
 from ..sources.shared import shared_dir
-from ..streaming import caches, client, folds, windows
+from ..streaming import caches, client, folds, notices, windows
 from ..streaming.machines import Breaker, Bucket, Budget
 
 
@@ -187,3 +187,23 @@ def swept_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of the sessions' events after the sweep."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("session_id"))
     return e.join(swept_sessions(spark, sf).select("session_id"), "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("events"))
+
+
+_KINDS = ["STEP_START", "STEP_END", "CODE_GENERATED", "CODE_OUTPUT", "SUB_LLM_SPAWN", "SUB_LLM_RESULT", "LLM_TOKEN", "ERROR", "PROGRESS", "FINAL_RESULT"]
+
+
+@query(
+    f"""WITH e AS (SELECT *, {_KINDS!r}[event_id % 10 + 1] AS kind FROM events)
+SELECT 's' || user_id AS session_id, CASE WHEN kind IN ('STEP_START', 'CODE_GENERATED', 'CODE_OUTPUT', 'SUB_LLM_SPAWN', 'SUB_LLM_RESULT', 'FINAL_RESULT', 'ERROR') THEN lower(kind) ELSE 'unknown' END AS type, ts, CAST(event_id AS VARCHAR) AS event
+FROM e WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) % 2 = 0)"""
+)
+def live_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of all events of sessions that are followed (those with an even number of events)."""
+    at = f"{shared_dir(spark)}/notices-{uuid.uuid4().hex[:12]}"
+    session, i = F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (i % 10 + 1).cast("int")).alias("kind")
+    stream = windows.file_stream(spark, sf, "events.parquet").select(session, kind, "ts", F.create_map(F.lit("event"), i.cast("string")).alias("data"))
+    followed = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).where("n % 2 = 0").select(session)
+    notices.deliver(stream, f"{at}/out", f"{at}/checkpoint", followed)
+    out = notices.delivered(spark, f"{at}/out")
+    return out.select("session_id", "type", F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.get_json_object("message", "$.data.event").alias("event"))

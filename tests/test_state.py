@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.functions import sections as S
 from sparkquill.sources import trajectory_log
-from sparkquill.streaming import caches, client, folds, windows
+from sparkquill.streaming import caches, client, folds, notices, windows
 from sparkquill.streaming.machines import Breaker, Bucket
 
 
@@ -111,3 +111,29 @@ def test_log_keeps_bad_lines_apart_and_reads_one_folder(spark, tmp_path):
     assert mine.count() == 5 and mine.where("step_type = 'FINAL_ANSWER'").first()["data"] == {"answer": "x"}
     assert "folder" in mine._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:60]
     assert {r["timestamp"].microsecond for r in mine.where("step_type <> 'FINAL_ANSWER'").collect()} == {1, 11, 21, 31}
+
+
+# --------------------------------------------------------------------------------------------- notices
+
+
+def test_a_restart_in_the_middle_gives_no_message_twice(spark, tmp_path, monkeypatch):
+    rows = spark.range(30).selectExpr("concat('s', id % 3) as session_id", "if(id % 2 = 0, 'ERROR', 'odd') as kind", "timestamp_seconds(id) as ts", "map('i', cast(id as string)) as data")
+    for part in range(3):
+        rows.where(f"cast(data['i'] as int) % 3 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    real, seen = notices.messages, []
+
+    def fails_once(batch):
+        seen.append(1)
+        if len(seen) == 2:
+            real(batch).write.mode("overwrite").parquet(f"{tmp_path}/out/batch=1")  # written, but not committed
+            raise RuntimeError("lost")
+        return real(batch)
+
+    monkeypatch.setattr(notices, "messages", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        notices.deliver(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    notices.deliver(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = notices.delivered(spark, f"{tmp_path}/out")
+    assert got.count() == got.select("message").distinct().count() == 30
+    assert {(r["type"], r["n"]) for r in got.groupBy("type").agg(F.count("*").alias("n")).collect()} == {("error", 15), ("unknown", 15)}
