@@ -20,7 +20,11 @@ Pairs travel as packed rows, one for each bucket of contexts and about SEGMENT t
 among the `words` most frequent as two bytes, others as their hash. A bucket holds about `in_bucket` tokens; contexts of
 over `hot` tokens are dealt over several buckets by dish, and the parts' tables are added up. Pairs of at least
 1 / 2**18 of all tokens are scored from a broadcast table, so that no bucket gets a row from every document. What is
-broadcast is bounded: `words` words and 2**18 pairs. It decides the cost; the result only differs by sampling.
+broadcast is bounded: `words` words and 2**18 pairs.
+
+Every draw comes from a hash of its context, dish and sweep, scores add up as whole numbers of 1 / SCALE, and what a
+hot context's part knows depends on the corpus alone; so neither the number of buckets nor the session's shuffle
+partitions change a score. `words` and `hot` decide what is exchanged, and change it by sampling.
 
 Null or empty text is one end token; rows with the same id are scored each by its own text; extra columns are left out;
 an empty table gives no rows; without training rows every probability is the unknown token's. Very long texts are taken
@@ -30,7 +34,7 @@ in segments, to their end.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,10 @@ GROUP = 1 << 12
 #: Ranges of the lexicon that are added up apart.
 RANGES = 16
 THETA = 1.0
+#: Numbers of draws that a dish may make in a sweep.
+DRAWS = CAP + 256
+#: Scores are added up in whole numbers of 1 / SCALE.
+SCALE = 1 << 22
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -111,6 +119,7 @@ class Lexicon:
         self.hash, self.n, self.size, self.buckets = hashes[order], n[order], len(hashes), buckets
         self.parts = np.maximum(1, -(-self.n // hot))
         self.base = np.zeros(len(hashes))  # the parent's probability of each word
+        self.total, self.rare = int(self.n.sum()), 1.0  # all tokens; the mean count of words outside
 
     def refs(self, u: np.ndarray) -> np.ndarray:
         """The number of each hash, ESC for those outside."""
@@ -125,13 +134,18 @@ class Lexicon:
         if (self.parts > 1).any():
             parts = np.append(self.parts, np.ones(ESC + 1 - self.size, np.int64))[ref]
             hot = np.flatnonzero(parts > 1)
-            key[hot] += (_mix(token[hot] ^ _C2) % parts[hot].astype(np.uint64)) * _C3
+            key[hot] += _part(token[hot], parts[hot]) * _C3
         return (_mix(key) % np.uint64(self.buckets)).astype(np.int64)
 
     def dish_bucket(self, token: np.ndarray) -> np.ndarray:
         return (_mix(token ^ _C3) % np.uint64(self.buckets)).astype(np.int64)
 
 
+def _part(token: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part of a hot context that has the dish."""
+    return _mix(token ^ _C2) % parts.astype(np.uint64)
+
+
 def _least(x: np.ndarray) -> np.ndarray:
     """The same numbers in the narrowest unsigned type."""
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
@@ -221,6 +235,11 @@ class Cells:
         refs = lambda x: np.minimum(x, ESC).astype(np.uint16)
         return pack(refs(c), _least(np.diff(np.append(self.start, len(self.key)))), self.contexts[c[c >= ESC] - ESC], refs(d), self.dishes[d[d >= ESC] - ESC], _least(self.n), *values)
 
+    def hashes(self, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+        """The context's and the dish's hash of each pair."""
+        gap = np.zeros(ESC - lexicon.size, np.uint64)
+        return np.concatenate([lexicon.hash, gap, self.contexts])[self.context], np.concatenate([lexicon.hash, gap, self.dishes])[self.dish]
+
     def parts(self, lexicon: Lexicon) -> np.ndarray:
         """Into how many buckets each restaurant is dealt."""
         c = self.context[self.start]
@@ -297,14 +316,38 @@ def _log_stirling(d: float) -> np.ndarray:
     return out
 
 
-def _join_in_turn(t: np.ndarray, c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after customers CAP + 1 to c have joined, in steps that double the customers."""
-    have, t = float(CAP), t.astype(float)
+def _uniform(key: np.ndarray, draw: int | np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each key and draw, that depends on nothing else."""
+    x = _mix(key ^ _mix(np.atleast_1d(draw).astype(np.uint64) * _C1 + _C2))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _poisson(mean: np.ndarray, key: np.ndarray, draw: int) -> np.ndarray:
+    """Poisson numbers by key: by inversion below 64, beyond it rounded from the normal distribution of that mean."""
+    u = _uniform(key, draw)
+    out = np.maximum(np.floor(mean + np.sqrt(mean) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(key, draw + 1)) + 0.5), 0)
+    few = np.flatnonzero(mean < 64)
+    lam, left = mean[few], u[few]
+    p, k = np.exp(-lam), np.zeros(len(few))
+    for i in range(1, 200):  # beyond it are less than 2**-53 of a mean of 64
+        more = left > p
+        if not more.any():
+            break
+        left = np.where(more, left - p, 0.0)
+        k += more
+        p = np.where(more, p * lam / i, 1.0)
+    out[few] = k
+    return out
+
+
+def _join_in_turn(t: np.ndarray, c: np.ndarray, new: np.ndarray, d: float | np.ndarray, poisson: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Tables after customers CAP + 1 to c have joined, in steps that double the customers. poisson: draws by mean and step."""
+    have, t, step = float(CAP), t.astype(float), 0
     while have < c.max():
         to = np.minimum(2 * have, c)
         room = np.maximum(have - d * t, 1.0) + new
-        t += np.where(to > have, rng.poisson(new * np.log(np.maximum(room + to - have, room) / room)), 0)
-        have *= 2
+        t += np.where(to > have, poisson(new * np.log(np.maximum(room + to - have, room) / room), step), 0)
+        have, step = 2 * have, step + 1
     return np.minimum(t, c)
 
 
@@ -333,7 +376,7 @@ def sample_tables(c: np.ndarray, base: np.ndarray, d: float, theta: float, sweep
                     logs = stirling[cap[some], 1 : width + 1] + (k + 1) * np.log(base[some])[:, None] + np.cumsum(np.log(theta + d * (rest + k)), axis=1)
                     drawn = 1.0 + np.argmax(logs + rng.gumbel(size=logs.shape), axis=1)
                     if width == CAP:
-                        drawn = _join_in_turn(drawn, c[some], (theta + d * total) * base[some], d, rng)
+                        drawn = _join_in_turn(drawn, c[some], (theta + d * total) * base[some], d, lambda mean, _: rng.poisson(mean))
                     t[some] = drawn
             total += float(np.sum((t[part] - old) * weight[part]))
         if sweep >= burn:
@@ -345,10 +388,6 @@ def predictive(c: np.ndarray, t: np.ndarray, d: float, theta: float, base: np.nd
     return (np.maximum(c - d * t, 0) + (theta + d * tables) * base) / (theta + customers)
 
 
-def _restaurant_seed(context: int) -> np.random.Generator:
-    return np.random.default_rng(20_011 + context)
-
-
 _STIRLING: dict[int, np.ndarray] = {}
 
 
@@ -363,11 +402,11 @@ def _stirlings(steps: np.ndarray) -> np.ndarray:
     return out
 
 
-def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: float, sweeps: int, burn: int, rng: np.random.Generator, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: float, sweeps: int, burn: int, key: np.ndarray, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Mean tables of each dish, mean tables of each restaurant, the restaurants' discounts, and the last sample of tables.
 
-    rest: the restaurant (0, 1, ...) of each dish; c: its customers; base: the parent's probability of it. parts: into how
-    many parts, alike by chance, each restaurant is dealt; the tables of its other parts are taken to be as many as here.
+    rest: the restaurant (0, 1, ...) of each dish; c: its customers; base: the parent's probability of it; key: 64 bits from which
+    its draws come, so that other restaurants have no say in them. parts: into how many parts, alike by chance, each restaurant is dealt; the tables of its other parts are taken to be as many as here.
     """
     n = int(rest.max()) + 1
     n1, n2 = np.bincount(rest, c == 1, n), np.bincount(rest, c == 2, n)
@@ -379,7 +418,9 @@ def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: f
     parts = np.ones(n) if parts is None else parts
     total, mean, stirling = np.bincount(rest, t, n) * parts, np.zeros(len(c)), _stirlings(step)
     for sweep in range(sweeps):
-        for part in np.array_split(rng.permutation(more), 8):
+        first = sweep * DRAWS
+        turn = (_uniform(key[more], first) * 8).astype(np.int8)
+        for part in (more[turn == i] for i in range(8)):
             old = t[part].copy()
             for low, width in ((1, 4), (4, 16), (16, 64), (64, CAP)):
                 rows = part[(cap[part] > low) & (cap[part] <= width)]
@@ -389,9 +430,9 @@ def seat_restaurants(rest: np.ndarray, c: np.ndarray, base: np.ndarray, theta: f
                     k = np.arange(width)
                     others = np.maximum(total[rest[some]] - t[some], 0)[:, None]
                     logs = stirling[step[some], cap[some], 1 : width + 1] + (k + 1) * np.log(base[some])[:, None] + np.cumsum(np.log(theta + d[some][:, None] * (others + k)), axis=1)
-                    drawn = 1.0 + np.argmax(logs + rng.gumbel(size=logs.shape), axis=1)
+                    drawn = 1.0 + np.argmax(logs - np.log(-np.log(_uniform(key[some][:, None], first + 1 + k))), axis=1)
                     if width == CAP:
-                        drawn = _join_in_turn(drawn, c[some], (theta + d[some] * total[rest[some]]) * base[some], d[some], rng)
+                        drawn = _join_in_turn(drawn, c[some], (theta + d[some] * total[rest[some]]) * base[some], d[some], lambda mean, step: _poisson(mean, key[some], first + CAP + 1 + 2 * step))
                     t[some] = drawn
             total += np.bincount(rest[part], t[part] - old, n) * parts
         if sweep >= burn:
@@ -404,7 +445,7 @@ def _fit_root(counts: np.ndarray, words: np.ndarray, sweeps: int, burn: int) ->
 
     counts, words: how many tokens have each count; tokens with one count are exchangeable and share a row.
     """
-    rng = _restaurant_seed(-1)
+    rng = np.random.default_rng(20_010)
     known, customers = float(words.sum()), float((counts * words).sum())
     base_known = 0.5 / known if known else 0.0
     d, theta = _hyper(float(words[counts == 1].sum()), float(words[counts == 2].sum())), 1.0
@@ -423,10 +464,18 @@ def _fit_root(counts: np.ndarray, words: np.ndarray, sweeps: int, burn: int) ->
     return np.log10(np.maximum(mean, 1e-300)), (math.log10(theta + customers), d)
 
 
-def _seat_all(cells: Cells, base: np.ndarray, lexicon: Lexicon, sweeps: int, burn: int, bucket: int) -> tuple[np.ndarray, ...]:
+def _seat_all(cells: Cells, base: np.ndarray, lexicon: Lexicon, sweeps: int, burn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean tables, the discount and the last sample's tables of each pair. Parts of one restaurant that meet in a bucket stay apart."""
     if not len(cells.key):
-        return (np.empty(0),) * 4
-    return seat_restaurants(cells.rest, cells.n, base, THETA, sweeps, burn, _restaurant_seed(bucket), cells.parts(lexicon))
+        return (np.empty(0),) * 3
+    context, dish = cells.hashes(lexicon)
+    rest, parts = cells.rest, cells.parts(lexicon)
+    if (parts > 1).any():
+        of = parts[rest]
+        _, first, rest = np.unique(np.where(of > 1, _part(dish, of).astype(np.int64), 0) + rest * int(parts.max()), return_index=True, return_inverse=True)
+        parts = of[first]
+    mean, _, d, last = seat_restaurants(rest, cells.n, base, THETA, sweeps, burn, _mix(context * _C2 + dish), parts)
+    return mean, d[rest], last
 
 
 def _pair_cells(learnt: DataFrame, lexicon, sweeps: int, burn: int) -> DataFrame:
@@ -445,10 +494,10 @@ def _pair_cells(learnt: DataFrame, lexicon, sweeps: int, burn: int) -> DataFrame
         for bucket, rows in _collected(batches):
             cells = Cells([unpack(x) for _, _, x in rows])
             mine = np.bincount(cells.dish, cells.n, cells.wide)
-            # Until the parent is known: the share of each word among all tokens, of others what is seen here.
+            # Until the parent is known: the share of each word among all tokens, of others the mean of their kind, or what the context has if that is more.
             p = np.append(words.n, 0)[np.minimum(cells.dish, words.size)]
-            base = 0.9 * np.where(cells.dish < ESC, p, mine[cells.dish]) / max(int(words.total), 1)
-            _, tables, _, last = _seat_all(cells, base, words, sweeps, burn, bucket)
+            base = 0.9 * np.where(cells.dish < ESC, p, np.maximum(cells.n, words.rare)) / max(int(words.total), 1)
+            _, _, last = _seat_all(cells, base, words, sweeps, burn)
             total = np.bincount(cells.dish, last, cells.wide).astype(np.int64)
             yield _rows(1, bucket=[bucket], kind=[0], blob=[cells.packed()])
             ranges = split_vector(total[: words.size], RANGES)
@@ -511,8 +560,8 @@ def _restaurants(cells: DataFrame, dishes: DataFrame, lexicon, root: Root, sweep
             customers, n = (np.concatenate([np.empty(0, np.int64), *(k[i].astype(np.int64) for k in known)])[order] for i in (1, 2))
             rare = root.of(customers)  # in the order of cells.dishes, which asked for them
             base = np.concatenate([words.base, np.zeros(ESC - words.size), rare])[cells.dish]
-            mean, _, d, _ = _seat_all(cells, base, words, sweeps, burn, bucket)
-            left = np.maximum(cells.n - d[cells.rest] * mean, 0).astype(np.float32)
+            mean, d, _ = _seat_all(cells, base, words, sweeps, burn)
+            left = np.maximum(cells.n - d * mean, 0).astype(np.float32)
             given = np.bincount(cells.rest, cells.n - left.astype(float), len(cells.start))  # to new tables
             yield _rows(1, bucket=[bucket], kind=[0], blob=[cells.packed(left, given, rare, n)])
             context = cells.context[cells.start]
@@ -522,7 +571,7 @@ def _restaurants(cells: DataFrame, dishes: DataFrame, lexicon, root: Root, sweep
             often = np.flatnonzero((cells.n >= least) & (cells.dish < ESC))
             if len(often):
                 r, c = cells.rest[often], cells.context[often]
-                hashes = np.where(c < ESC, np.append(words.hash, np.uint64(0))[np.minimum(c, words.size)], np.append(cells.contexts, np.uint64(0))[np.maximum(c - ESC, 0) % (len(cells.contexts) + 1)])
+                hashes = cells.hashes(words)[0][often]
                 whole = np.bincount(cells.rest, cells.n, len(cells.start))
                 yield _rows(1, bucket=[bucket], kind=[2], blob=[pack(hashes, np.where(c < ESC, c, ESC), cells.dish[often], left[often].astype(float), given[r], whole[r])])
             release()
@@ -535,6 +584,11 @@ def _blobs(df: DataFrame) -> list[list[np.ndarray]]:
     return [unpack(r["blob"]) for r in df.select("blob").toLocalIterator()]
 
 
+def _cost(p: np.ndarray) -> np.ndarray:
+    """-log10(p) in whole numbers of 1 / SCALE, so that sums don't depend on their order."""
+    return np.rint(np.maximum(-np.log10(np.maximum(p, 1e-300)), 0) * SCALE)
+
+
 class Model:
     """What scoring broadcasts: the lexicon, the parent, hot restaurants and frequent pairs."""
 
@@ -553,7 +607,7 @@ class Model:
         p = (left + (THETA + given) * lexicon.base[dish]) / (THETA + whole) if len(left) else np.empty(0)
         key = _mix(context * _C2 + lexicon.hash[dish]) if len(left) else context
         order = np.argsort(key)
-        self.pair, self.log_p = key[order], np.log10(p[order])
+        self.pair, self.cost = key[order], _cost(p[order])
 
 
 def fit(train: DataFrame, words: int, in_bucket: int, hot: int, sweeps: int = 6, burn: int = 2) -> tuple[DataFrame, DataFrame, Model, int, int]:
@@ -566,7 +620,7 @@ def fit(train: DataFrame, words: int, in_bucket: int, hot: int, sweeps: int = 6,
     drop(counts)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // in_bucket))
     lexicon = Lexicon(top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy(), buckets, hot)
-    lexicon.total = total
+    lexicon.total, lexicon.rare = total, (total - int(lexicon.n.sum())) / max(distinct - lexicon.size, 1)
     shared = spark.sparkContext.broadcast(lexicon)
     cells = _pair_cells(train, shared, sweeps, burn)
     dishes = _dishes(cells, buckets)
@@ -627,8 +681,11 @@ def _scored(model: Model, blobs: list[bytes], occurrences: list[tuple[int, bytes
         p = share * base[np.maximum(dish, 0)]
         p[seen] += left[at[seen]] / (THETA + whole[rest[seen]])
         away = dish < 0
-        with np.errstate(divide="ignore"):
-            score = times * np.log10(np.where(away, share, p))
+        # An unseen pair's dish outside the lexicon adds its own cost, here or, if this bucket doesn't have it, where it is looked up.
+        apart = ~seen & (dish >= ESC)
+        cost = _cost(np.where(away | apart, share, p))
+        cost[apart] += _cost(base[dish[apart]])
+        cost *= times
         # The lexicon's words are counted where the document is read, others where they are found.
         other = dish >= ESC
         base_score, found = np.zeros(len(dish)), np.where(other, times, 0)
@@ -639,12 +696,12 @@ def _scored(model: Model, blobs: list[bytes], occurrences: list[tuple[int, bytes
         group = row // GROUP
         for g in np.unique(group).tolist():
             some = group == g
-            sums.setdefault(g, []).append((row[some] - g * GROUP, score[some], base_score[some], found[some]))
+            sums.setdefault(g, []).append((row[some] - g * GROUP, cost[some], base_score[some], found[some]))
     for g, many in sums.items():
         row, *values = (np.concatenate(x) for x in zip(*many, strict=True))
         u, back = np.unique(row, return_inverse=True)
-        score, base_score, found = (np.bincount(back, v, len(u)) for v in values)
-        yield _rows(1, bucket=[0], kind=[4], origin=[g], blob=[pack(_least(u), score.astype(np.float32), base_score, _least(found.astype(np.int64)))])
+        cost, base_score, found = (np.bincount(back, v, len(u)) for v in values)
+        yield _rows(1, bucket=[0], kind=[4], origin=[g], blob=[pack(_least(u), _least(cost.astype(np.int64)), base_score, _least(found.astype(np.int64)))])
 
 
 def _looked_up(partial: DataFrame, dishes: DataFrame, model) -> DataFrame:
@@ -661,11 +718,11 @@ def _looked_up(partial: DataFrame, dishes: DataFrame, model) -> DataFrame:
         for batch in batches:
             for x in batch.column("blob").to_pylist():
                 hashes, customers, n = unpack(x)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(np.log10(m.root.of(customers))), pa.array(np.log10(n + 1.0))], names=["hash", "p", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(_cost(m.root.of(customers)) / -SCALE), pa.array(np.log10(n + 1.0))], names=["hash", "p", "n"])
 
     asked = partial.where("kind = 5").select("blob").mapInArrow(wanted, "row bigint, hash bigint, times double")
     have = dishes.where("kind = 1").select("blob").mapInArrow(table, "hash bigint, p double, n double")
-    unknown = math.log10(max(model.value.root.unknown, 1e-300))
+    unknown = float(_cost(np.array([model.value.root.unknown]))[0]) / -SCALE
     joined = asked.join(have, "hash", "left")
     return joined.groupBy("row").agg(
         F.sum(F.col("times") * F.coalesce("p", F.lit(unknown))).alias("score"),
@@ -715,15 +772,15 @@ def score(docs: DataFrame, train: Column, words: int = ESC, in_bucket: int = 2_0
         start = TaskContext.get().partitionId() << 40
         for u, context, token, first, doc in _segments(_chain(batch, batches), start, rows_done):
             ref, times, bucket, context, token, doc = _sorted_pairs(words, u, context, token, doc)
-            own_score = np.zeros(int(doc.max()) + 1)
+            own_cost = np.zeros(int(doc.max()) + 1)
             if len(model.pair):
                 pair = _mix(u[context] * _C2 + u[token])
                 at = np.minimum(np.searchsorted(model.pair, pair), len(model.pair) - 1)
                 often = model.pair[at] == pair
-                own_score = np.bincount(doc[often], times[often] * model.log_p[at[often]], len(own_score))
+                own_cost = np.bincount(doc[often], times[often] * model.cost[at[often]], len(own_cost))
                 bucket, context, token, doc, times = (x[~often] for x in (bucket, context, token, doc, times))
             got = list(_packed_pairs(words, u, ref, bucket, context, token, doc, times)) if len(doc) else []
-            some = np.flatnonzero(own_score)
+            some = np.flatnonzero(own_cost)
             lines = given() if done else None
             if lines is not None:
                 yield lines
@@ -731,9 +788,9 @@ def score(docs: DataFrame, train: Column, words: int = ESC, in_bucket: int = 2_0
             if len(got):
                 yield padded(_rows(len(got), bucket=[b for b, _ in got], kind=[1] * len(got), origin=[first] * len(got), blob=[x for _, x in got]), template)
             group = (first + some) // GROUP
-            sums = [(g, some[group == g] + first - g * GROUP, own_score[some[group == g]]) for g in np.unique(group).tolist()]
+            sums = [(g, some[group == g] + first - g * GROUP, own_cost[some[group == g]].astype(np.int64)) for g in np.unique(group).tolist()]
             if sums:
-                blobs = [pack(_least(i), x, np.zeros(len(i)), np.zeros(len(i), np.uint8)) for _, i, x in sums]
+                blobs = [pack(_least(i), _least(x), np.zeros(len(i)), np.zeros(len(i), np.uint8)) for _, i, x in sums]
                 yield padded(_rows(len(sums), bucket=[int(x) for x in _mix(np.array([g for g, _, _ in sums], np.uint64)) % np.uint64(buckets)], kind=[4] * len(sums), origin=[g for g, _, _ in sums], blob=blobs), template)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -797,7 +854,7 @@ def score(docs: DataFrame, train: Column, words: int = ESC, in_bucket: int = 2_0
                 for blob in part.column("blob").take(pa.array(np.flatnonzero(kinds == 4))).to_pylist():
                     at, *values = unpack(blob)
                     for i, v in enumerate(values):
-                        sums[i, at] += v  # each document once
+                        sums[i, at] += v / -SCALE if i == 0 else v  # each document once
                 if (kinds == 6).any():
                     lines.append(part.take(pa.array(np.flatnonzero(kinds == 6))))
                 late = part.take(pa.array(np.flatnonzero(kinds == 7)))

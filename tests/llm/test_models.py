@@ -165,9 +165,8 @@ def test_probabilities_add_up_to_one():
         assert math.isclose(pitman_yor.predictive(full, tables, 0.6, 1.0, base, c.sum(), t.sum()).sum(), 1, rel_tol=1e-9)
 
 
-def test_gibbs_finds_the_seating_of_a_small_restaurant():
-    """Two dishes, five customers each: the tables' distribution by enumeration of the Pitman-Yor prior."""
-    d, theta, base, c = 0.5, 1.0, 0.5, 4
+def expected_tables(d, theta, base, c):
+    """Tables of two dishes with c customers each, by enumeration of the Pitman-Yor prior."""
 
     def stirling(n, k):
         s = [[0.0] * (n + 2) for _ in range(n + 1)]
@@ -184,12 +183,47 @@ def test_gibbs_finds_the_seating_of_a_small_restaurant():
         return p * stirling(c, k1) * stirling(c, k2) * base ** (k1 + k2)
 
     weights = {(i, j): joint(i, j) for i in range(1, c + 1) for j in range(1, c + 1)}
-    want = sum((i + j) * w for (i, j), w in weights.items()) / sum(weights.values())
+    return sum((i + j) * w for (i, j), w in weights.items()) / sum(weights.values())
+
+
+def test_gibbs_finds_the_seating_of_a_small_restaurant():
+    """Two dishes, four customers each."""
+    d, theta, base, c = 0.5, 1.0, 0.5, 4
+    want = expected_tables(d, theta, base, c)
     rng = np.random.default_rng(0)
     _, samples = pitman_yor.sample_tables(np.array([c, c]), np.array([base, base]), d, theta, 3000, 100, rng)
     assert abs(samples.sum(axis=1).mean() - want) < 0.35
 
 
+def test_gibbs_over_many_restaurants():
+    """10,000 restaurants of two dishes with four customers each, whose mean is the enumerated one."""
+    n, key = 10_000, np.random.default_rng(4).integers(0, 1 << 62, 20_000).astype(np.uint64)
+    _, tables, d, _ = pitman_yor.seat_restaurants(np.repeat(np.arange(n), 2), np.full(2 * n, 4), np.full(2 * n, 0.5), 1.0, 12, 4, key)
+    assert (d == 0.5).all() and abs(tables.mean() - expected_tables(0.5, 1.0, 0.5, 4)) < 0.05
+
+
+def test_poisson_by_key():
+    key = np.arange(1, 200_001, dtype=np.uint64)
+    for mean in (0.3, 5.0, 63.0, 200.0):
+        x = pitman_yor._poisson(np.full(len(key), mean), key, 7)
+        assert abs(x.mean() - mean) < 5 * math.sqrt(mean / len(key)) and abs(x.var() / mean - 1) < 0.03
+
+
+@pytest.mark.parametrize(("words", "hot"), [(1 << 16, 500_000), (40, 300)])
+def test_scores_do_not_depend_on_partitions(spark, sf, words, hot):
+    """The whole table, cut into other numbers of buckets and partitions; hot contexts in parts too."""
+    docs, before, got = spark.read.parquet(f"{sf}/documents.parquet"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions, in_bucket in ((3, 2_000_000), (8, 2_000_000), (4, 5_000)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            rows = pitman_yor.score(docs, F.col("doc_id") % 7 != 2, words=words, in_bucket=in_bucket, hot=hot).collect()
+            got.append({r["doc_id"]: r["score"] for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got[0]) > 50 and all(g.keys() == got[0].keys() for g in got)
+    assert max(abs(g[i] - got[0][i]) for g in got for i in g) < 1e-9
+
+
 def test_language_model_edge_cases(spark):
     out = pitman_yor.score(edge_docs(spark), F.coalesce(F.col("doc_id") != 8, F.lit(True)), words=3, in_bucket=100)
     rows = out.collect()
@@ -227,8 +261,8 @@ def test_every_probability_behind_a_context_adds_up_to_one():
     cells = pitman_yor.Cells([[np.array([1, 2], np.uint16), np.array([5, 3]), np.empty(0, np.uint64), refs, rare[:2], np.array([9, 4, 1, 2, 7, 3, 2, 1])]])
     p = root.of(customers[5:7])
     base = np.concatenate([lexicon.base, np.zeros(pitman_yor.ESC - 5), p])[cells.dish]
-    mean, _, d, _ = pitman_yor._seat_all(cells, base, lexicon, 6, 2, 0)
-    left = np.maximum(cells.n - d[cells.rest] * mean, 0).astype(np.float32)
+    mean, d, _ = pitman_yor._seat_all(cells, base, lexicon, 6, 2)
+    left = np.maximum(cells.n - d * mean, 0).astype(np.float32)
     given = np.bincount(cells.rest, cells.n - left.astype(float))
     model = pitman_yor.Model(lexicon, root, [], [], 9)
     blob = cells.packed(left, given, p, np.array([3, 2]))
@@ -236,7 +270,7 @@ def test_every_probability_behind_a_context_adds_up_to_one():
     for context in (1, 2, 3):  # the last one has no restaurant
         asked = pitman_yor.pack(np.array([context], np.uint16), np.array([7]), np.empty(0, np.uint64), everything, rare[:2], np.arange(7), np.ones(7, np.int64))
         got = [r for r in pitman_yor._scored(model, [blob], [(0, asked)], 0)]
-        scores = pitman_yor.unpack(got[0].column("blob")[0].as_py())[1]
+        scores = pitman_yor.unpack(got[0].column("blob")[0].as_py())[1] / -pitman_yor.SCALE
         share = (1 + given[context - 1]) / (1 + np.bincount(cells.rest, cells.n)[context - 1]) if context < 3 else 1.0
         rest = share * (root.of(customers[7:]).sum() + root.unknown)  # words that this bucket doesn't have
         assert math.isclose((10.0 ** scores.astype(float)).sum() + rest, 1, rel_tol=1e-6)
@@ -246,7 +280,8 @@ def test_restaurants_probabilities_add_up_to_one():
     rng = np.random.default_rng(3)
     rest, c = np.repeat(np.arange(4), [1, 5, 40, 300]), rng.integers(1, 400, 346)
     base = np.full(346, 1 / 1000)
-    t, tables, d, _ = pitman_yor.seat_restaurants(rest, c, base, 1.0, 6, 2, rng)
+    key = rng.integers(0, 1 << 62, 346).astype(np.uint64)
+    t, tables, d, _ = pitman_yor.seat_restaurants(rest, c, base, 1.0, 6, 2, key)
     assert (t >= 1).all() and (t <= c).all()
     customers = np.bincount(rest, c)
     p = np.bincount(rest, pitman_yor.predictive(c, t, d[rest], 1.0, base, customers[rest], tables[rest]))
