@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -261,7 +262,7 @@ def _examples(docs: DataFrame, labels: DataFrame, train: Column, max_examples: i
     return save(texts.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "toxicity-examples")
 
 
-def _index(docs: DataFrame, examples: DataFrame) -> Index:
+def _index(docs: DataFrame, examples: DataFrame, power: float) -> Index:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +286,7 @@ def _index(docs: DataFrame, examples: DataFrame) -> Index:
     chi2 = np.where(part > 0, n * (a * (n - pos) - (both - a) * pos) ** 2 / np.maximum(part, 1), 0.0)
     phi = np.maximum(np.sqrt(chi2 / max(n, 1)), 1 / max(n, 1))
     df = _frequencies(docs, terms)
-    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * phi
+    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * phi**power
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,10 +320,10 @@ def _index(docs: DataFrame, examples: DataFrame) -> Index:
     return pickle.loads(b"".join(parts.column("part")[int(i)].as_py() for i in order))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 20_000) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic. train: which labelled rows may be learnt from, over doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = 20_000, power: float = 1.0) -> Model:
+    """docs: doc_id, text. labels: doc_id, toxic. train: which labelled rows may be learnt from, over doc_id. power: of the association with the label in a term's weight (0: plain TF-IDF)."""
     examples = _examples(docs, labels, train, max_examples)
-    out = Model(docs.sparkSession, _index(docs, examples))
+    out = Model(docs.sparkSession, _index(docs, examples, power))
     if out.size:
         shared = out.shared
 
@@ -353,11 +354,15 @@ def _scores(index: Index, calibration: tuple[np.ndarray, np.ndarray], rows: pa.R
     return np.where(np.isnan(raw), index.empty, np.interp(raw, *calibration)), evidence
 
 
-def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """doc_id, score, predicted, evidence (id:label:cosine of the nearest examples) for every row."""
     tune(docs.sparkSession)
     docs = own(docs, doc_id=id_col, text=text_col)
-    fitted = fit(docs, own(labels, doc_id="doc_id", toxic="toxic"), train, **bounds)
+    fitted = fit(docs, own(labels, doc_id="doc_id", toxic="toxic"), train, **options)
+    return _scored_by(docs, fitted)
+
+
+def _scored_by(docs: DataFrame, fitted: Model) -> DataFrame:
     shared, calibration = fitted.shared, fitted.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,16 +374,35 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, evidence string")
 
 
-def reject(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **bounds: int) -> DataFrame:
-    """The rows, with all their columns, that score below the threshold."""
+def reject(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options: float) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold. Rows without any known term are kept: nothing speaks against them."""
     tune(docs.sparkSession)
-    fitted = fit(own(docs, doc_id=id_col, text=text_col), own(labels, doc_id="doc_id", toxic="toxic"), train, **bounds)
+    fitted = fit(own(docs, doc_id=id_col, text=text_col), own(labels, doc_id="doc_id", toxic="toxic"), train, **options)
     shared, calibration = fitted.shared, fitted.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in pieces(batch, text_col):
-                bad = _scores(shared.value, calibration, rows, data, offs)[0] >= threshold
+                s, evidence = _scores(shared.value, calibration, rows, data, offs)
+                bad = (s >= threshold) & np.array([bool(e) for e in evidence], bool)
                 yield rows.filter(pa.array(~bad)) if bad.any() else rows
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, train: Column, powers: tuple[float, ...] = (0.0, 0.5, 1.0), folds: int = 4, threshold: float = 0.5, **bounds: int) -> DataFrame:
+    """power, toxic, found, others, flagged: what fits to all training folds but one find in that one, added up over the folds.
+
+    Rows that `train` leaves out are never looked at. docs: doc_id, text. labels: doc_id, toxic.
+    """
+    fold = F.pmod(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))), F.lit(folds))
+    known = own(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    parts = []
+    for power in powers:
+        for i in range(folds):
+            fitted = fit(own(docs, doc_id="doc_id", text="text"), known, fold != i, power=power, **bounds)
+            some = own(docs, doc_id="doc_id", text="text").join(known.where(fold == i), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(text_of("text")).alias("text"))
+            parts.append(_scored_by(some, fitted).join(known, "doc_id").select(F.lit(float(power)).alias("power"), F.col("toxic").cast("int").alias("toxic"), (F.col("score") >= threshold).cast("int").alias("bad")))
+    rows = reduce(DataFrame.unionByName, parts)
+    clean = 1 - F.col("toxic")
+    return rows.groupBy("power").agg(F.sum("toxic").alias("toxic"), F.sum(F.col("bad") * F.col("toxic")).alias("found"), F.sum(clean).alias("others"), F.sum(F.col("bad") * clean).alias("flagged"))

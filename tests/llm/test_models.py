@@ -37,6 +37,30 @@ def test_scores_tell_held_out_labels_apart(spark):
     assert sum(hit) / len(hit) > 0.9 and sum(miss) / len(miss) < 0.02
 
 
+def test_cross_validation_looks_at_training_rows_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    turned = lab.withColumn("toxic", F.when(train, F.col("toxic")).otherwise(1 - F.col("toxic")))
+    one, other = (toxicity.cross_validate(docs, x, train, powers=(1.0,), folds=2).collect() for x in (lab, turned))
+    known = lab.where(train).join(docs, "doc_id", "left_semi")
+    assert one == other and len(one) == 1
+    assert one[0]["toxic"] == known.where("toxic = 1").count() and one[0]["others"] == known.where("toxic = 0").count()
+    assert 0 < one[0]["found"] <= one[0]["toxic"] and one[0]["flagged"] < one[0]["others"] / 10
+
+
+def test_rows_without_evidence_are_kept(spark):
+    """One toxic and one good example: what shares no term with either is not rejected; an empty table stays empty."""
+    schema = "doc_id long, text string, score double"
+    docs = spark.createDataFrame([(1, "vile insult", 0.1), (2, "fine weather", None), (3, None, 0.2), (4, "", 0.3), (5, "unrelated words", 0.4), (5, "unrelated words", 0.4), (None, "nothing known", 0.5)], schema)
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    kept = toxicity.reject(docs, known, F.lit(True))
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i or 0 for i in ids if i not in (1, 2)) == [0, 3, 4, 5, 5]
+    assert toxicity.reject(docs.limit(0), known, F.lit(True)).count() == 0
+
+
 def test_nearest_examples_are_exact():
     r = np.random.default_rng(4)
     n_terms, n = 30, 700
