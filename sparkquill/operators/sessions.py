@@ -183,3 +183,45 @@ def search_history(searches: DataFrame, most: int = 1_000) -> DataFrame:
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("age", c.alias("said")))), lambda x: x["said"])
     head = F.lit("timestamp,query,strategy,results_count,execution_time_ms")
     return rows.groupBy("session_id").agg(F.array_join(F.concat(F.array(head), ordered(line)), "\n").alias("csv"), F.array_join(F.concat(F.array(F.lit("# Search History\n")), ordered(entry)), "\n").alias("markdown"))
+
+
+#: Settings of a new session where its request names none.
+SETTINGS = {"default_search_strategy": "hybrid", "semantic_weight": 0.7, "keyword_weight": 0.3, "enable_reranking": True, "enable_citations": True}
+
+
+def created(requests: DataFrame, now: Column, ttl_hours: int = S.ttl_hours) -> DataFrame:
+    """New sessions, active until `now` and the time to live; titled by date where a request has no title or an empty one.
+
+    requests: session_id and any of title, parent_session_id, metadata (map of strings) and the settings; what is absent or
+    null gets its default. Further columns stay.
+    """
+    given = lambda name, kind: F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
+    title = F.coalesce(F.nullif(given("title", "string"), F.lit("")), F.concat(F.lit("Session "), F.date_format(now, "yyyy-MM-dd HH:mm")))
+    kinds = {str: "string", float: "double", bool: "boolean"}
+    settings = {k: F.coalesce(given(k, kinds[type(v)]), F.lit(v)) for k, v in SETTINGS.items()}
+    metadata = F.coalesce(given("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    parent = given("parent_session_id", requests.schema["session_id"].dataType.simpleString())
+    return requests.withColumns({"title": title, "status": F.lit("active"), "created_at": now, "last_activity": now, "expires_at": now + F.make_dt_interval(hours=F.lit(ttl_hours)), "parent_session_id": parent, "metadata": metadata, **settings})
+
+
+def touched(sessions: DataFrame, used: DataFrame, now: Column) -> DataFrame:
+    """All sessions; those among the ids of `used` were active `now`. Ids that are no session's change nothing."""
+    ids = used.select(F.col("session_id").alias("__used")).where("__used is not null").distinct()
+    return sessions.join(ids, F.col("session_id") == F.col("__used"), "left").withColumn("last_activity", F.when(F.col("__used").isNotNull(), now).otherwise(F.col("last_activity"))).drop("__used")
+
+
+def context_messages(messages: DataFrame, summaries: bool = True) -> DataFrame:
+    """Each session's messages from the oldest, numbered, with summaries of compacted ones or without. message_type: its kind; null is no summary."""
+    some = messages if summaries else messages.where(~F.col("message_type").eqNullSafe("summary"))
+    return messages_of(some)
+
+
+def message_counts(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """(session_id, messages) of the asked sessions, summaries included; 0 for those without any."""
+    n = messages.groupBy("session_id").agg(F.count("*").alias("messages"))
+    return sessions.select("session_id").distinct().join(n, "session_id", "left").withColumn("messages", F.coalesce("messages", F.lit(0)))
+
+
+def newest_searches(searches: DataFrame, limit: int = 50) -> DataFrame:
+    """The `limit` newest searches of each session, numbered from the newest (ties: the later id first)."""
+    return searches.withColumn("age", F.row_number().over(_newest())).where(F.col("age") <= limit)

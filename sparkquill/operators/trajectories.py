@@ -120,3 +120,41 @@ def call_tree(tree: DataFrame) -> DataFrame:
 def depths_of(tree: DataFrame, asked: DataFrame) -> DataFrame:
     """asked: root, session_id -> its depth, 0 for those that the tree doesn't know."""
     return asked.join(tree.select("root", "session_id", "depth"), ["root", "session_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+
+
+def exit_log(steps: DataFrame, exits: DataFrame) -> DataFrame:
+    """exits (root, session_id, ts, any others) of known sessions, with depth and the seconds that each had been open."""
+    born = steps.groupBy("root", "session_id").agg(F.min("ts").alias("__born"))
+    open_for = (F.unix_micros("ts") - F.unix_micros("__born")) / 1_000_000
+    return exits.join(born, ["root", "session_id"]).withColumns({"depth": depth(F.col("session_id")), "seconds": open_for}).drop("__born")
+
+
+def json_bundles(steps: DataFrame) -> DataFrame:
+    """(root, json): tree, timeline, costs and statistics of each run as one JSON text.
+
+    A run's nodes meet in one row, as one text needs; runs are bounded by the recursion budget.
+    """
+    listed = lambda df, name, *order: df.groupBy("root").agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in ("root", *order))))).alias(name))
+    parts = bundle(steps)
+    tree, line, costs = listed(parts["tree"], "nodes", "session_id"), listed(parts["timeline"], "timeline", "place"), listed(parts["costs"], "costs", "level", "name")
+    facts = parts["statistics"]
+    facts = facts.select("root", F.struct(*(c for c in facts.columns if c != "root")).alias("statistics"))
+    all_parts = tree.join(line, "root").join(costs, "root").join(facts, "root")
+    head = F.struct(F.lit("1.0.0").alias("version"), F.col("root").alias("session_id"))
+    return all_parts.select("root", F.to_json(F.struct(head.alias("export_metadata"), F.struct("nodes").alias("tree"), "timeline", "costs", "statistics")).alias("json"))
+
+
+def html_reports(steps: DataFrame) -> DataFrame:
+    """(root, html): a page without outside parts, with a run's figures and its nodes in order of time."""
+    tree = nodes(steps)
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = lambda c: F.concat(F.lit("<td>"), safe(F.coalesce(c.cast("string"), F.lit(""))), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), *(cell(F.col(c)) for c in ("session_id", "step_type", "depth", "tokens_in", "tokens_out")), F.lit("</tr>"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "session_id", row.alias("row")))), lambda x: x["row"])
+    rows = tree.groupBy("root").agg(F.array_join(ordered, "\n").alias("rows"))
+    s = statistics(steps, tree).join(rows, "root")
+    title = F.concat(F.lit("Trajectory "), safe(F.col("root").cast("string")))
+    figures = F.format_string("<p>%d steps, %d model calls, %d code runs, %d errors, depth %d</p>", *(F.col(c).cast("long") for c in ("steps", "llm_calls", "code_runs", "errors", "max_depth")))
+    head = F.lit("<tr><th>session</th><th>step</th><th>depth</th><th>tokens in</th><th>tokens out</th></tr>\n")
+    page = F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), title, F.lit("</title></head><body>\n<h1>"), title, F.lit("</h1>\n"), figures, F.lit("\n<table>\n"), head, F.col("rows"), F.lit("\n</table>\n</body></html>"))
+    return s.select("root", page.alias("html"))

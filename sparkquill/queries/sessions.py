@@ -193,3 +193,45 @@ def export_search_history(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("id")
     s = searches(spark, sf).withColumn("query", F.concat(F.lit('find "'), "strategy", F.lit('" '), i.cast("string"))).withColumn("strategy", S.strategy_label(i % 2 == 0, i % 3 == 0))
     return S.search_history(s, 50)
+
+
+_NOW = "2024-01-02 03:04:05"
+
+
+@query(
+    f"""SELECT c_custkey AS session_id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'Session 2024-01-02 03:04' END AS title, 'active' AS status, TIMESTAMP '{_NOW}' + INTERVAL 72 HOURS AS expires_at, CAST(CASE WHEN c_custkey % 5 = 0 THEN c_nationkey END AS BIGINT) AS parent_session_id,
+CASE WHEN c_custkey % 2 = 0 THEN 'adaptive' ELSE 'hybrid' END AS default_search_strategy, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_nationkey / 100 AS DOUBLE) ELSE 0.7::DOUBLE END AS semantic_weight, 0.3::DOUBLE AS keyword_weight, c_custkey % 4 <> 0 AS enable_reranking, true AS enable_citations FROM customer"""
+)
+def create_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """A session for each customer; every third names it, some choose settings or a parent, the rest takes the defaults."""
+    k = F.col("c_custkey")
+    asked = table(spark, sf, "customer").select(k.alias("session_id"), F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, "").alias("title"), F.when(k % 5 == 0, F.col("c_nationkey")).alias("parent_session_id"), F.when(k % 2 == 0, "adaptive").alias("default_search_strategy"), F.when(k % 7 == 0, F.col("c_nationkey") / 100).alias("semantic_weight"), F.when(k % 4 == 0, False).alias("enable_reranking"))
+    out = S.created(asked, F.lit(_NOW).cast("timestamp"))
+    return out.select("session_id", "title", "status", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), F.col("parent_session_id"), *S.SETTINGS)
+
+
+@query(f"WITH {E}, u AS (SELECT session_id, max(created_at) AS last_activity, count(*) FILTER (WHERE id % 10 = 0) AS used FROM s GROUP BY 1) SELECT session_id, CASE WHEN used > 0 THEN TIMESTAMP '{_NOW}' ELSE last_activity END AS last_activity FROM u")
+def touched_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    s = searches(spark, sf)
+    sessions = s.groupBy("session_id").agg(F.max("created_at").cast("timestamp").alias("last_activity"))
+    return S.touched(sessions, s.where("id % 10 = 0"), F.lit(_NOW).cast("timestamp")).select("session_id", F.col("last_activity").cast("timestamp_ntz").alias("last_activity"))
+
+
+@query(f"WITH {M} SELECT session_id, id, role, content, CAST(row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS INTEGER) AS place FROM m WHERE id % 4 <> 3")
+def context_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth turn is a summary here; the rest has no kind."""
+    m = messages(spark, sf).withColumn("message_type", F.when(F.col("id") % 4 == 3, "summary"))
+    return S.context_messages(m, summaries=False).select("session_id", "id", "role", "content", "place")
+
+
+@query(f"WITH {M} SELECT session_id, count(*) AS messages FROM m GROUP BY 1 UNION ALL SELECT -session_id - 1, 0 FROM (SELECT DISTINCT session_id FROM m)")
+def message_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every conversation, and of one without messages beside each."""
+    m = messages(spark, sf)
+    return S.message_counts(m.select(F.explode(F.array("session_id", -F.col("session_id") - 1)).alias("session_id")), m)
+
+
+@query(f"WITH {E} SELECT session_id, id, strategy, CAST(row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS age FROM s QUALIFY age <= 50")
+def newest_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """The last fifty of each session (the limit is the feature)."""
+    return S.newest_searches(searches(spark, sf)).select("session_id", "id", "strategy", "age")

@@ -136,3 +136,40 @@ def trajectory_log_of_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Two sessions' steps (point look-up is the feature), from their folders alone."""
     s = trajectory_log.read(spark, logged(spark, sf), ["s1", "s2"], 8)
     return s.select("session_id", "step_type", F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("data")["id"].alias("id"), F.col("data")["answer"].alias("answer"))
+
+
+@query(
+    f"""WITH {L}, born AS (SELECT root, session_id, min(ts) AS b FROM s GROUP BY 1, 2)
+SELECT s.root, s.session_id, s.seq, CAST((length(s.session_id) - length(replace(s.session_id, '-sub-', ''))) // 5 AS INTEGER) AS depth, round((epoch_us(s.ts) - epoch_us(b)) / 1000000, 6) AS seconds FROM s JOIN born USING (root, session_id) WHERE step_type = 'SUB_LLM_COMPLETE'"""
+)
+def recursion_exits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every completed nested call leaves its session; a session that never was, asked for by each run, has no line."""
+    s = steps(spark, sf)
+    exits = s.where("step_type = 'SUB_LLM_COMPLETE'").select("root", "session_id", "ts", "seq")
+    unknown = s.select("root").distinct().select("root", F.lit("none").alias("session_id"), F.current_timestamp().alias("ts"), F.lit(-1).cast("long").alias("seq"))
+    return T.exit_log(s, exits.unionByName(unknown)).select("root", "session_id", "seq", "depth", F.round("seconds", 6).alias("seconds"))
+
+
+@query(
+    f"""WITH {L}, a AS (SELECT root, count(*) AS steps, count(*) FILTER (WHERE {_KNOWN} = 'ERROR') AS errors FROM d GROUP BY 1),
+x AS (SELECT root, count(*) AS nodes, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, max(depth) AS max_depth, string_agg(session_id, ',' ORDER BY ts, session_id) AS in_time, string_agg(session_id || ':' || step_type, ',' ORDER BY session_id) AS tree FROM n GROUP BY 1)
+SELECT root, '1.0.0' AS version, nodes, tree, in_time, tokens_in, steps, errors, CAST(max_depth AS BIGINT) AS max_depth FROM a JOIN x USING (root)"""
+)
+def trajectory_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole bundles, written as JSON and read back."""
+    kind = "export_metadata STRUCT<version: STRING>, tree STRUCT<nodes: ARRAY<STRUCT<session_id: STRING, step_type: STRING>>>, timeline ARRAY<STRUCT<place: INT, session_id: STRING>>, costs ARRAY<STRUCT<level: STRING, tokens_in: BIGINT>>, statistics STRUCT<steps: BIGINT, errors: BIGINT, max_depth: BIGINT>"
+    j = T.json_bundles(steps(spark, sf)).select("root", F.from_json("json", kind).alias("j")).select("root", "j.*")
+    total = F.filter("costs", lambda c: c["level"] == "total")[0]["tokens_in"]
+    said = F.transform("tree.nodes", lambda x: F.concat(x["session_id"], F.lit(":"), x["step_type"]))
+    return j.select("root", F.col("export_metadata.version").alias("version"), F.size("tree.nodes").cast("long").alias("nodes"), F.array_join(said, ",").alias("tree"), F.array_join("timeline.session_id", ",").alias("in_time"), total.alias("tokens_in"), "statistics.steps", "statistics.errors", "statistics.max_depth")
+
+
+@query(
+    f"""WITH {L}, a AS (SELECT root, count(*) AS steps, count(*) FILTER (WHERE contains({_KNOWN}, 'LLM')) AS llm_calls, count(*) FILTER (WHERE NOT contains({_KNOWN}, 'LLM') AND contains({_KNOWN}, 'CODE')) AS code_runs, count(*) FILTER (WHERE {_KNOWN} = 'ERROR') AS errors FROM d GROUP BY 1),
+x AS (SELECT root, max(depth) AS max_depth, string_agg('<tr><td>' || session_id || '</td><td>' || step_type || '</td><td>' || depth || '</td><td>' || tokens_in || '</td><td>' || coalesce(CAST(tokens_out AS VARCHAR), '') || '</td></tr>', chr(10) ORDER BY ts, session_id) AS r FROM n GROUP BY 1)
+SELECT root, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>Trajectory ' || root || '</title></head><body>' || chr(10) || '<h1>Trajectory ' || root || '</h1>' || chr(10)
+|| '<p>' || steps || ' steps, ' || llm_calls || ' model calls, ' || code_runs || ' code runs, ' || errors || ' errors, depth ' || max_depth || '</p>' || chr(10) || '<table>' || chr(10)
+|| '<tr><th>session</th><th>step</th><th>depth</th><th>tokens in</th><th>tokens out</th></tr>' || chr(10) || r || chr(10) || '</table>' || chr(10) || '</body></html>' AS html FROM a JOIN x USING (root)"""
+)
+def trajectory_html(spark: SparkSession, sf: str) -> DataFrame:
+    return T.html_reports(steps(spark, sf))
