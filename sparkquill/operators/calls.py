@@ -132,6 +132,24 @@ def cache_stats(lookups: DataFrame, group: str = "key") -> DataFrame:
     return lookups.groupBy(group).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.avg(F.col("hit").cast("int")).alias("rate"))
 
 
+def session_cache_stats(operations: DataFrame, now: Column | None = None, ttl_s: int = 3600) -> DataFrame:
+    """(session_id, entries, expired, avg_accesses, oldest, newest) of each session's cache after its operations.
+
+    operations: session_id, key, ts, op (set, get, invalidate), id. An entry is a key whose last write is a set; its accesses
+    are the reads since. With `now`, entries older than ttl_s are expired and not counted as entries. A session whose keys
+    are all gone has 0 entries, 0 accesses and no oldest or newest.
+    """
+    when = F.struct("ts", "id")
+    w = Window.partitionBy("session_id", "key").orderBy("ts", "id")
+    writes = F.count_if(F.col("op") != "get").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    eras = operations.withColumn("era", writes).groupBy("session_id", "key", "era").agg(F.count_if(F.col("op") == "get").alias("accesses"), F.max_by("op", F.when(F.col("op") != "get", when)).alias("op"), F.max(F.when(F.col("op") != "get", F.col("ts"))).alias("ts"))
+    last = eras.groupBy("session_id", "key").agg(F.max_by(F.struct("op", "ts", "accesses"), "era").alias("last")).select("session_id", "last.*")
+    held = F.coalesce(F.col("op") == "set", F.lit(False))
+    late = F.lit(False) if now is None else F.unix_micros(now) - F.unix_micros("ts") > ttl_s * 1_000_000
+    live = held & ~late
+    return last.groupBy("session_id").agg(F.count_if(live).alias("entries"), F.count_if(held & late).alias("expired"), F.coalesce(F.avg(F.when(live, F.col("accesses"))), F.lit(0.0)).alias("avg_accesses"), F.min(F.when(live, F.col("ts"))).alias("oldest"), F.max(F.when(live, F.col("ts"))).alias("newest"))
+
+
 def outcome_stats(calls: DataFrame) -> DataFrame:
     """calls: ok, cached, chunks -> counts, success and cache rates, chunks a call."""
     return calls.agg(F.count("*").alias("calls"), F.avg(F.col("ok").cast("int")).alias("success_rate"), F.avg(F.col("cached").cast("int")).alias("cache_rate"), F.avg("chunks").alias("chunks_a_call"))

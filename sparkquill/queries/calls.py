@@ -137,3 +137,20 @@ def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
 def outcome_stats(spark: SparkSession, sf: str) -> DataFrame:
     out = C.outcome_stats(calls(spark, sf).withColumnsRenamed({"fallback": "cached", "attempts": "chunks"}))
     return out.withColumns({c: F.round(c, 6) for c in ("success_rate", "cache_rate", "chunks_a_call")})
+
+
+@query(
+    """WITH o AS (SELECT user_id AS session_id, event_id * 7 % 4 AS key, event_id AS id, ts, CASE event_id % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'invalidate' ELSE 'get' END AS op FROM events),
+k AS (SELECT session_id, key, arg_max(op, (ts, id)) FILTER (WHERE op <> 'get') AS op, max((ts, id)) FILTER (WHERE op <> 'get') AS at FROM o GROUP BY 1, 2),
+e AS (SELECT k.session_id, k.at[1] AS ts, (SELECT max(ts) FROM events) - k.at[1] > INTERVAL 30 DAY AS late, coalesce(op = 'set', false) AS held, (SELECT count(*) FROM o WHERE o.session_id = k.session_id AND o.key = k.key AND o.op = 'get' AND (o.ts, o.id) > k.at) AS n FROM k)
+SELECT session_id, count(*) FILTER (WHERE held AND NOT late) AS entries, count(*) FILTER (WHERE held AND late) AS expired, round(coalesce(avg(n) FILTER (WHERE held AND NOT late), 0), 6) AS avg_accesses, min(ts) FILTER (WHERE held AND NOT late) AS oldest, max(ts) FILTER (WHERE held AND NOT late) AS newest FROM e GROUP BY 1"""
+)
+def session_cache_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Caches of four keys a user; entries live thirty days."""
+    e = F.col("event_id")
+    events = table(spark, sf, "events")
+    op = F.when(e % 5 == 0, "set").when(e % 5 == 1, "invalidate").otherwise("get")
+    ops = events.select(F.col("user_id").alias("session_id"), (e * 7 % 4).alias("key"), e.alias("id"), F.col("ts").cast("timestamp").alias("ts"), op.alias("op"))
+    now = events.agg(F.max("ts").cast("timestamp").alias("now"))
+    out = C.session_cache_stats(ops, now.scalar(), 30 * 86_400)
+    return out.select("session_id", "entries", "expired", F.round("avg_accesses", 6).alias("avg_accesses"), *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("oldest", "newest")))

@@ -72,3 +72,16 @@ def test_exits_of_unknown_sessions_leave_no_line(steps):
     asked = steps.where("seq = 3").select("root", "session_id", "ts").unionByName(steps.where("seq = 3").select("root", F.lit("other").alias("session_id"), "ts"))
     (row,) = T.exit_log(steps, asked).collect()
     assert (row["session_id"], row["depth"], row["seconds"]) == ("a&b-sub-1", 1, 3.0)
+
+
+def test_cache_entries_by_session(spark):
+    t = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    rows = [(1, "a", t(1), "set", 1), (1, "a", t(2), "get", 2), (1, "a", t(3), "set", 3), (1, "a", t(4), "get", 4), (1, "a", t(4), "get", 5), (1, "b", t(5), "set", 6), (1, "c", t(1), "get", 7), (2, "a", t(1), "set", 8), (2, "a", t(2), "invalidate", 9)]
+    ops = spark.createDataFrame(rows, "session_id long, key string, ts timestamp, op string, id long")
+    from sparkquill.operators import calls as C
+
+    got = {r["session_id"]: tuple(r)[1:] for r in C.session_cache_stats(ops).collect()}
+    assert got == {1: (2, 0, 1.0, t(3), t(5)), 2: (0, 0, 0.0, None, None)}
+    late = {r["session_id"]: tuple(r)[1:] for r in C.session_cache_stats(ops, F.lit("2024-01-01 00:00:14").cast("timestamp"), 10).collect()}
+    assert late[1] == (1, 1, 0.0, t(5), t(5))
+    assert C.session_cache_stats(ops.limit(0)).count() == 0
