@@ -158,3 +158,50 @@ def html_reports(steps: DataFrame) -> DataFrame:
     head = F.lit("<tr><th>session</th><th>step</th><th>depth</th><th>tokens in</th><th>tokens out</th></tr>\n")
     page = F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), title, F.lit("</title></head><body>\n<h1>"), title, F.lit("</h1>\n"), figures, F.lit("\n<table>\n"), head, F.col("rows"), F.lit("\n</table>\n</body></html>"))
     return s.select("root", page.alias("html"))
+
+
+# The colours in which steps are shown, by type; of others.
+COLORS = {
+    "ROOT_LLM_START": "#3b82f6",
+    "ROOT_LLM_COMPLETE": "#2563eb",
+    "CODE_EXECUTION_START": "#eab308",
+    "CODE_EXECUTION_COMPLETE": "#ca8a04",
+    "SUB_LLM_SPAWN": "#22c55e",
+    "SUB_LLM_COMPLETE": "#16a34a",
+    "RECURSION_LIMIT_HIT": "#f97316",
+    "ERROR": "#ef4444",
+    "FINAL_ANSWER": "#6b7280",
+}
+OTHER_COLOR = "#9ca3af"
+
+
+def step_label(step_type: Column) -> Column:
+    """A type in words: `SUB_LLM_SPAWN` is Sub-LLM Spawn."""
+    words = F.initcap(F.replace(step_type, F.lit("_"), F.lit(" ")))
+    return F.replace(F.replace(words, F.lit("Llm"), F.lit("LLM")), F.lit("Sub LLM"), F.lit("Sub-LLM"))
+
+
+def step_color(step_type: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in COLORS.items() for x in pair))[step_type], F.lit(OTHER_COLOR))
+
+
+def cost_text(usd: Column) -> Column:
+    """Dollars with four decimals; below a cent, cents with two (the dollar sign stays in front)."""
+    return F.when(usd < 0.01, F.format_string("$%.2f¢", usd * 100)).otherwise(F.format_string("$%.4f", usd))
+
+
+def tokens_text(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def elapsed_text(ms: Column) -> Column:
+    """Milliseconds, seconds with a decimal from one second, minutes and seconds from one minute; N/A for null."""
+    in_minutes = F.format_string("%dm %.1fs", F.floor(ms / 60_000), (ms % 60_000) / 1000)
+    return F.when(ms.isNull(), "N/A").when(ms < 1000, F.format_string("%.0fms", ms)).when(ms < 60_000, F.format_string("%.1fs", ms / 1000)).otherwise(in_minutes)
+
+
+def labels(tree: DataFrame) -> DataFrame:
+    """(root, session_id, label, color, duration, tokens, cost): what a display shows of each node."""
+    tokens = F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))
+    kind = F.col("step_type")
+    return tree.select("root", "session_id", step_label(kind).alias("label"), step_color(kind).alias("color"), elapsed_text(F.col("ms").cast("double")).alias("duration"), tokens_text(tokens).alias("tokens"), cost_text(F.col("cost")).alias("cost"))

@@ -173,3 +173,17 @@ SELECT root, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8">
 )
 def trajectory_html(spark: SparkSession, sf: str) -> DataFrame:
     return T.html_reports(steps(spark, sf))
+
+
+@query(
+    f"""WITH {L}, v AS (SELECT root, session_id, step_type, ms + 0.25::DOUBLE AS ms, coalesce(tokens_in, 0) * 100 + coalesce(tokens_out, 0) AS t, cost * 5 + 0.0000001::DOUBLE AS c FROM n)
+SELECT root, session_id, CASE step_type WHEN 'ROOT_LLM_START' THEN 'Root LLM Start' WHEN 'ROOT_LLM_COMPLETE' THEN 'Root LLM Complete' WHEN 'CODE_EXECUTION_START' THEN 'Code Execution Start' WHEN 'CODE_EXECUTION_COMPLETE' THEN 'Code Execution Complete'
+    WHEN 'SUB_LLM_SPAWN' THEN 'Sub-LLM Spawn' WHEN 'SUB_LLM_COMPLETE' THEN 'Sub-LLM Complete' ELSE 'Error' END AS label,
+CASE step_type WHEN 'ROOT_LLM_START' THEN '#3b82f6' WHEN 'ROOT_LLM_COMPLETE' THEN '#2563eb' WHEN 'CODE_EXECUTION_START' THEN '#eab308' WHEN 'CODE_EXECUTION_COMPLETE' THEN '#ca8a04' WHEN 'SUB_LLM_SPAWN' THEN '#22c55e' WHEN 'SUB_LLM_COMPLETE' THEN '#16a34a' ELSE '#ef4444' END AS color,
+CASE WHEN ms IS NULL THEN 'N/A' WHEN ms < 1000 THEN printf('%.0fms', ms) WHEN ms < 60000 THEN printf('%.1fs', ms / 1000) ELSE CAST(floor(ms / 60000) AS BIGINT) || 'm ' || printf('%.1fs', (ms - 60000 * floor(ms / 60000)) / 1000) END AS duration,
+format('{{:,}}', t) AS tokens, CASE WHEN c < 0.01 THEN printf('$%.2f¢', c * 100) ELSE printf('$%.4f', c) END AS cost FROM v"""
+)
+def trajectory_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens and costs are scaled so that every form occurs; the small offsets keep halves away from rounding."""
+    tree = T.nodes(steps(spark, sf)).withColumns({"ms": F.col("ms") + 0.25, "tokens_in": F.coalesce("tokens_in", F.lit(0)) * 100, "cost": F.col("cost") * 5 + 1e-7})
+    return T.labels(tree)

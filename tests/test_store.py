@@ -85,3 +85,16 @@ def test_cache_entries_by_session(spark):
     late = {r["session_id"]: tuple(r)[1:] for r in C.session_cache_stats(ops, F.lit("2024-01-01 00:00:14").cast("timestamp"), 10).collect()}
     assert late[1] == (1, 1, 0.0, t(5), t(5))
     assert C.session_cache_stats(ops.limit(0)).count() == 0
+
+
+def test_display_forms(spark):
+    rows = [(None, 0.0, 0, "SUB_LLM_SPAWN"), (999.0, 0.0099, 999, "ROOT_LLM_START"), (1000.0, 0.01, 1234567, "RECURSION_LIMIT_HIT"), (59_949.0, 1.5, 1000, "FINAL_ANSWER"), (125_300.0, 0.001, 12, "UNHEARD_OF")]
+    df = spark.createDataFrame(rows, "ms double, usd double, n long, kind string")
+    got = [tuple(r) for r in df.select(T.elapsed_text(F.col("ms")), T.cost_text(F.col("usd")), T.tokens_text(F.col("n")), T.step_label(F.col("kind")), T.step_color(F.col("kind"))).collect()]
+    assert got == [
+        ("N/A", "$0.00¢", "0", "Sub-LLM Spawn", "#22c55e"),
+        ("999ms", "$0.99¢", "999", "Root LLM Start", "#3b82f6"),
+        ("1.0s", "$0.0100", "1,234,567", "Recursion Limit Hit", "#f97316"),
+        ("59.9s", "$1.5000", "1,000", "Final Answer", "#6b7280"),
+        ("2m 5.3s", "$0.10¢", "12", "Unheard Of", "#9ca3af"),
+    ]
