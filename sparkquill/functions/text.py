@@ -192,8 +192,7 @@ def session_tokens(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Lower case, split at white space, only letters and digits kept inside each word, words of one or two dropped."""
-    cut = F.transform(F.split(strip(F.lower(text)), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
-    return F.filter(cut, lambda w: F.length(w) > 2)
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", ""), r"\s+"), lambda w: F.length(w) > 2)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -42,13 +42,13 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 
 @query(f"WITH {BASE} {TOP.format('bm', 10)}")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _round(S.top_k(S.bm25(table(spark, sf, "documents"), questions(spark, sf)), 10), "score")
+    return _round(S.bm25_top_k(table(spark, sf, "documents"), questions(spark, sf), 10), "score")
 
 
 @query(f"WITH {BASE}, r AS (SELECT * FROM bm WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) {TOP.format('r', 10)}")
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
     only = table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    return _round(S.top_k(S.bm25(table(spark, sf, "documents"), questions(spark, sf), only=only), 10), "score")
+    return _round(S.bm25_top_k(table(spark, sf, "documents"), questions(spark, sf), 10, only=only), "score")
 
 
 @query(f"WITH {BASE}, c AS (SELECT term FROM p GROUP BY term) SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM d) AS chunks, (SELECT round(avg(dl), 6) FROM d) AS average_length, (SELECT count(*) FROM c) AS terms")
@@ -85,7 +85,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 def aggregate_sources(spark: SparkSession, sf: str) -> DataFrame:
     q = questions(spark, sf)
     se = S.cosine_top_k(vectors(spark, sf), q, 20).select(F.lit("vector").alias("source"), "doc_id", "score", F.lit(1.0).alias("weight"))
-    kw = S.top_k(S.bm25(table(spark, sf, "documents"), q), 20).select(F.lit("keyword").alias("source"), "doc_id", "score", F.lit(0.8).alias("weight"))
+    kw = S.bm25_top_k(table(spark, sf, "documents"), q, 20).select(F.lit("keyword").alias("source"), "doc_id", "score", F.lit(0.8).alias("weight"))
     out = S.aggregate_sources(se.union(kw), 2, "doc_id")
     return _round(out.withColumn("sources", F.array_join("sources", ",")), "aggregated_score", "best_score")
 
@@ -93,7 +93,7 @@ def aggregate_sources(spark: SparkSession, sf: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     """qid, query, doc_id, content (the whole text), score, rank of the keyword search."""
     q, d = questions(spark, sf), table(spark, sf, "documents")
-    top = S.top_k(S.bm25(d, q), k)
+    top = S.bm25_top_k(d, q, k)
     return top.join(q.select("qid", "query"), "qid").join(d.select("doc_id", F.col("text").alias("content")), "doc_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from ..operators import sessions as S
-from ..operators.search import bm25, top_k
+from ..operators.search import bm25_top_k
 from ..registry import query, table
 
 
@@ -139,7 +139,7 @@ def search_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked full-text search over messages, for the benchmark texts."""
     m = messages(spark, sf).select((F.col("session_id") * 1000 + F.col("id")).alias("doc_id"), F.col("content").alias("text"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return top_k(bm25(m, q), 5).withColumn("score", F.round("score", 6))
+    return bm25_top_k(m, q, 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {E}, a AS (SELECT session_id, max(created_at) AS last_activity, CASE WHEN count(*) % 2 = 0 THEN 'active' ELSE 'closed' END AS status FROM s GROUP BY 1) SELECT * FROM a WHERE status = 'active' ORDER BY last_activity DESC, session_id LIMIT 20 OFFSET 5")
