@@ -49,7 +49,7 @@ _RANKED = f"WITH {_CHANGED} SELECT qid, doc_id, round(score, 6) AS score, CAST(r
 
 
 def _ranked(index: KeywordIndex, questions: DataFrame) -> DataFrame:
-    found = index.search(questions).select("qid", F.col("document").alias("doc_id"), "score")
+    found = index.search(questions, k=10).select("qid", F.col("document").alias("doc_id"), "score")
     return top_k(found, 10).withColumn("score", F.round("score", 6))
 
 
