@@ -86,7 +86,7 @@ def advanced(questions: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataF
     """(qid, context, citations): hybrid retrieval of 20, reranked to 10, chosen adaptively, numbered, assembled."""
     q = questions.select("qid", "query", "vector")
     hits = search.hybrid(docs, vectors, q, 20).withColumnsRenamed({"rrf_rank": "rank", "fused_score": "score"})
-    hits = hits.join(q.select("qid", "query"), "qid").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    hits = search.with_texts(hits, docs, q, 20)
     best = search.rerank(hits).withColumn("score", F.col("model_score"))
     chosen = selection.adaptively(best).select("qid", "doc_id", (F.col("selected") + 1).alias("rank"), "score")
     cited = chosen.join(best.select("qid", "doc_id", "content"), ["qid", "doc_id"])

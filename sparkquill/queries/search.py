@@ -93,8 +93,7 @@ def aggregate_sources(spark: SparkSession, sf: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     """qid, query, doc_id, content (the whole text), score, rank of the keyword search."""
     q, d = questions(spark, sf), table(spark, sf, "documents")
-    top = S.bm25_top_k(d, q, k)
-    return top.join(q.select("qid", "query"), "qid").join(d.select("doc_id", F.col("text").alias("content")), "doc_id")
+    return S.with_texts(S.bm25_top_k(d, q, k), d, q.select("qid", "query"), k)
 
 
 RETRIEVED = f"""{BASE}, top AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20),
