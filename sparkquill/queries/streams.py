@@ -169,7 +169,7 @@ def client_chain(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_client_chain(spark: SparkSession, sf: str) -> DataFrame:
     """The chain as a Structured Streaming job with a state each for cache, breaker and bucket."""
     at = f"{shared_dir(spark)}/chain-{uuid.uuid4().hex[:12]}"
-    out = client.live_chain(_calls(windows.file_stream(spark, sf, "events.parquet").withWatermark("ts", "1 hour")), CLIENT)
+    out = client.live_chain(_calls(windows.file_stream(spark, sf, "events.parquet").withWatermark("ts", "1 hour")), CLIENT, only_watermark=True)
     return windows.run_to_end(out.select(F.col("id").alias("event_id"), "served", "limited", "spent"), f"{at}/out", f"{at}/checkpoint")
 
 

@@ -6,14 +6,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from . import packed
 from .folds import fold
 from .machines import Breaker, Bucket
 
 OUTCOME = "served string, limited boolean, wait double, state string, spent bigint"
 EVENT = ["at", "key", "need", "ok", "blank"]
+SLICE = 1 << 16  # calls that are Python objects at once
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64()}
 
 
 @dataclass(frozen=True)
@@ -58,23 +63,47 @@ def chained(calls: DataFrame, client: Client, provider: str = "provider", order:
 
 
 class _Map:
-    """A map state as a mapping."""
+    """A map state as a mapping: a key is read at most once, and what was written goes to the state in one go at the end."""
 
-    def __init__(self, state) -> None:
-        self.state = state
+    def __init__(self, state, empty: bool) -> None:
+        self.state, self.empty, self.read, self.written = state, empty, {}, {}
 
     def get(self, key):
-        return self.state.getValue((key,))[0] if self.state.containsKey((key,)) else None
+        if key in self.written:
+            return self.written[key]
+        if key not in self.read:
+            self.read[key] = self.state.getValue((key,))[0] if not self.empty and self.state.containsKey((key,)) else None
+        return self.read[key]
 
     def __setitem__(self, key, value) -> None:
-        self.state.updateValue((key,), (float(value),))
+        self.written[key] = float(value)
+
+    def save(self, useless) -> list[float]:
+        """What is saved: useless values only in place of others."""
+        saved = {key: value for key, value in self.written.items() if self.read.get(key) is not None or not useless(value)}
+        for key, value in saved.items():
+            self.state.updateValue((key,), (value,))
+        return list(saved.values())
+
+
+def _values(column: pa.ChunkedArray) -> list:
+    """As pandas has them: a missing number is NaN."""
+    if column.null_count and (pa.types.is_floating(column.type) or pa.types.is_integer(column.type)):
+        column = pc.fill_null(column.cast(pa.float64()), float("nan"))
+    return column.to_pylist()
 
 
 class _Live(StatefulProcessor):
-    """Cache, breaker and bucket are states of their own; timers take expired answers out of the cache."""
+    """Cache, breaker and bucket are states of their own; a timer takes expired answers out of the cache.
 
-    def __init__(self, client: Client, order: list[str]) -> None:
-        self.client, self.order = client, order
+    Each call of a state is a message to the JVM and back, so a trigger reads and writes a state once, not once an event.
+    A provider with anything cached has one timer, at the first expiry (or, if a late row wrote an older answer, after it).
+    Rows are blobs of calls; `time` is the calls' column with the watermark. With the watermark's delay, what no call after
+    this trigger can meet (the watermark will have passed its expiry, as it follows the latest call) is not written.
+    """
+
+    def __init__(self, client: Client, order: list[str], time: str, delay_ms: int | None = None) -> None:
+        self.client, self.order, self.time, self.delay_ms = client, order, time, delay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -82,26 +111,51 @@ class _Live(StatefulProcessor):
         self.breaker = handle.getValueState("breaker", "state string, failed int, probes int, good int, opened double")
         self.bucket = handle.getValueState("bucket", "requests double, tokens double, last double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values(self.order).reset_index(drop=True)  # one provider's rows of one trigger
-        _, breaker, bucket = self.client.start()
-        cache = _Map(self.cache)
-        state = (cache, tuple(self.breaker.get()) if self.breaker.exists() else breaker, tuple(self.bucket.get()) if self.bucket.exists() else bucket)
-        out = []
-        for event in pdf[EVENT].itertuples(index=False, name=None):
-            state, result = self.client.step(state, tuple(event))
-            out.append(result)
-            if result[0] == "model" and not event[4]:
-                self.handle.registerTimer(int((event[0] + self.client.ttl_s) * 1000) + 1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        calls = self._on_time(packed.table(r["rows"] for r in rows), timerValues.getCurrentWatermarkInMs())  # one provider's of one trigger
+        if not calls.num_rows:
+            return
+        calls = calls.take(pc.sort_indices(calls, [(c, "ascending") for c in self.order]))
+        known = self.breaker.exists()  # the three states are written together
+        cache, (_, breaker, bucket) = _Map(self.cache, not known), self.client.start()
+        state = (cache, tuple(self.breaker.get()), tuple(self.bucket.get())) if known else (cache, breaker, bucket)
+        for at in range(0, calls.num_rows, SLICE):
+            part, out = calls.slice(at, SLICE), []
+            for event in zip(*(_values(part[c]) for c in EVENT), strict=True):
+                state, result = self.client.step(state, event)
+                out.append(result)
+            for (column, kind), values in zip((c.split() for c in OUTCOME.split(", ")), zip(*out, strict=True), strict=True):
+                part = part.append_column(column, pa.array(values, _ARROW[kind]))
+            for blob in packed.blobs(part):
+                yield Row(rows=blob)
+        latest = pc.max(calls[self.time].cast(pa.int64())).as_py()
+        passed = None if self.delay_ms is None or latest is None else latest // 1000 - self.delay_ms
+        timed = known and bool(cache.written) and self.cache.exists()
+        saved = cache.save(lambda written: passed is not None and self._expiry(written) <= passed)
+        if saved and not timed:
+            self.handle.registerTimer(self._expiry(min(saved)))
         name, *counts, opened = state[1]
         self.breaker.update((name, *map(int, counts), None if opened is None else float(opened)))
         self.bucket.update(tuple(None if x is None else float(x) for x in state[2]))
-        yield pd.concat([pdf, pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")])], axis=1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = expiredTimerInfo.getExpiryTimeInMs() / 1000 - self.client.ttl_s
-        for k in [k[0] for k, v in list(self.cache.iterator()) if v[0] <= until]:
-            self.cache.removeKey((k,))
+    def _on_time(self, calls: pa.Table, watermark: int) -> pa.Table:
+        """Without what is later than the watermark; before the first there is none."""
+        late = pc.less_equal(calls[self.time].cast(pa.int64()), watermark * 1000)
+        return calls.filter(pc.invert(pc.fill_null(late, False))) if watermark > 0 else calls
+
+    def _expiry(self, written: float) -> int:
+        return int((written + self.client.ttl_s) * 1000) + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        expiry = {k[0]: self._expiry(v[0]) for k, v in self.cache.iterator()}
+        rest = {k: at for k, at in expiry.items() if at > fired and at >= now}
+        if rest:
+            for k in expiry.keys() - rest.keys():
+                self.cache.removeKey((k,))
+            self.handle.registerTimer(min(rest.values()))
+        elif expiry:
+            self.cache.clear()
         return iter(())
 
     def close(self) -> None:
@@ -142,11 +196,15 @@ def _states_by_rocks(stream: DataFrame) -> None:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def live_chain(stream: DataFrame, client: Client, provider: str = "provider", order: tuple[str, ...] = ("at", "id")) -> DataFrame:
-    """The same over a stream with a watermark: state is kept by provider; rows of a trigger are taken in order."""
+def live_chain(stream: DataFrame, client: Client, provider: str = "provider", order: tuple[str, ...] = ("at", "id"), only_watermark: bool = False) -> DataFrame:
+    """The same over a stream with a watermark: state is kept by provider; rows of a trigger are taken in order, without
+    those that the watermark has passed. only_watermark: the query has no other, so that it can't stay behind this one."""
     _states_by_rocks(stream)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", " + OUTCOME
-    return stream.groupBy(provider).transformWithStateInPandas(_Live(client, list(order)), schema, "Append", "EventTime")
+    time, delay_ms = next((f.name, f.metadata["spark.watermarkDelayMs"]) for f in stream.schema if "spark.watermarkDelayMs" in f.metadata)
+    calls = packed.pack(stream, provider).groupBy(provider)
+    processor = _Live(client, list(order), time, delay_ms if only_watermark else None)
+    return packed.unpack(calls.transformWithState(processor, "rows binary", "Append", "EventTime"), schema)
 
 
 def expiring(stream: DataFrame, ttl_s: float, key: str = "session_id") -> DataFrame:
